@@ -6,21 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing
-from ._store import documents
+from . import line_rules, mixing, quality_crf, toxicity_mil
+from ._store import documents, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.query(documents(spark, sf_dir))
 
 
+def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op5_quality_crf": op5_quality_crf,
     "op6_line_rules": op6_line_rules,
+    "op8_toxicity_mil": op8_toxicity_mil,
 }
 
 _WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
