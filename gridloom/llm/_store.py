@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
 
@@ -55,3 +56,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
+
+
+#: Rows of a narrow table (two numbers a row) that may be broadcast: 32 MB at most. Larger ones are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a written table of a few numbers a row, marked for broadcast if its counted rows allow."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A scratch copy of ``df`` whose rows have a number each, and the number's column."""
+    row = fresh(df, "row_number")
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def without(held: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``held`` but those whose number is in ``gone``, a one-column frame; the number's column goes too."""
+    gone = small_side(materialise(gone.toDF("gone_row"), "gone"))
+    return held.join(gone, held[row] == gone["gone_row"], "left_anti").drop(row)

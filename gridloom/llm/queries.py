@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, quality_crf, toxicity_mil
+from . import line_rules, mixing, near_dedup, quality_crf, toxicity_mil
 from ._store import documents, table
 
 
@@ -26,11 +26,16 @@ def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_quality_crf": op5_quality_crf,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity_mil": op8_toxicity_mil,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 _WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
@@ -84,7 +89,21 @@ SELECT doc_id, source, size, source_size, target, CAST(
   - (((x // {mixing.BLOCK} + 1 + turn) * (quota % n)) // n - ((x // {mixing.BLOCK} + turn) * (quota % n)) // n) * (x % {mixing.BLOCK}) AS BIGINT) AS taken FROM u
 """
 
+#: Brute force: every pair that shares a shingle.
+_NEAR_DEDUP = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, s FROM (SELECT r, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS s FROM d)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pr AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+lk AS (SELECT x, y FROM pr JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * common >= 80 * (nx.n + ny.n - common)),
+e AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+c AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY x)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mixing": _MIXING,
     "op6_line_rules": _LINE_RULES,
+    "op9_near_dedup": _NEAR_DEDUP,
 }
