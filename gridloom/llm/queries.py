@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, near_dedup, quality_crf, toxicity_mil
+from . import line_rules, lm_trie, mixing, near_dedup, quality_crf, toxicity_mil
 from ._store import documents, table
 
 
@@ -30,12 +30,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.query(documents(spark, sf_dir))
 
 
+def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_quality_crf": op5_quality_crf,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity_mil": op8_toxicity_mil,
     "op9_near_dedup": op9_near_dedup,
+    "op10_lm_trie": op10_lm_trie,
 }
 
 _WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
