@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, lm_trie, mixing, near_dedup, quality_crf, toxicity_mil
+from . import decontaminate, html_extract, line_rules, lm_trie, mixing, near_dedup, quality_crf, toxicity_mil
 from ._store import documents, table
 
 
@@ -14,6 +14,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.query(table(spark, sf_dir, "pages"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -36,6 +44,8 @@ def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_html_extract": op2_html_extract,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_crf": op5_quality_crf,
     "op6_line_rules": op6_line_rules,
     "op8_toxicity_mil": op8_toxicity_mil,
@@ -107,7 +117,33 @@ c AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reac
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
+_TRIM = "list_filter(list_transform({}, lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda x: x <> '')"
+_UNITS = "|".join(decontaminate.UNITS)
+_KIND = f"""CASE WHEN regexp_full_match(x, '\\p{{Nd}}[\\p{{Nd}}.,:/]*({_UNITS})') THEN '<qty>' WHEN regexp_full_match(x, '\\p{{Nd}}[\\p{{Nd}}.,:/]*') THEN '<num>'
+  WHEN regexp_full_match(x, '{_UNITS}') AND regexp_full_match(coalesce(prev, ''), '\\p{{Nd}}[\\p{{Nd}}.,:/]*') THEN '<unit>'"""
+_DECONTAMINATE = f"""
+WITH src AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, {_TRIM.format(_WORDS)} AS ws FROM documents
+             UNION ALL SELECT 'b', row_number() OVER (), item_id, {_TRIM.format(_WORDS)} FROM benchmark),
+tk AS (SELECT side, r, id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM src),
+tk1 AS (SELECT *, lag(x) OVER (PARTITION BY side, r ORDER BY i) AS prev FROM tk),
+tk2 AS (SELECT side, r, id, i, lower(x) AS s, {_KIND} ELSE lower(x) END AS t1, {_KIND} WHEN regexp_matches(x, '^\\p{{Lu}}') THEN '<name>' ELSE lower(x) END AS t2 FROM tk1),
+win AS (SELECT side, r, id, i, list(s) OVER w AS s, list(t1) OVER w AS t1, list(t2) OVER w AS t2 FROM tk2 WINDOW w AS (PARTITION BY side, r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+w5 AS (SELECT side, r, id, i, 1 AS form, s, t1 AS t FROM win WHERE len(s) = 5 UNION ALL SELECT side, r, id, i, 2, s, t2 FROM win WHERE len(s) = 5 AND list_contains(t2, '<name>')),
+bw AS (SELECT * FROM w5 WHERE side = 'b' AND len(list_filter(t, lambda x: NOT starts_with(x, '<'))) >= {decontaminate.LITERALS}),
+bn AS (SELECT r, count(DISTINCT i) AS n_windows FROM bw GROUP BY r),
+m AS (SELECT DISTINCT d.r AS dr, d.id AS doc_id, b.r AS br, b.id AS item_id, b.i, list_filter(list_transform(range(1, 6), lambda k: {{'kind': b.t[k], 'a': b.s[k], 'b': d.s[k]}}), lambda p: starts_with(p.kind, '<')) AS pairs
+      FROM w5 d JOIN bw b ON d.form = b.form AND d.t = b.t WHERE d.side = 'd'),
+cand AS (SELECT dr, br FROM m JOIN bn ON bn.r = m.br GROUP BY dr, br, n_windows HAVING {decontaminate.PARTS} * count(DISTINCT i) >= {decontaminate.SHARE} * n_windows),
+mc AS (SELECT m.* FROM m JOIN cand USING (dr, br)),
+pr AS (SELECT dr, br, p.kind AS kind, p.a AS a, p.b AS b, count(*) AS c FROM (SELECT dr, br, unnest(pairs) AS p FROM mc) GROUP BY ALL),
+best AS (SELECT dr, br, kind, a, arg_max(b, c || ' ' || b) AS b FROM (SELECT dr, br, kind, a, b, lpad(CAST(c AS VARCHAR), 12, '0') AS c FROM pr) GROUP BY ALL),
+bad AS (SELECT DISTINCT x.dr, x.br, x.i, x.pairs FROM (SELECT dr, br, i, pairs, unnest(pairs) AS p FROM mc) x JOIN best ON best.dr = x.dr AND best.br = x.br AND best.kind = x.p.kind AND best.a = x.p.a WHERE best.b <> x.p.b),
+ok AS (SELECT mc.* FROM mc LEFT JOIN bad ON bad.dr = mc.dr AND bad.br = mc.br AND bad.i = mc.i AND bad.pairs = mc.pairs WHERE bad.dr IS NULL)
+SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(count(DISTINCT i) AS BIGINT) AS n_matched FROM ok JOIN bn ON bn.r = ok.br GROUP BY dr, doc_id, br, item_id, n_windows HAVING {decontaminate.PARTS} * count(DISTINCT i) >= {decontaminate.SHARE} * n_windows
+"""
+
 ORACLE: dict[str, str] = {
+    "op4_decontaminate": _DECONTAMINATE,
     "op1_mixing": _MIXING,
     "op6_line_rules": _LINE_RULES,
     "op9_near_dedup": _NEAR_DEDUP,
