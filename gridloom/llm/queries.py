@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_rules, lm_trie, mixing, near_dedup, quality_crf, toxicity_mil
+from . import decontaminate, html_extract, line_rules, lm_trie, mixing, near_dedup, pii, quality_crf, toxicity_mil
 from ._store import documents, table
 
 
@@ -30,6 +30,10 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.query(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(documents(spark, sf_dir))
+
+
 def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_crf": op5_quality_crf,
     "op6_line_rules": op6_line_rules,
+    "op7_pii": op7_pii,
     "op8_toxicity_mil": op8_toxicity_mil,
     "op9_near_dedup": op9_near_dedup,
     "op10_lm_trie": op10_lm_trie,
