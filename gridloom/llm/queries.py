@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_rules, lm_trie, mixing, near_dedup, pii, quality_crf, toxicity_mil
+from . import decontaminate, html_extract, line_rules, lm_trie, mixing, near_dedup, pii, quality_crf, sharding, toxicity_mil
 from ._store import documents, table
 
 
@@ -18,6 +18,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.query(table(spark, sf_dir, "pages"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(documents(spark, sf_dir))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_html_extract": op2_html_extract,
+    "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_crf": op5_quality_crf,
     "op6_line_rules": op6_line_rules,
@@ -148,6 +153,7 @@ SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(count(DISTI
 """
 
 ORACLE: dict[str, str] = {
+    "op3_sharding": "SELECT doc_id, source, lang, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents",
     "op4_decontaminate": _DECONTAMINATE,
     "op1_mixing": _MIXING,
     "op6_line_rules": _LINE_RULES,
