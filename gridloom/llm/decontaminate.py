@@ -51,7 +51,8 @@ def forms(text: Column) -> tuple[Column, Column, Column]:
     units = F.regexp_replace(bare, rf"(?<!\S){_NUMBER}(?:{_ANY_UNIT})(?!\S)", "<qty>")
     # a unit counts after a number alone, so numbers go last; their own match ends before the space
     units = F.regexp_replace(units, rf"(?<!\S)({_NUMBER}) (?:{_ANY_UNIT})(?!\S)", "$1 <unit>")
-    numbers = F.regexp_replace(units, rf"(?<!\S){_NUMBER}(?!\S)", "<num>")
+    # most texts hold no digit, which is soon seen
+    numbers = F.when(bare.rlike(r"\p{Nd}"), F.regexp_replace(units, rf"(?<!\S){_NUMBER}(?!\S)", "<num>")).otherwise(bare)
     names = F.regexp_replace(numbers, r"(?<!\S)\p{Lu}\S*", "<name>")
     return tuple(F.split(F.lower(x), " ") for x in (bare, numbers, names))
 
@@ -61,8 +62,7 @@ def windows(table: DataFrame, *keep: str) -> DataFrame:
     said, t1, t2 = forms(F.col("text"))
     worded = table.select(*keep, said.alias("said"), t1.alias("t1"), t2.alias("t2")).filter(F.size("said") >= WORDS)
     placed = worded.select(*keep, "said", "t1", "t2", F.explode(F.sequence(F.lit(0), F.size("said") - WORDS)).alias("place"))
-    at = lambda t: [F.get(t, F.col("place") + k) for k in range(WORDS)]
-    hashed = placed.withColumn("both", F.array(F.struct(F.lit(1).alias("form"), F.xxhash64(F.lit(1), *at("t1")).alias("h")), F.struct(F.lit(2).alias("form"), F.xxhash64(F.lit(2), *at("t2")).alias("h"))))
+    hashed = placed.withColumn("both", F.array(*(F.struct(F.lit(n).alias("form"), F.xxhash64(F.lit(n), _slice(t)).alias("h")) for n, t in ((1, "t1"), (2, "t2")))))
     return hashed.select(*keep, "said", "t1", "t2", "place", F.explode("both").alias("w")).select(*keep, "said", "t1", "t2", "place", F.col("w.form").alias("form"), F.col("w.h").alias("h"))
 
 
