@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 
 
 def chunk_count(df: DataFrame) -> int:
-    """Partitions of the frame as planned."""
-    return df.rdd.getNumPartitions()
+    """Partitions of the frame as planned; nothing is run."""
+    n = df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
+    return n or df.rdd.getNumPartitions()  # a scan knows its partitions once its files are listed
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -23,8 +24,8 @@ def chunk_size(df: DataFrame) -> int:
 
 
 def operators(df: DataFrame) -> Counter:
-    """Physical operators by name."""
-    text = df._jdf.queryExecution().executedPlan().toString()
+    """Physical operators by name, as first planned."""
+    text = df._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
     return Counter(re.findall(r"^[\s:+\-*()\d]*([A-Z]\w+)", text, re.M))
 
 
