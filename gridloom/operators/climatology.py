@@ -99,8 +99,9 @@ class BlockedGroupby:
 
     # reductions that skip missing values
 
-    def mean(self) -> Climatology:
-        return self._reduce(F.avg(self.grid.value))
+    def mean(self, full: bool = True) -> Climatology:
+        """Mean; with ``full`` false only of the slots that occur, without the join that adds the others."""
+        return self._reduce(F.avg(self.grid.value), full=full)
 
     def min(self) -> Climatology:
         return self._reduce(F.min(self.grid.value))
