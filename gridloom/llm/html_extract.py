@@ -30,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math object select noframes xmp".split())
 BLOCK = frozenset("html head body article main section div p pre blockquote ul ol li dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 hr address figure figcaption details summary fieldset form nav header footer aside dialog menu center".split())
 CONTAINER = frozenset("html body article main section div td th dd blockquote details figure center address".split())
+CELL = frozenset("td th dd".split())
 JUNK_TAG = frozenset("head nav footer aside form button dialog menu fieldset label input select option textarea".split())
 JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 JUNK_WORD = frozenset(
@@ -207,7 +208,7 @@ def _score(nodes: list[Node], runs: list[tuple[int, str]]) -> None:
         if x.junk or not x.size:
             continue
         points = (1 + x.commas + min(x.size / 100, 3)) * (1 - x.linked / x.size)
-        up, share = (i, 0) if x.tag in CONTAINER else (x.parent, 1)
+        up, share = (i, 0) if x.tag in CONTAINER and x.tag not in CELL else (x.parent, 1)
         while up >= 0:
             nodes[up].points += points / (1 if share <= 1 else 2 if share == 2 else 3 * share)
             up, share = nodes[up].parent, max(share, 0) + 1
@@ -230,7 +231,9 @@ def extract(html: str | None) -> str:
     top = _rank(nodes[best])
     if top <= 0:
         return ""
-    # a container within an article is a part of it
+    # a row is a part of its table, and a container within an article of that
+    while nodes[best].tag in ("tr", "tbody", "thead", "tfoot"):
+        best = nodes[best].parent
     up = nodes[best].parent
     while up >= 0:
         if nodes[up].tag in ("article", "main"):

@@ -153,7 +153,7 @@ def mix(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
     take = plan(held, block=block, row=row, **options).filter("taken > 0").select(F.struct("size", "start", "n", "quota", "turn", div(F.col("quota"), F.col("n")).alias("times")).alias("p"), F.col("row").alias("r"))
     j = held.join(take, held[row] == take["r"])
-    p = j["p"]
+    p = take["p"]
     picked = lambda k: div((k + p["turn"]) * (p["quota"] % p["n"]), p["n"])
     first, last = div(p["start"], block), div(p["start"] + p["size"] - 1, block)
     blocks = F.filter(F.sequence(first, last), lambda k: picked(k + 1) > picked(k))
