@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import metadata
 from .functions.columns import DAY
 from .grid import Axis, Grid
-from .operators import blocks, climatology, events, grids, quantile, regrid, resample, weights
+from .operators import blocks, climatology, events, grids, packed, quantile, regrid, resample, weights
 from .plans import report
 from .sources import tables
 
@@ -115,6 +115,22 @@ _add(
     f"WITH {_EH} SELECT cell, {_TIME.format("TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (i // 24)")} AS time, round(coalesce(max(v) - min(v), 0), 6) AS value FROM eh GROUP BY cell, i // 24",
 )
 
+# The same in packed form
+
+
+def _unpacked(p: packed.Packed) -> DataFrame:
+    return p.unpack().select("cell", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.round("value", 6).alias("value"))
+
+
+_add("packed_resample_mean", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis()).resample(24)), ORACLE["resample_mean"])
+_add("packed_resample_nanmax", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis()).resample(24, "nanmax")), ORACLE["resample_nanmax"])
+_add("packed_resample_min", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis()).resample(24, "min")), ORACLE["resample_min"])
+_add(
+    "packed_find_events",
+    lambda s, d: packed.pack(eh(s, d), eh_axis()).find_events(lambda v: v > 50, 1),
+    "WITH " + _EH + ", hit AS (SELECT cell, i, i - row_number() OVER (PARTITION BY cell ORDER BY i) AS g FROM eh WHERE v > 50) SELECT CAST(min(i) AS BIGINT) AS time, cell, CAST(count(*) AS BIGINT) AS event_duration FROM hit GROUP BY cell, g",
+)
+
 # Climatology
 
 
@@ -145,6 +161,11 @@ def _grouped(s: SparkSession, d: str, grouping: str = "dayofyear") -> climatolog
 for _g, _short in (("dayofyear", "doy"), ("monthday", "monthday")):
     for _op, _agg, _empty in (("mean", "avg(v)", "NULL"), ("min", "min(v)", "NULL"), ("max", "max(v)", "NULL"), ("sum", "sum(v)", "0")):
         _add(f"climatology_{_short}_{_op}", lambda s, d, g=_g, op=_op: _slots(getattr(_grouped(s, d, g), op)()), f"WITH {_OD} {_by_slot(_g, _agg, _empty)}")
+    _add(
+        f"packed_climatology_{_short}",
+        lambda s, d, g=_g: packed.pack(od(s, d), od_axis()).climatology("mean", g).select("cell", F.posexplode("value").alias("slot", "value")).select("cell", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value")),
+        f"WITH {_OD} SELECT cell, CAST(row_number() OVER (PARTITION BY cell ORDER BY {_slot_sql(_g)[1]}) - 1 AS BIGINT) AS slot, value FROM ({_by_slot(_g, 'avg(v)')})",
+    )
 _add("climatology_nanpercentile", lambda s, d: _slots(_grouped(s, d).nanpercentile(90)), f"WITH {_OD} {_by_slot('dayofyear', 'quantile_cont(v, 0.9)')}")
 _add("climatology_percentile", lambda s, d: _slots(_grouped(s, d, "monthday").percentile(50)), f"WITH {_OD} {_by_slot('monthday', 'CASE WHEN count(v) = 6 THEN quantile_cont(v, 0.5) END')}")
 _add("climatology_reduce", lambda s, d: _slots(_grouped(s, d).reduce(lambda v: float(v.notna().sum()))), f"WITH {_OD} {_by_slot('dayofyear', 'CAST(count(v) AS DOUBLE)', '0')}")
@@ -214,6 +235,11 @@ _add(
     lambda s, d: (lambda g, e: events.event_stats(g, e, od_axis(), total=F.round(F.sum("value"), 2), mean=F.round(F.avg("value"), 4), largest=F.max("value")))(*_events(s, d)),
     f"{_EVOD} SELECT time, cell, event_duration, round(s, 2) AS total, round(m, 4) AS mean, x AS largest FROM ev",
 )
+_add(
+    "event_summary",
+    lambda s, d: events.event_summary(od(s, d), lambda v: v > _THR, 2, od_axis(), total=F.round(F.sum("value"), 2), mean=F.round(F.avg("value"), 4), largest=F.max("value")),
+    ORACLE["event_values_stats"],
+)
 _add(
     "map_events",
     lambda s, d: (lambda g, e: events.map_events(g, e, lambda v: {"first": v.iloc[0], "largest": v.max()}, "first double, largest double", od_axis()))(*_events(s, d)),

@@ -53,6 +53,16 @@ def find_events(grid: Grid, condition: Column | Callable[[Column], Column], min_
     return found.filter(F.col(DURATION) >= min_duration) if min_duration > 1 else found
 
 
+def event_summary(grid: Grid, condition: Callable[[Column], Column], min_duration: int = 1, axis: Axis | None = None, **aggs: Column) -> DataFrame:
+    """Events with aggregates of their own values, in the one shuffle that finds them."""
+    axis = axis or grid.time_axis()
+    rows = steps(grid.with_df(grid.df.filter(condition(F.col(grid.value)))), axis)
+    w = Window.partitionBy(*grid.cells).orderBy("time")
+    island = rows.withColumn("island", F.col("time") - F.row_number().over(w))
+    out = island.groupBy(*grid.cells, "island").agg(F.min("time").cast("bigint").alias("time"), F.count("*").alias(DURATION), *(a.alias(n) for n, a in aggs.items()))
+    return out.filter(F.col(DURATION) >= min_duration).select("time", *grid.cells, DURATION, *aggs)
+
+
 def find_events_block(rows: DataFrame, cells: Sequence[str], first: int, last: int, min_duration: int = 1) -> DataFrame:
     """Events within the steps first..last of rows in which the condition holds; short ones that touch an end stay, so that blocks can be joined."""
     found = runs(rows.filter(F.col("time").between(first, last)), cells)
