@@ -6,6 +6,8 @@ number and equal to itself, so :func:`nan_to_null` is applied where data enter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,12 @@ def later(start: Column, n_seconds: Column) -> Column:
 
 def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once, even where ``f`` uses it for every element of an array.
+
+    A column that is used inside a lambda may be replaced there by the expression
+    that makes it; a lambda's variable isn't.
+    """
+    return F.get(F.transform(F.array(x), f), F.lit(0))

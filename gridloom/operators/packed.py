@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..grid import Axis, Grid
 
 OPS = ("mean", "min", "max", "sum", "nanmin", "nanmax")
@@ -55,7 +56,7 @@ class Packed:
             "min": lambda x: F.when(~gap(x), F.array_min(x)),
             "max": lambda x: F.when(~gap(x), F.array_max(x)),
         }[op]
-        bins = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: of(F.slice(self.value, b * count + 1, count)))
+        bins = once(F.col(self.value), lambda x: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: once(F.slice(x, b * count + 1, count), of)))
         last = self.axis.first + dt.timedelta(seconds=self.axis.step * count * (n - 1))
         return self._with(bins, Axis(self.axis.start, self.axis.step * count, n, self.axis.first, last))
 
@@ -75,22 +76,20 @@ class Packed:
             raise ValueError(f"op {op!r}")
         places = F.from_json(F.lit(json.dumps(self.slots(grouping))), "array<array<int>>")  # folded to a constant
 
-        def one(p: Column) -> Column:
-            v = F.filter(F.transform(p, lambda i: F.get(self.value, i)), lambda x: x.isNotNull())
-            s = F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
-            return {"mean": F.when(F.size(v) > 0, s / F.size(v)), "sum": s, "min": F.array_min(v), "max": F.array_max(v)}[op]
-
-        return self.df.select(*self.cells, F.transform(places, one).alias(self.value))
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+        of = {"mean": lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)), "sum": total, "min": F.array_min, "max": F.array_max}[op]
+        picked = lambda x, p: F.filter(F.transform(p, lambda i: F.get(x, i)), lambda v: v.isNotNull())
+        slots = once(F.col(self.value), lambda x: F.transform(places, lambda p: once(picked(x, p), of)))
+        return self.df.select(*self.cells, slots.alias(self.value))
 
     def find_events(self, holds, min_duration: int = 1) -> DataFrame:
         """time (index), cells, event_duration of the runs in which ``holds`` of the value; nothing is shuffled."""
         kept = F.filter(F.transform(self.value, lambda v, i: F.struct(i.alias("i"), holds(v).alias("h"))), lambda x: x["h"])
-        at = F.transform(kept, lambda x: x["i"])
         # a run starts where the step before isn't kept, and ends where the next isn't
-        hits = self.df.select(*self.cells, at.alias("at"))
-        starts = F.filter("at", lambda i, k: (k == 0) | (F.get("at", k - 1) != i - 1))
-        ends = F.filter("at", lambda i, k: (k == F.size("at") - 1) | (F.get("at", k + 1) != i + 1))
-        runs = hits.select(*self.cells, F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
+        starts = lambda at: F.filter(at, lambda i, k: (k == 0) | (F.get(at, k - 1) != i - 1))
+        ends = lambda at: F.filter(at, lambda i, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != i + 1))
+        both = once(F.transform(kept, lambda x: x["i"]), lambda at: F.arrays_zip(starts(at).alias("s"), ends(at).alias("e")))
+        runs = self.df.select(*self.cells, F.explode(both).alias("r"))
         out = runs.select(F.col("r.s").cast("bigint").alias("time"), *self.cells, (F.col("r.e") - F.col("r.s") + 1).cast("bigint").alias("event_duration"))
         return out.filter(F.col("event_duration") >= min_duration)
 
@@ -103,6 +102,5 @@ def pack(grid: Grid, axis: Axis | None = None) -> Packed:
     # a dense cell, the usual case, needs no look-up by step
     full = F.transform("s", lambda x: x["v"])
     steps = F.sequence(F.lit(0), F.lit(axis.n - 1))
-    # the map is a variable, so that it is built once and not once a step
-    spread = F.get(F.transform(F.array(F.map_from_entries("s")), lambda m: F.transform(steps, lambda i: F.try_element_at(m, i))), F.lit(0))
+    spread = once(F.map_from_entries("s"), lambda m: F.transform(steps, lambda i: F.try_element_at(m, i)))
     return Packed(series.select(*grid.cells, F.when(F.size("s") == axis.n, full).otherwise(spread).alias(grid.value)), tuple(grid.cells), axis, grid.value)
