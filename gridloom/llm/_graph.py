@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import discard, materialise
 
 ROUNDS = 60
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _settled(edges: DataFrame) -> bool:
+    """Whether all components are stars: no node has two edges down, or edges both down and up."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not roles.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down > 0 AND up > 0)").head(1)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,25 +28,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = j.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return materialise(out.filter("u <> v").distinct(), "graph-edges")
+    out = out.filter("u <> v")
+    out = materialise(out if large else out.distinct(), "graph-edges")
+    discard(low, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), where root is the smallest node reachable.
 
-    Every round leaves a written edge table; the loop ends when a round changes nothing.
+    Edges lead from a node to a smaller one. Every round leaves a written edge
+    table; the loop ends when each edge leads to the smallest node reachable.
     """
-    e = materialise(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "graph-edges")
-    before = _mark(e)
+    e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "graph-edges")
     for _ in range(ROUNDS):
-        if not before[0]:
+        if _settled(e):
             break
         e = _star(_star(e, True), False)
-        after = _mark(e)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components didn't settle in {ROUNDS} rounds")
-    # each node but the roots now has one edge, to its root
-    return materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct(), "components")
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct()), "components")
+    discard(e)
+    return out

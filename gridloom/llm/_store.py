@@ -7,9 +7,11 @@ executor costs the rerun of a few tasks and never of an earlier stage.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +33,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the paths of new scratch tables are noted, the innermost scope last.
+_scopes: list[list[str]] = []
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """Path for a scratch table, noted in the scopes that are open."""
+    path = new_path(spark, name)
+    for paths in _scopes:
+        paths.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table and return a frame that reads it."""
-    path = new_path(df.sparkSession, name)
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables, as :func:`materialise` gave them, once nothing that is still to be computed reads them."""
+    for t in tables:
+        delete(t.sparkSession, t.scratch)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of all scratch tables that are made within."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not paths]
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import Texts, chunks, mix, pair
 from ._graph import components
-from ._store import materialise, numbered, small_side, without
+from ._store import delete, discard, materialise, numbered, scope, small_side, without
 
 #: Percent of the union that two sets must share.
 PERCENT = 80
@@ -177,15 +177,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, e = int(cut[k]), int(cut[k + 1])
                 if e - s > REGION and depth < DEPTH:
                     deeper.append((s, e))
-                elif e - s > REGION:
-                    u.append(cls[s : e - 1])
-                    v.append(cls[s + 1 : e])
                 else:
-                    root = _joined(sketch[s:e], n[s:e])
+                    # stars around the smallest class, which is what the components are named after
+                    order = np.argsort(cls[s:e])
+                    c = cls[s:e][order]
+                    root = np.zeros(e - s, np.int64) if e - s > REGION else _joined(sketch[s:e][order], n[s:e][order])
                     moved = np.flatnonzero(root != np.arange(e - s))
                     if len(moved):
-                        u.append(cls[s:e][root[moved]])
-                        v.append(cls[s:e][moved])
+                        u.append(c[root[moved]])
+                        v.append(c[moved])
         live = deeper
     if u:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
@@ -257,19 +257,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = 100 * both >= PERCENT * (n[:, None] + n - both)
         ok &= out[:, None] | out
         same = label[:, None] == label
-        root = _reach(ok | same)
-        # of the links, those that hang each row on an earlier part of its component
-        u, v = [], []
-        group = _reach(same)
-        seen = group.copy()
-        for i, j in np.argwhere(np.triu(ok & ~same)):
-            a, b = seen[i], seen[j]
-            if a != b:
-                u.append(cls[i])
-                v.append(cls[j])
-                seen[seen == max(a, b)] = min(a, b)
-        assert len(np.unique(seen)) == len(np.unique(root))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(u, np.int64)), pa.array(np.array(v, np.int64))], names=["u", "v"]) if u else None
+        # one link for each part that was not yet joined, to the first class that it is now joined with
+        root, part = _reach(ok | same), _reach(same)
+        moved = np.flatnonzero((part == np.arange(m)) & (root != part))
+        u, v = cls[root[moved]], cls[moved]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"]) if len(moved) else None
 
     for batch in batches:
         cols = [batch.column(c) for c in ("cluster", "i", "j", "class", "label", "outside", "items")]
@@ -307,7 +299,9 @@ def _links(members: DataFrame) -> DataFrame:
     where = F.when(pivot, F.sequence(F.lit(0).cast("bigint"), _spread(F.col("size")) - 1)).otherwise(F.array(chunk))
     first = m.select("cluster", F.explode(where).alias("i"), F.lit(0).cast("bigint").alias("j"), "class", F.col("class").alias("label"), F.lit(True).alias("outside"), "items")
     links = _blocks(first)
-    if not size.filter(F.col("size") > CHUNK).head(1):
+    discard(size)
+    if not m.filter(F.col("size") > CHUNK).head(1):
+        discard(m)
         return links
     large = m.filter(F.col("size") > CHUNK)
     root = components(links)
@@ -322,7 +316,9 @@ def _links(members: DataFrame) -> DataFrame:
     # an outsider is in the rows of its chunk of outsiders; all others in the columns of theirs, and outsiders there too
     as_row = rest.filter("outside").select("cluster", F.pmod(F.xxhash64("class", F.lit("out")), chunks_out).alias("i"), F.explode(upto(chunks_in)).alias("j"), "class", "label", "outside", "items")
     as_col = rest.select("cluster", F.explode(upto(chunks_out)).alias("i"), F.pmod(F.xxhash64("class"), chunks_in).alias("j"), "class", "label", F.lit(False).alias("outside"), "items")
-    return links.union(_blocks(as_row.union(as_col)))
+    more = _blocks(as_row.union(as_col))
+    discard(m, root, labelled, main)
+    return links.union(more)
 
 
 def resolve(docs: DataFrame, k: int = 2, row: str | None = None) -> DataFrame:
@@ -348,12 +344,15 @@ def resolve(docs: DataFrame, k: int = 2, row: str | None = None) -> DataFrame:
     texts = narrow.join(few, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_key")), "left_semi").select("text")
     sets = texts.mapInArrow(_measure(k, True), "a bigint, b bigint, items binary")
     members = sets.join(small_side(inside.select("class", "cluster", "a", "b"), inside.count()), ["a", "b"]).select("class", "cluster", "items").dropDuplicates(["class"])
-    found = components(_links(materialise(members, "near-sets")))
+    members = materialise(members, "near-sets")
+    found = components(_links(members))
+    discard(inside, members, clusters)
 
     labels = classes.select("class", "a", "b", "first").join(found, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     labels = materialise(labels.select("class", "a", "b", "first", "root"), "near-labels")
     ids = materialise(labels.groupBy("root").agg(F.min("first").alias("component_id"), F.min("class").alias("leader")), "near-components")
     by_set = materialise(labels.join(ids, "root").select("a", "b", "component_id", "leader"), "near-by-set")
+    discard(classes, found, labels, ids)
     m = measured.select("row", "doc_id", F.col("n").alias("n_shingles"), "a", "b")
     out = m.filter("n_shingles > 0").join(by_set, ["a", "b"]).select("row", "doc_id", "n_shingles", "component_id", "leader")
     alone = m.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("leader"))
@@ -368,7 +367,11 @@ def query(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of ``docs`` with one row of each component, that of its smallest doc_id."""
     held, row = numbered(docs, "near-documents")
-    rows = materialise(resolve(held, k, row), "near-rows")
+    with scope() as used:
+        resolved = resolve(held, k, row)
+    rows = materialise(resolved, "near-rows")
+    for path in used:
+        delete(docs.sparkSession, path)
     # of the rows that carry the component's id, the first
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("leader").agg(F.min("row").alias("keep"))
     return without(held, row, rows.join(first, rows["row"] == first["keep"], "left_anti").select(rows["row"]))
