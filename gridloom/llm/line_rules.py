@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import chunks, mix, pair
-from ._store import materialise
+from ._store import materialise, small_side
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -136,6 +136,6 @@ def query(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged."""
     bad = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    bad = materialise(bad, "rejected")
+    bad = small_side(materialise(bad, "rejected"))
     key = F.xxhash64(docs["text"].cast("string"))
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["bad_id"]) & (key == bad["bad_key"]), "left_anti")
