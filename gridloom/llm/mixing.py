@@ -159,7 +159,9 @@ def mix(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     blocks = F.filter(F.sequence(first, last), lambda k: picked(k + 1) > picked(k))
     words = F.regexp_extract_all(held["text"].cast("string"), F.lit(f"({WORD})"))
     begin = lambda k: F.greatest(k * block - p["start"], F.lit(0).cast("bigint"))
-    some = F.flatten(F.transform(blocks, lambda k: F.slice(words, (begin(k) + 1).cast("int"), (F.least((k + 1) * block - p["start"], p["size"]) - begin(k)).cast("int"))))
+    cut = lambda ws, k: F.slice(ws, (begin(k) + 1).cast("int"), (F.least((k + 1) * block - p["start"], p["size"]) - begin(k)).cast("int"))
+    # the words are a variable, so that they are found once and not once a block
+    some = F.get(F.transform(F.array(words), lambda ws: F.flatten(F.transform(blocks, lambda k: cut(ws, k)))), F.lit(0))
     part = F.when(F.size(blocks) == last - first + 1, held["text"].cast("string")).when(F.size(blocks) > 0, F.array_join(some, " "))
     copies = F.concat(F.array_repeat(held["text"].cast("string"), p["times"].cast("int")), F.array_compact(F.array(part)))
     out = j.select(*(held[c] for c in docs.columns), F.explode(copies).alias(f"{row}_text"))
