@@ -7,34 +7,70 @@ result is written and read again before the next.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, line_rules, mixing, near_dedup, sharding
-from gridloom.llm._store import documents, materialise, table
+from gridloom.llm._store import delete, discard, documents, materialise, scope, table
 from gridloom.llm.pipeline_sql import PIPELINE
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables that the last stage's result reads.
+_left: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage that first deletes the scratch tables of the one before, but for those that its input still reads.
+
+    The first stage deletes nothing: the last result of an earlier run may still be wanted.
+    """
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if run_stage is STAGES[0][1]:
+            _left.clear()
+        elif _left:
+            read = docs.inputFiles()
+            for path in _left:
+                if not any(path.removeprefix("file://") in x for x in read):
+                    delete(spark, path)
+            _left.clear()
+        with scope() as paths:
+            out = f(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and are not depleted of lines that their host repeats."""
     return line_rules.filter_documents(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by five-word shingles at 0.8 or more."""
     return near_dedup.deduplicate(docs, 5)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, re-parameterised ones included."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources at their target weights, repeats included."""
     return mixing.mix(docs)
 
 
+@_stage
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as read back from its compacted shards, with each text's bytes."""
     _, rows = sharding.shard(docs)
@@ -53,7 +89,10 @@ ORACLE_SQL: str | None = PIPELINE
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs = before = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = materialise(stage(spark, before, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

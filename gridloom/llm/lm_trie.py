@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _elias_fano as ef
 from ._bytes import chunks
 from ._labels import fold
-from ._store import materialise, new_path
+from ._store import materialise, new_path, new_table
 
 HELD_OUT = 1
 DISCOUNT, MIN_COUNT = 0.75, 2
@@ -344,7 +344,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     if model.start >= (1 << 31) - 1:
         raise ValueError("word ids are four bytes; this corpus has more distinct words")
 
-    path = new_path(docs.sparkSession, "lm-tokens")
+    path = new_table(docs.sparkSession, "lm-tokens")
     narrow.mapInArrow(_tokens(model), "doc_id bigint, held_out boolean, ids binary").write.option("compression", "zstd").parquet(path)
     tokens = docs.sparkSession.read.parquet(path)
     pairs = tokens.filter(~F.col("held_out")).select("ids").mapInArrow(_bigrams(model), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_COUNT)

@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import delete, fresh, hadoop_path, materialise, new_path, small_side
+from ._store import delete, fresh, hadoop_path, materialise, new_table, small_side
 
 #: Bytes of a merged file; growth from tier to tier; size of the first tier; files of a tier that are worth a merge.
 TARGET, FAN_IN, FIRST, LEAST = 128 << 20, 4, 1 << 20, 2
@@ -171,7 +171,7 @@ class ShardStore:
 
 def shard(docs: DataFrame, target: int = TARGET) -> tuple[ShardStore, DataFrame]:
     """A new store with ``docs`` appended and compacted, and its rows read back with their shard's name."""
-    store = ShardStore(docs.sparkSession, new_path(docs.sparkSession, "shards"))
+    store = ShardStore(docs.sparkSession, new_table(docs.sparkSession, "shards"))
     store.append(docs)
     store.compact(target)
     rows = store.read(schema=docs.schema)
