@@ -7,13 +7,14 @@ every text is followed by one line feed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to so many bytes; a longer text goes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 SEP = np.zeros(256, bool)
 SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -117,15 +118,30 @@ class Texts:
         return c[end] - c[start]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Texts]]:
     """(first row, row after the last, texts) of runs of rows of about ``limit`` bytes."""
     data, offsets = column(col)
     i, n = 0, len(col)
+    give_back()
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         j = min(j, n)
         yield i, j, Texts(data, offsets[i : j + 1])
         i = j
+    give_back()
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
