@@ -90,14 +90,18 @@ def _overlaps(src: tuple[np.ndarray, np.ndarray], dst: tuple[np.ndarray, np.ndar
 
 
 def _frame(spark: SparkSession, rows: list[tuple[int, int, float]], axis: str) -> DataFrame:
-    return spark.createDataFrame([(d, k, float(w)) for d, k, w in rows], _AXIS).toDF(f"d{axis}", f"s{axis}", f"w{axis}")
+    """An axis's weights, one row per pair of points."""
+    summed: dict[tuple[int, int], float] = {}
+    for d, k, w in rows:
+        summed[d, k] = summed.get((d, k), 0.0) + float(w)
+    return spark.createDataFrame([(d, k, w) for (d, k), w in summed.items()], _AXIS).toDF(f"d{axis}", f"s{axis}", f"w{axis}")
 
 
 def _product(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, lat: list, lon: list) -> DataFrame:
     """(src, dst, w) of the products of two axes' weights."""
     nx, mx = len(source.lons), len(target.lons)
     pairs = _frame(spark, lat, "i").crossJoin(_frame(spark, lon, "j"))
-    return pairs.select((F.col("si") * nx + F.col("sj")).alias("src"), (F.col("di") * mx + F.col("dj")).alias("dst"), (F.col("wi") * F.col("wj")).alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return pairs.select((F.col("si") * nx + F.col("sj")).alias("src"), (F.col("di") * mx + F.col("dj")).alias("dst"), (F.col("wi") * F.col("wj")).alias("w"))
 
 
 def _open(spark: SparkSession, grid: LonLatGrid, weights: DataFrame, cell: str) -> DataFrame:
@@ -170,7 +174,7 @@ def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method
         # a cell with a masked neighbour has no bilinear weights
         if source.mask is not None:
             complete = full.groupBy("dst").agg(F.count("*").alias("n")).join(out.groupBy("dst").agg(F.count("*").alias("m")), "dst").filter("n = m").select("dst")
-            out = out.join(complete, "dst", "left_semi")
+            out = out.join(complete, "dst", "left_semi").select("src", "dst", "w")
     else:
         lat = _overlaps(_edges(source.lats), _edges(target.lats), False, lambda v: np.sin(np.radians(v)))
         lon = _overlaps(_sides(source.lons % 360), _sides(target.lons % 360), True, np.radians)
@@ -189,7 +193,7 @@ def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method
     out = _open(spark, target, out, "dst")
     if extrap_method == "nearestidavg":
         lacking = target.cells(spark).filter("mask <> 0").select("dst").join(out.select("dst").distinct(), "dst", "left_anti")
-        out = out.union(_distance(spark, source, target, 4).join(lacking, "dst", "left_semi").select("src", "dst", "w"))
+        out = out.unionByName(_distance(spark, source, target, 4).join(lacking, "dst", "left_semi").select("src", "dst", "w"))
     elif extrap_method is not None:
         raise NotImplementedError(f"extrap_method {extrap_method!r}")
     return out.select("src", "dst", "w")
