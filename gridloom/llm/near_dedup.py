@@ -41,8 +41,8 @@ TREES, DEPTH, SKETCH = 16, 8, 64
 #: Bytes of two sketches that must agree: five standard deviations below what sets at 80 percent have.
 AGREE = 35
 REGION, CHUNK, PIVOTS = 256, 96, 32
-#: A set of fewer shingles has no near neighbour but its equals: n / (n + 1) is below 80 percent.
-LEAST = 5
+#: A set of fewer shingles has no near neighbour but its equals: n / (n + 1) is below PERCENT.
+LEAST = -(-PERCENT // (100 - PERCENT))
 #: Sorted rows that one task takes.
 TASK_ROWS = 100_000
 

@@ -53,6 +53,16 @@ def test_brute_force(spark, docs, k):
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, k)
 
 
+def test_smallest_sets(spark, docs):
+    """A 5-word text and its 6-word extension share 4 of 5 shingles, exactly 80 percent; 3 of 4 aren't enough."""
+    rows = [(10 * n + j, " ".join(words(n + j, n, 10**6)), "s") for n in (2, 3, 4, 5, 6) for j in (0, 1)]
+    rows += [(100 + 10 * s + j, " ".join(words(5 + j, 60 + s, 10**6)), "s") for s in range(6) for j in (1, 0, 2)]
+    got = near_dedup.resolve(docs(rows), 2).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, 2)
+    by_id = {r.doc_id: r.component_id for r in got}
+    assert by_id[51] == by_id[50] == 50 and by_id[41] == 41 and by_id[102] == by_id[101] == by_id[100] == 100
+
+
 def test_large_cluster(spark, docs):
     """More members than a chunk holds; links among them are few and reach across chunks."""
     base = words(300, 1)
