@@ -56,6 +56,23 @@ def test_kinds(text, kind, shape):
     assert value != new and one(text) == f
 
 
+_PARTS = ["Yesterday", "Mitarbeiterin", "Anna", "Brown", "Sabine", "Becker", "Иван", "Петров", "came", "-", "Jean-", " ", "\n", ". ", "AA-BB-CC-DD-EE-FF", "sk-" + "abcde" * 5, "AKIA" + "ABCD" * 4, "Mrs", "7", "é"]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(_PARTS), max_size=8), st.sampled_from(["", " "]))
+def test_maybe_loses_nothing(parts, gap):
+    text = gap.join(parts)
+    assert pii.maybe(text) or not any(p.search(text) for _, p, _ in pii._COMPILED), text
+
+
+@pytest.mark.parametrize("text", ["Yesterday Anna Brown came home", "Die Mitarbeiterin Sabine Becker", "On Monday Old Anna Brown came", "Jean-Anna Brown", "Вчера Иван Петров пришёл", "mac AA-BB-CC-DD-EE-FF", "key sk-" + "abcde" * 5])
+def test_without_maybe(text, monkeypatch):
+    got = one(text)
+    monkeypatch.setattr(pii, "maybe", lambda t: True)
+    assert got == one(text) and got.entities
+
+
 def test_consistency():
     assert len({one(f"x {n} y").entities[0][2] for n in range(4000000000000000, 4000000000000200)}) == 200
     valid = one("4111111111111111").entities[0][2]
