@@ -10,9 +10,15 @@ to count and are left out on the benchmark's side.
 A document that matches enough of an item's windows is a candidate. Its slots
 must be consistent: each value that the item has in a slot stands for the one
 value that the document most often has in its stead, and a window with another
-value doesn't count. A document that still holds SHARE / PARTS of an item's
-windows or more is contaminated by it: a copy has the same values, a
-re-parameterised question has others throughout.
+value doesn't count. That is settled for the whole document, and for each place
+where the item may lie in it by itself, as a document can hold an item more than
+once with different values; the best of them counts. A document that still holds
+SHARE / PARTS of an item's windows or more is contaminated by it: a copy has the
+same values, a re-parameterised question has others throughout.
+
+A place is a band of half an item's length of offsets between the document's and
+the item's windows. Bands overlap by half, so that one holds a copy with up to a
+quarter of its length put in or left out, and none holds two copies.
 
 All of it is DataFrame functions. The benchmark's windows are broadcast if their
 counted number allows and joined by shuffle otherwise. Null texts have no words;
@@ -84,7 +90,8 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, doc_id, text_key, item_id, n_windows, n_matched) for every contaminated document and item."""
     bench, n = benchmark_windows(benchmark)
-    totals = materialise(bench.groupBy("item").agg(F.countDistinct("item_place").alias("n_windows")), "benchmark-sizes")
+    band = F.greatest(F.lit(2), F.call_function("div", F.max("item_place") - F.min("item_place") + WORDS, F.lit(2))).cast("bigint")
+    totals = materialise(bench.groupBy("item").agg(F.countDistinct("item_place").alias("n_windows"), band.alias("band")), "benchmark-sizes")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     w = windows(rows, "row", "doc_id", "text_key")
     if n <= BROADCAST_ROWS // 8:  # a window's row is some eight times a pair of numbers
@@ -94,20 +101,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hit = w.withColumn("doc_said", _slice("said")).drop("said", "t1", "t2").join(bench, "h")
     pair = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.struct(F.get("kinds", k).alias("kind"), F.get("item_said", k).alias("a"), F.get("doc_said", k).alias("b")))
     hit = hit.withColumn("pairs", F.filter(pair, lambda p: p["kind"].startswith("<")))
-    hit = materialise(hit.select("row", "doc_id", "text_key", "item", "item_id", "item_place", "pairs"), "benchmark-hits").distinct()
+    hit = materialise(hit.select("row", "doc_id", "text_key", "item", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("offset"), "pairs"), "benchmark-hits")
 
     enough = PARTS * F.countDistinct("item_place") >= SHARE * F.first("n_windows")
     sized = hit.join(small_side(totals), "item")
     candidate = sized.groupBy("row", "item").agg(enough.alias("enough")).filter("enough").select("row", "item")
-    found = materialise(sized.join(candidate, ["row", "item"], "left_semi"), "benchmark-candidates")
-
-    slots = found.select("row", "item", F.explode("pairs").alias("p")).groupBy("row", "item", "p.kind", "p.a", "p.b").agg(F.count("*").alias("c"))
-    value = slots.groupBy("row", "item", "kind", "a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
+    # half bands by number; a whole band is named after its first half, the whole document is null
+    half = F.floor(2 * F.col("offset") / F.col("band"))
+    at = sized.join(candidate, ["row", "item"], "left_semi").withColumn("at", F.explode(F.array(F.lit(None).cast("bigint"), half - 1, half)))
+    found = materialise(at.drop("offset", "band").distinct(), "benchmark-candidates")
+
+    here = ["row", "item", "at"]
+    slots = found.select(*here, F.explode("pairs").alias("p")).groupBy(*here, "p.kind", "p.a", "p.b").agg(F.count("*").alias("c"))
+    value = slots.groupBy(*here, "kind", "a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
     # an item's slots are few: as many as it has words
-    mapping = value.groupBy("row", "item").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "a"), "b"))).alias("mapping"))
-    judged = found.join(mapping, ["row", "item"], "left")
+    mapping = value.groupBy(*here).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "a"), "b"))).alias("mapping"))
+    mapping = mapping.select(*(F.col(c).alias(f"m_{c}") for c in here), "mapping")
+    judged = found.join(mapping, (F.col("row") == F.col("m_row")) & (F.col("item") == F.col("m_item")) & F.col("at").eqNullSafe(F.col("m_at")), "left")
     fits = F.forall("pairs", lambda p: F.try_element_at("mapping", F.struct(p["kind"], p["a"])) == p["b"])
-    out = judged.filter((F.size("pairs") == 0) | fits).groupBy("row", "doc_id", "text_key", "item", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_place").alias("n_matched"))
+    whole = ["row", "doc_id", "text_key", "item", "item_id"]
+    out = judged.filter((F.size("pairs") == 0) | fits).groupBy(*whole, "at").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("item_place").alias("n_matched"))
+    out = out.groupBy(*whole).agg(F.first("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"))
     return out.filter(PARTS * F.col("n_matched") >= SHARE * F.col("n_windows")).drop("item")
 
 

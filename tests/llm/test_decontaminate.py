@@ -28,6 +28,23 @@ def test_copies_and_new_parameters(spark, docs):
     assert 2 not in by_id or by_id[2].n_matched < by_id[3].n_matched
 
 
+def test_variants_in_one_document(spark, docs):
+    """A document with an item more than once, each time with other values, holds it as a document with one of them does."""
+
+    def variant(city, to, who, n):
+        return ITEM.replace("Paris", city).replace("Lyon", to).replace("Marie", who).replace("120", str(n)).replace("9", str(n % 7))
+
+    some = [variant("Berlin", "Hamburg", "Ingrid", 80), variant("Oslo", "Bergen", "Zoe", 310), variant("Rome", "Milan", "Aldo", 555), ITEM]
+    put_in = some[1].replace("travels", "slowly travels").replace("wait", "then wait")
+    around = " ".join(words(40, 3))
+    texts = [some[0], f"{some[0]} {some[1]}", "\n".join(some[:3]), f"{around} {some[0]} {around} {some[1]} {around}", " ".join(some), f"{some[0]} {around} {put_in} {some[2]}"]
+    got = {r.doc_id: r for r in decontaminate.query(docs([(i, t, "s") for i, t in enumerate(texts)]), bench(spark)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    assert all(r.n_matched >= got[0].n_matched for r in got.values())
+    frame = docs([(i, t, "s") for i, t in enumerate(texts)])
+    assert decontaminate.clean(frame, bench(spark)).count() == 0
+
+
 def test_clean(spark, docs, odd):
     rows = [(1, ITEM, "s"), (2, "clean " + " ".join(words(40, 2)), "s"), (None, ITEM + " x", "s"), (3, None, "s")]
     frame = docs(rows)
