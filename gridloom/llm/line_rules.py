@@ -115,18 +115,24 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return narrow.mapInArrow(_measure, SCHEMA)
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
-    """One row per row of ``docs`` with its figures, the words it loses and the verdict."""
+def _judged(docs: DataFrame, host: str, max_docs: int, max_lost: float) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs`` with its figures and verdict, and (row, at, w) for each line that goes; ``at`` counts a row's lines that have a word."""
     rows = materialise(measure(docs, host).withColumn("row", F.monotonically_increasing_id()), "line-rules")
-    lines = rows.select("row", "doc_id", "host", "content", F.explode("lines").alias("line")).select("row", "doc_id", "host", "content", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    lines = rows.select("row", "doc_id", "host", "content", F.posexplode("lines").alias("at", "line")).select("row", "doc_id", "host", "content", "at", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     counts = lines.groupBy("host", "h", "content").agg(F.min("doc_id").alias("first")).groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
     # written, so that its true size decides between a broadcast and a shuffle join
     above = materialise(counts.filter(F.col("n_docs") > max_docs).select("host", "h", "first"), "lines-above")
-    lost = lines.join(above, ["host", "h"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("w").alias("lost"))
+    gone = lines.join(above, ["host", "h"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("row", "at", "w")
+    lost = gone.groupBy("row").agg(F.sum("w").alias("lost"))
     out = rows.drop("lines").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = F.col("n_removed_words") > max_lost * F.col("n_words")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row", "lost", "host", "content")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("lost", "content"), gone
+
+
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """One row per row of ``docs`` with its figures, the words it loses and the verdict."""
+    return _judged(docs, host, max_docs, max_lost)[0].drop("row", "host")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -139,3 +145,26 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     bad = small_side(materialise(bad, "rejected"))
     key = F.xxhash64(docs["text"].cast("string"))
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["bad_id"]) & (key == bad["bad_key"]), "left_anti")
+
+
+def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without the lines that go; n_chars, if there, is counted anew."""
+    judged, gone = _judged(docs, host, max_docs, max_lost)
+    # rows that agree in these three have the same lines and verdict
+    places = gone.groupBy("row").agg(F.collect_list("at").alias("gone_at"))
+    keys = [F.col("doc_id").alias("gone_id"), F.col("host").alias("gone_host"), F.col("text_key").alias("gone_key")]
+    marked = judged.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).join(places, "row", "left").select(*keys, "kept", "gone_at")
+    marked = small_side(materialise(marked.dropDuplicates(["gone_id", "gone_host", "gone_key"]), "lines-gone"))
+    own_host = F.coalesce(F.concat(F.lit("="), docs[host].cast("string")), F.lit(""))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(marked["gone_id"]) & (own_host == marked["gone_host"]) & (F.xxhash64(docs["text"].cast("string")) == marked["gone_key"])
+    lines = F.split(docs["text"], "\n", -1)
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
+    out = F.transform(marked["gone_at"], lambda k: F.get(worded, k))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
+    text = F.when(marked["gone_at"].isNull(), docs["text"]).otherwise(left)
+    changed = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(marked["gone_at"].isNull(), docs["n_chars"]).otherwise(F.length(text).cast(kind)).alias("n_chars")
+    joined = docs.join(marked, same, "left").filter(F.coalesce(marked["kept"], F.lit(True)))
+    return joined.select(*(changed.get(c, docs[f"`{c}`"]) for c in docs.columns))

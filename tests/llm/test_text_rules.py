@@ -86,6 +86,23 @@ def test_filter(spark, odd):
     assert line_rules.query(odd).count() == odd.count()
 
 
+def test_remove_lines(spark, docs, odd):
+    shared = " ".join(words(12, 77))
+    own = [[" ".join(words(30, 10 * k + j)) for j in range(2)] for k in range(30)]
+    rows = [(k, f"{own[k][0]}\n\n  {shared.upper() if k % 2 else shared}\n{own[k][1]}\n{shared}\n", "h" if k < 25 else "other") for k in range(30)]
+    rows += [(7, rows[7][1], "h"), (40, shared, "h"), (None, rows[9][1], "h")]
+    frame = docs(rows)
+    out = line_rules.remove_lines(frame)
+    assert out.columns == frame.columns and out.dtypes == frame.dtypes
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in out.collect())
+    # the smallest doc_id keeps its lines, as do documents of a host with few of them
+    bare = lambda k: f"{own[k][0]}\n\n{own[k][1]}\n"
+    assert got == sorted([(-1, bare(9)), (7, bare(7)), (0, rows[0][1]), *((k, bare(k)) for k in range(1, 25)), *((k, rows[k][1]) for k in range(25, 30))])
+    assert out.filter("n_chars <> length(text)").count() == 0
+    assert line_rules.remove_lines(odd).count() == line_rules.filter_documents(odd).count()
+    assert line_rules.remove_lines(odd.limit(0)).count() == 0
+
+
 def test_repeats():
     owner, key = np.array([0, 0, 0, 1, 1]), np.array([5, 6, 5, 5, 7])
     again, twice = line_rules.repeats(owner, key)
