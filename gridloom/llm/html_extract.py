@@ -38,6 +38,8 @@ JUNK_WORD = frozenset(
     " newsletter subscribe subscription signup paywall sidebar sidebars aside rail widget widgets menu menus submenu nav navbar navigation navi breadcrumb breadcrumbs crumbs masthead topbar header footer foot copyright colophon disclaimer"
     " comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recommendations search login toolbar pagination pager skip".split()
 )
+#: Of these, words of containers that may hold more prose than the article.
+REMARKS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 GOOD_WORD = frozenset("article body content entry main page post story text blog".split())
 #: Elements that a start tag closes if they are open within the nearest scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,18 +55,19 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "junk", "good", "size", "commas", "linked", "links", "points", "whole", "whole_linked", "keep")
+    __slots__ = ("tag", "parent", "junk", "mark", "good", "size", "commas", "linked", "links", "points", "whole", "whole_linked", "keep")
 
-    def __init__(self, tag: str, parent: int, junk: bool, good: bool):
-        self.tag, self.parent, self.junk, self.good = tag, parent, junk, good
+    def __init__(self, tag: str, parent: int, junk: bool, good: bool, mark: int = 0):
+        self.tag, self.parent, self.junk, self.good, self.mark = tag, parent, junk or mark > 0, good, mark
         self.size = self.commas = self.linked = self.links = self.whole = self.whole_linked = 0
         self.points, self.keep = 0.0, False
 
 
-def _marks(tag: str, rest: str, inside_article: bool) -> tuple[bool, bool]:
-    """(is junk, looks like an article) by tag and attributes."""
+def _marks(tag: str, rest: str, inside_article: bool) -> tuple[bool, bool, int]:
+    """(is junk, looks like an article) by tag and attributes; and what only class or id say: 1 junk, 2 remarks."""
     if tag in ("html", "body"):
-        return False, False
+        return False, False, 0
+    mark = 0
     junk = tag in JUNK_TAG or (tag == "header" and not inside_article)
     good = tag in ("article", "main")
     if rest:
@@ -73,14 +76,14 @@ def _marks(tag: str, rest: str, inside_article: bool) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 words = _NAME.findall(value)
                 if not good or "comment" in words or "comments" in words:
-                    junk = junk or any(w in JUNK_WORD and not (inside_article and w == "header") for w in words)
+                    mark = max([mark, *(1 + (w in REMARKS) for w in words if w in JUNK_WORD and not (inside_article and w == "header"))])
                 good = good or any(w in GOOD_WORD for w in words)
             elif name == "role":
                 junk = junk or value in JUNK_ROLE
                 good = good or value in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
                 junk = True
-    return junk, good and not junk
+    return junk, good and not junk, 0 if junk else mark
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -162,14 +165,30 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes.append(Node("body", 0, False, False))
                 stack.append(len(nodes) - 1)
             continue
-        junk, good = _marks(tag, m[3], articles > 0)
-        nodes.append(Node(tag, stack[-1], junk, good))
+        junk, good, mark = _marks(tag, m[3], articles > 0)
+        nodes.append(Node(tag, stack[-1], junk, good, mark))
         if not html.startswith("/>", m.end() - 2) or tag in BLOCK:
             stack.append(len(nodes) - 1)
             articles += tag in ("article", "main")
     return nodes, runs
 
 
+def _unmark(nodes: list[Node], runs: list[tuple[int, str]]) -> None:
+    """A container that only its class or id marks is no junk if it holds most of the page's prose."""
+    hard, link, prose = [False] * len(nodes), [False] * len(nodes), [0] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        hard[i] = hard[x.parent] or (x.junk and not x.mark)
+        link[i] = link[x.parent] or x.tag == "a"
+    for i, text in runs:
+        if i >= 0 and not hard[i] and not link[i]:
+            prose[i] += len(text.strip())
+    for i in range(len(nodes) - 1, 0, -1):
+        prose[nodes[i].parent] += prose[i]
+    for i, x in enumerate(nodes):
+        if x.mark == 1 and 2 * prose[i] > prose[0]:
+            x.junk = False
+
+
 def _score(nodes: list[Node], runs: list[tuple[int, str]]) -> None:
     """Text, links and points of every node; junk passes nothing on."""
     block = [0] * len(nodes)
@@ -225,10 +244,19 @@ def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
         return ""
-    nodes, runs = parse(html)
-    _score(nodes, runs)
-    best = max(range(len(nodes)), key=lambda i: (_rank(nodes[i]) if nodes[i].tag in CONTAINER or nodes[i].tag in ("ul", "ol", "pre", "table", "tbody", "tr") else 0.0, -i))
-    top = _rank(nodes[best])
+    for by_class in (True, False):
+        nodes, runs = parse(html)
+        marked = any(x.mark for x in nodes)
+        if marked and by_class:
+            _unmark(nodes, runs)
+        elif marked:
+            for x in nodes:
+                x.junk = x.junk and not x.mark
+        _score(nodes, runs)
+        best = max(range(len(nodes)), key=lambda i: (_rank(nodes[i]) if nodes[i].tag in CONTAINER or nodes[i].tag in ("ul", "ol", "pre", "table", "tbody", "tr") else 0.0, -i))
+        top = _rank(nodes[best])
+        if top > 0 or not marked:
+            break
     if top <= 0:
         return ""
     # a row is a part of its table, and a container within an article of that

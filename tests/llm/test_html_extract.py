@@ -25,6 +25,20 @@ def test_article_alone(page):
     assert extract(page) == TEXT
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "layout-sidebar-right", "page has-cookie-banner", "social-theme"])
+def test_marked_wrapper(name):
+    ad = "<div class=ad>Buy, now, now</div>"
+    assert extract(f"<body><div class='{name}'>{ad}{BODY}</div></body>") == TEXT
+    assert extract(f"<body><nav><a href=a>Home</a></nav><div id='{name}'><div class='{name}'>{BODY}{ad}</div></div><footer>c, d</footer></body>") == TEXT
+    assert extract(f"<body><h1>T</h1><div class='{name}'><article>{BODY}</article>{ad}</div></body>") == TEXT
+
+
+def test_only_marked_parts():
+    assert extract("<div class=banner><p>One, two, three.</p></div><div class=comments><p>Four, five, six, seven.</p></div>") != ""
+    long = "<p>I, for one, do not agree with any of it, never, ever.</p>" * 12
+    assert extract(f"<body><div class=story>{BODY}</div><div id=comments>{long}</div></body>") == TEXT
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
