@@ -40,7 +40,7 @@ from ._labels import fold
 from ._store import materialise, new_path, new_table
 
 HELD_OUT = 1
-DISCOUNT, MIN_COUNT = 0.75, 2
+DISCOUNT, MIN_COUNT = 0.75, 1
 #: Steps of a quantised logarithm to one power of ten.
 STEPS = 48
 #: Entries in one file; tokens counted together in a task before they are passed on.

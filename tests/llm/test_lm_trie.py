@@ -85,6 +85,13 @@ def test_brute_force(spark, docs, monkeypatch):
     check(lm.query(docs(rows)).collect(), rows)
 
 
+def test_single_pairs_count(spark, docs):
+    """A pair that occurs once is in the trie, and counts for a held-out text."""
+    held, learnt = (next(k for k in range(50) if (zlib.crc32(str(k).encode()) % 5 == 1) is x) for x in (True, False))
+    got = {r.doc_id: r for r in lm.query(docs([(learnt, "one two three four", "s"), (held, "one two three four", "s")])).collect()}
+    assert got[held].score > got[held].base_score + 1
+
+
 def test_odd(spark, docs, odd):
     assert lm.query(odd).count() == odd.count()
     assert lm.query(odd.limit(0)).count() == 0
