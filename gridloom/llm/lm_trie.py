@@ -3,10 +3,10 @@
 Level 1 holds every training word: its hash in an Elias-Fano sequence, its
 count beside it; a word's id is its place. Level 2 holds, for each context word
 with kept successors, a monotone pointer to their range and a quantised weight
-of the shorter context; and, all ranges one after another, successor ids in an
-Elias-Fano sequence relative to their context, with quantised probabilities.
-A successor is searched within its context's range. Levels lie in files of the
-shared folder, a file per range of keys, which every executor maps into memory
+of the shorter context; and, all ranges one after another, combined keys of
+context and successor in an Elias-Fano sequence, with quantised probabilities.
+A combined key is searched in the whole file, and its place compared with its
+context's range. Levels lie in files of the shared folder, a file per range of keys, which every executor maps into memory
 rather than reads.
 
 Model: interpolated absolute discounting,
