@@ -2,8 +2,8 @@
 
 A value is cut into its low ``l`` bits, packed one after another, and its high
 part, kept in unary: one bit per element at (high part + index). Directories
-count ones and zeros per 512 bits, so that the k-th one or zero is found by a
-search of the directory and a scan of eight words. All queries take arrays.
+count ones and zeros before each 256 bits, so that the k-th one or zero is found
+by a search of the directory and a scan of four words. All queries take arrays.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 _HEAD = 8  # numbers in the header
-_BLOCK = 512
+_WORDS = 4  # of 64 bits, in a block
 _MOST_LOW = 56  # a low part must lie within eight bytes from any bit of the first
 
 
@@ -20,7 +20,7 @@ def _pad(x: bytes) -> bytes:
 
 
 def encode(values: np.ndarray) -> bytes:
-    """Buffer of an ascending sequence of numbers below 2**64."""
+    """Buffer of an ascending sequence of fewer than 2**30 numbers below 2**64."""
     v = np.asarray(values, np.uint64)
     n = len(v)
     top = int(v[-1]) if n else 0
@@ -35,10 +35,11 @@ def encode(values: np.ndarray) -> bytes:
     bits = np.zeros(n + (top >> l) + 1, np.uint8)
     bits[(v >> np.uint64(l)).astype(np.int64) + np.arange(n)] = 1
     words = np.frombuffer(_pad(np.packbits(bits, bitorder="little").tobytes()), np.uint64)
-    words = np.append(words, np.zeros(-len(words) % 8 + 8, np.uint64))
-    ones = np.append(0, np.cumsum(np.bitwise_count(words).astype(np.int64).reshape(-1, 8).sum(axis=1)))
-    head = np.array([n, l, top, len(words), len(low), len(bits), 0, 0], np.uint64)
-    return head.tobytes() + words.tobytes() + ones.astype(np.int64).tobytes() + _pad(bytes(low) + bytes(8))
+    words = np.append(words, np.zeros(-len(words) % _WORDS + _WORDS, np.uint64))  # whole blocks, the last all zeros
+    ones = np.bitwise_count(words).reshape(-1, _WORDS).sum(axis=1, dtype=np.int64)
+    ones = np.append(np.cumsum(ones) - ones, [n] if len(ones) % 2 else [])  # an even number
+    head = np.array([n, l, top, len(words), len(low), 0, 0, 0], np.uint64)
+    return head.tobytes() + words.tobytes() + ones.astype(np.uint32).tobytes() + _pad(bytes(low) + bytes(8))
 
 
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -64,31 +65,29 @@ class Sequence:
         at = 8 * _HEAD
         self.words = raw[at : at + 8 * n_words].view(np.uint64)
         at += 8 * n_words
-        blocks = n_words // 8 + 1
-        self.ones = raw[at : at + 8 * blocks].view(np.int64)
-        at += 8 * blocks
+        blocks = n_words // _WORDS
+        self.ones = raw[at : at + 4 * blocks].view(np.uint32)
+        self.zeros = (np.arange(blocks) * (64 * _WORDS) - self.ones).astype(np.uint32)
+        at += 4 * (blocks + blocks % 2)
         self.low = raw[at : at + n_low + 8]
         self.size = at + n_low + 8 + (-(n_low + 8) % 8)
-        self.zeros = np.arange(blocks, dtype=np.int64) * _BLOCK - self.ones
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Bit place of the k-th one or zero."""
-        block = np.searchsorted(self.ones if one else self.zeros, k, "right") - 1
-        rest = k - (self.ones if one else self.zeros)[block]
-        word = np.zeros(len(k), np.uint64)
-        at = np.zeros(len(k), np.int64)
-        todo = np.ones(len(k), bool)
-        for i in range(8):
-            w = self.words[block * 8 + i]
-            if not one:
-                w = ~w
-            n = np.bitwise_count(w).astype(np.int64)
-            here = todo & (rest < n)
-            word = np.where(here, w, word)
-            at = np.where(here, block * _BLOCK + 64 * i, at)
-            todo &= ~here
-            rest = np.where(todo, rest - n, rest)
-        return at + _select_in_word(word, rest)
+        before = self.ones if one else self.zeros
+        block = np.searchsorted(before, k.astype(np.uint32), "right") - 1
+        rest = k - before[block]
+        at = _WORDS * block
+        word = self.words[at] if one else ~self.words[at]
+        for _ in range(_WORDS - 1):
+            n = np.bitwise_count(word)
+            on = np.flatnonzero(rest >= n)
+            if not len(on):
+                break
+            rest[on] -= n[on]
+            at[on] += 1
+            word[on] = self.words[at[on]] if one else ~self.words[at[on]]
+        return 64 * at + _select_in_word(word, rest)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -104,8 +103,8 @@ class Sequence:
         high = self._select(i, True) - i
         return (high.astype(np.uint64) << np.uint64(self.l)) | self._low(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first element that equals each number, or -1."""
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+        """Place of the first element that equals each number among the places first..last - 1, or -1."""
         x = np.asarray(x, np.uint64)
         out = np.full(len(x), -1, np.int64)
         live = np.flatnonzero(x <= np.uint64(self.top)) if self.n else np.zeros(0, np.int64)
@@ -113,8 +112,12 @@ class Sequence:
             return out
         y = x[live]
         high = (y >> np.uint64(self.l)).astype(np.int64)
+        # places of the elements with this high part
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
         hi = self._select(high, False) - high
+        lo = np.maximum(lo, first[live] if isinstance(first, np.ndarray) else first)
+        if last is not None:
+            hi = np.minimum(hi, last[live])
         low = y & np.uint64((1 << self.l) - 1)
         end = hi.copy()
         open_ = np.flatnonzero(lo < hi)

@@ -1,32 +1,42 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds every training word: its hash in an Elias-Fano sequence, its
-count beside it; a word's id is its place. Level 2 holds, for each context word
-with kept successors, a monotone pointer to their range and a quantised weight
-of the shorter context; and, all ranges one after another, combined keys of
-context and successor in an Elias-Fano sequence, with quantised probabilities.
-A combined key is searched in the whole file, and its place compared with its
-context's range. Levels lie in files of the shared folder, a file per range of keys, which every executor maps into memory
-rather than reads.
-
-Model: interpolated absolute discounting,
-P(w | c) = max(count(c w) - D, 0) / count(c) + weight(c) P(w), over pairs that
-occur MIN_COUNT times or more, where weight(c) is all that the first terms
-leave and P(w) = (count(w) + 0.5) / (N + 0.5 (V + 1)). Quantised numbers are
-rounded down, so that the probabilities that follow a context never sum to more
-than 1. A text is its words with A-Z lower-cased, after a start mark, and then
-one end, which is a token.
-
-Null and empty texts have one token, the end. A null doc_id is scored and, as
-its fold says, learnt from; repeated rows count each; an empty table gives an
-empty result; other columns are ignored.
+Level 1 holds every training word: its hash in an Elias-Fano sequence, its count
+beside it; a word's id is its place. Level k holds all k-grams that occur, in
+order of their context, a place in level k - 1, and of the last word's id. For
+every context there is a monotone pointer to the range of its successors and a
+quantised weight of the shorter context; for every successor its id and its
+quantised probability. Successor ids are kept relative to their context: each
+range counts on from the last value of the range before, which makes the whole
+one Elias-Fano sequence. So a k-gram is found by reading its context's two
+pointers and the value before the range, and by a search between the pointers.
+Levels lie in files of the shared folder, a file per range of k-grams, which
+every executor maps into memory rather than reads; a context with more
+successors than a file holds goes on in the next.
+
+Model: interpolated absolute discounting up to ``order`` words,
+P(w | h) = max(count(h w) - D, 0) / count(h) + weight(h) P(w | shorter h), where
+weight(h) is all that the first terms leave and P(w) = (count(w) + 0.5) /
+(N + 0.5 (V + 1)). Nothing is pruned. Quantised numbers are rounded down, so
+that the probabilities that follow a context never sum to more than 1. A text is
+its words with A-Z lower-cased, after a start mark, and then one end, which is a
+token.
+
+Counts and places are 64-bit numbers. A word is known by a 64-bit hash: of n
+distinct words two share one with a chance of about n * n / 2**65, and then count
+as one word.
+
+Null and empty texts have one token, the end. A very long text is counted and
+scored whole, in one task. A null doc_id is scored and, as its fold says, learnt
+from; repeated rows count each; ties don't arise, as nothing is ranked; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,27 +45,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _elias_fano as ef
-from ._bytes import chunks
+from ._bytes import chunks, give_back
 from ._labels import fold
-from ._store import materialise, new_path, new_table
+from ._store import discard, materialise, new_table
 
 HELD_OUT = 1
-DISCOUNT, MIN_COUNT = 0.75, 1
-#: Steps of a quantised logarithm to one power of ten.
-STEPS = 48
-#: Entries in one file; tokens counted together in a task before they are passed on.
-PART, FLUSH = 1_000_000, 2_000_000
-_TOP = np.uint64(1 << 63)
+ORDER, DISCOUNT = 3, 0.75
+#: Steps of a quantised logarithm to one power of ten, of probabilities (one byte) and of weights (two bytes).
+STEPS, WEIGHT_STEPS = 32, 4000
+#: Entries of a file before equal ones are added up; tokens counted together in a task before they are passed on.
+PART, FLUSH = 1_000_000, 1 << 19
+#: Sampled pairs to each boundary between files; it decides their sizes, never what they hold.
+SAMPLE = 128
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    """One byte for each probability, rounded down; 255 stands for all that is smaller."""
-    return np.clip(np.ceil(-np.log10(np.maximum(p, 1e-300)) * STEPS - 1e-9), 0, 255).astype(np.uint8)
+def quantise(p: np.ndarray, steps: int = STEPS, kind: type = np.uint8) -> np.ndarray:
+    """A number of ``kind`` for each probability, rounded down; the largest stands for all that is smaller."""
+    return np.clip(np.ceil(-np.log10(np.maximum(p, 1e-300)) * steps - 1e-9), 0, np.iinfo(kind).max).astype(kind)
 
 
 LEVELS = np.append(10.0 ** (-np.arange(255) / STEPS), 0.0)
 
 
+def weight_of(q: np.ndarray) -> np.ndarray:
+    return 10.0 ** (-q.astype(float) / WEIGHT_STEPS)
+
+
 # Files of the shared folder, which may be a mounted path or any store that Arrow reaches.
 
 
@@ -76,55 +91,169 @@ def _file_system(path: str):
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-_maps: dict[str, np.ndarray] = {}
-
-
 def _map(path: str) -> np.ndarray:
-    """The bytes of a file as a memory map; one that isn't on a mounted path is copied beside the worker first."""
-    if path not in _maps:
-        fs, p = _file_system(path)
-        if fs.type_name != "local":
-            from pyarrow import fs as arrow
-
-            copy = os.path.join(os.getcwd(), f"{os.path.basename(p)}.{os.getpid()}")
-            arrow.copy_files(p, copy, source_filesystem=fs, destination_filesystem=arrow.LocalFileSystem())
-            p = copy
-        _maps[path] = np.memmap(p, np.uint8, "r")
-    return _maps[path]
+    """The bytes of a file as a memory map; what isn't on a mounted path is mapped from an unnamed copy, which ends with the map."""
+    fs, p = _file_system(path)
+    if fs.type_name == "local":
+        return np.memmap(p, np.uint8, "r")
+    with tempfile.TemporaryFile() as copy, fs.open_input_stream(p) as f:
+        while data := f.read(1 << 24):
+            copy.write(data)
+        copy.flush()
+        return np.memmap(copy, np.uint8, "r")
+
+
+#: Open files of this worker.
+_open: dict[str, object] = {}
+_MOST_OPEN = 4096
+
+
+def _opened(path: str, kind: type):
+    if path not in _open:
+        if len(_open) >= _MOST_OPEN:
+            _open.clear()
+        _open[path] = kind(_map(path))
+    return _open[path]
+
+
+class WordFile:
+    """Ascending hashes, and the count of each."""
+
+    def __init__(self, raw: np.ndarray):
+        self.hashes = ef.Sequence(raw)
+        self.counts = raw[self.hashes.size : self.hashes.size + 8 * self.hashes.n].view(np.int64)
+
+    @staticmethod
+    def encode(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+        return ef.encode(hashes - hashes[0]) + counts.astype("<i8").tobytes()
+
+
+class GramFile:
+    """A range of one level: pointers and weights of contexts, relative ids and probabilities of successors."""
+
+    def __init__(self, raw: np.ndarray):
+        self.pointers = ef.Sequence(raw)
+        at = self.pointers.size
+        self.successors = ef.Sequence(raw, at)
+        at += self.successors.size
+        self.contexts = self.pointers.n - 1
+        self.weights = raw[at : at + 2 * self.contexts].view(np.uint16)
+        at += 2 * self.contexts
+        self.probabilities = raw[at : at + self.successors.n]
+
+    @staticmethod
+    def encode(context: np.ndarray, size: np.ndarray, token: np.ndarray, count: np.ndarray, whole: dict[int, tuple[int, int]]) -> bytes:
+        """``context`` ascends, each with ``size`` successors; ``whole``: (size, total) of contexts that go on in other files."""
+        first = np.cumsum(size) - size
+        total = np.add.reduceat(count, first)
+        distinct = size.copy()
+        for k in (0, len(context) - 1):
+            if (w := whole.get(int(context[k]))) is not None:
+                distinct[k], total[k] = w
+        n = int(context[-1] - context[0]) + 1
+        sizes, weights = np.zeros(n, np.int64), np.zeros(n, np.uint16)
+        sizes[context - context[0]] = size
+        weights[context - context[0]] = quantise(DISCOUNT * distinct / total, WEIGHT_STEPS, np.uint16)
+        last = token[first + size - 1]
+        values = token + np.repeat(np.cumsum(last) - last, size)
+        probabilities = quantise((count - DISCOUNT) / np.repeat(total, size))
+        return ef.encode(np.append(0, np.cumsum(sizes))) + ef.encode(values) + weights.tobytes() + probabilities.tobytes()
+
+    def ranges(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last place of the successors of each context, and the value that they count on from."""
+        both = self.pointers.access(np.concatenate([k, k + 1])).astype(np.int64)
+        lo, hi = both[: len(k)], both[len(k) :]
+        base = np.zeros(len(k), np.uint64)
+        on = np.flatnonzero((lo > 0) & (hi > lo))
+        base[on] = self.successors.access(lo[on] - 1)
+        return lo, hi, base
+
+    def find(self, k: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Place of each successor, or -1; contexts ascend."""
+        new = np.append(True, k[1:] != k[:-1])
+        which = np.cumsum(new) - 1
+        lo, hi, base = self.ranges(k[new])
+        return self.successors.find(base[which] + token.astype(np.uint64), lo[which], hi[which])
 
 
 @dataclass
-class Parts:
-    """Files of one sorted table: first key and first place of each."""
+class Words:
+    """Level 1: first hash and first id of each file."""
 
     paths: list[str] = field(default_factory=list)
     first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     place: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
-    def find(self, keys: np.ndarray, width: int = 0, kind: type = np.uint8) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each ascending key in the whole table, or -1; and its entry of the array beside the keys."""
-        out, beside = np.full(len(keys), -1, np.int64), np.zeros(len(keys), kind)
-        cut = np.append(np.searchsorted(keys, self.first), len(keys))
-        for i, path in enumerate(self.paths):
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Id of each hash, or -1."""
+        u, back = np.unique(hashes, return_inverse=True)
+        out = np.full(len(u), -1, np.int64)
+        cut = np.append(np.searchsorted(u, self.first), len(u))
+        for i in np.flatnonzero(np.diff(cut)):
             a, b = cut[i], cut[i + 1]
-            if a < b:
-                raw = _map(path)
-                seq = _sequence(path, raw)
-                at = seq.find(keys[a:b] - self.first[i])
-                hit = np.flatnonzero(at >= 0)
-                out[a + hit] = at[hit] + self.place[i]
-                if width:
-                    beside[a + hit] = raw[seq.size : seq.size + width * seq.n].view(kind)[at[hit]]
-        return out, beside
-
+            at = _opened(self.paths[i], WordFile).hashes.find(u[a:b] - self.first[i])
+            out[a:b] = np.where(at >= 0, at + self.place[i], -1)
+        return out[back]
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training count of each id; 0 for -1."""
+        out = np.zeros(len(ids), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        part = np.searchsorted(self.place, ids[known], "right") - 1
+        for i in np.unique(part):
+            here = known[part == i]
+            out[here] = _opened(self.paths[i], WordFile).counts[ids[here] - self.place[i]]
+        return out
 
-_sequences: dict[tuple[str, int], ef.Sequence] = {}
 
+@dataclass
+class Level:
+    """Level 2 or above: of each file, its first (context, successor), its last context and its first place."""
+
+    paths: list[str]
+    context: np.ndarray
+    token: np.ndarray
+    last: np.ndarray
+    place: np.ndarray
+
+    def _files(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The file in which each pair would lie, -1 before the first."""
+        out = np.searchsorted(self.context, context, "right") - 1
+        # contexts that go on over several files: by their successor
+        late = np.flatnonzero((out >= 0) & (self.context[out] == context) & (token < self.token[out]))
+        for c in np.unique(context[late]):
+            a, b = np.searchsorted(self.context, [c, c + 1])
+            here = late[context[late] == c]
+            out[here] = a - 1 + np.searchsorted(self.token[a:b], token[here], "right")
+        return out
 
-def _sequence(path: str, raw: np.ndarray, offset: int = 0) -> ef.Sequence:
-    if (path, offset) not in _sequences:
-        _sequences[path, offset] = ef.Sequence(raw, offset)
-    return _sequences[path, offset]
+    def find(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair in the level, or -1, and its probability's byte; pairs ascend."""
+        out, byte = np.full(len(context), -1, np.int64), np.full(len(context), 255, np.uint8)
+        if not self.paths or not len(context):
+            return out, byte
+        file = self._files(context, token)
+        for i in np.unique(file[file >= 0]):
+            a, b = np.searchsorted(file, [i, i + 1])
+            b = a + np.searchsorted(context[a:b], self.last[i], "right")  # what has no successor here
+            if a < b:
+                f = _opened(self.paths[i], GramFile)
+                at = f.find(context[a:b] - self.context[i], token[a:b])
+                hit = np.flatnonzero(at >= 0)
+                out[a + hit] = at[hit] + self.place[i]
+                byte[a + hit] = f.probabilities[at[hit]]
+        return out, byte
+
+    def weights(self, context: np.ndarray) -> np.ndarray:
+        """Weight of the shorter context after each context; 1 where nothing follows it. Contexts ascend."""
+        out = np.ones(len(context))
+        file = np.searchsorted(self.last, context)
+        for i in np.unique(file[file < len(self.paths)]):
+            a, b = np.searchsorted(file, [i, i + 1])
+            a += np.searchsorted(context[a:b], self.context[i])
+            if a < b:
+                out[a:b] = weight_of(_opened(self.paths[i], GramFile).weights[context[a:b] - self.context[i]])
+        return out
 
 
 @dataclass
@@ -134,9 +263,8 @@ class Model:
     tokens: int
     distinct: int
     documents: int
-    words: Parts
-    contexts: Parts
-    successors: Parts
+    words: Words
+    levels: list[Level] = field(default_factory=list)
 
     @property
     def end(self) -> int:
@@ -146,246 +274,313 @@ class Model:
     def start(self) -> int:
         return self.end + 1
 
-    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id (-1: unknown) and training count of each word hash."""
-        u, back = np.unique(hashes, return_inverse=True)
-        at, c = self.words.find(u, 4, np.uint32)
-        return at[back], c[back].astype(np.int64)
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training count of each token."""
+        out = self.words.counts(np.where(ids < self.end, ids, -1))
+        out[ids == self.end] = self.documents
+        return out
 
     def shorter(self, c: np.ndarray) -> np.ndarray:
         """log10 probability of tokens with the training counts c, without context."""
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def contexts_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first and last place of the successors, weight of the shorter context) of each context id."""
-        u, back = np.unique(ids, return_inverse=True)
-        known = u >= 0
-        lo, hi, w = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.ones(len(u))
-        at, byte = self.contexts.find(u[known].astype(np.uint64), 1)
-        place = np.flatnonzero(known)[at >= 0]
-        at, byte = at[at >= 0], byte[at >= 0]
-        w[place] = LEVELS[byte]
-        part = np.searchsorted(self.contexts.place, at, "right") - 1
-        for i in np.unique(part):
-            here = part == i
-            raw = _map(self.contexts.paths[i])
-            seq = _sequence(self.contexts.paths[i], raw)
-            pointers = _sequence(self.contexts.paths[i], raw, seq.size + seq.n + (-seq.n % 8))
-            k = at[here] - self.contexts.place[i]
-            lo[place[here]] = pointers.access(k).astype(np.int64)
-            hi[place[here]] = pointers.access(k + 1).astype(np.int64)
-        return lo[back], hi[back], w[back]
-
-    def score(self, context: np.ndarray, token: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(token | context) by ids; count: the token's training count."""
-        lo, hi, weight = self.contexts_of(context)
-        p = weight * 10.0 ** self.shorter(count)
-        ask = np.flatnonzero((hi > lo) & (token >= 0))
-        key = context[ask].astype(np.uint64) * np.uint64(self.start + 1) + token[ask].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        at, byte = self.successors.find(key[order], 1)
-        ask = ask[order]
-        inside = (at >= lo[ask]) & (at < hi[ask])
-        p[ask[inside]] += LEVELS[byte[inside]]
-        # a context whose rounded weight is nothing still leaves something to every token
-        return np.log10(np.maximum(p, 10.0 ** (self.shorter(count) - 255 / STEPS)))
-
-
-def _count(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
-    """(key, count) of all keys, added up over runs of FLUSH of them."""
-    held, size = [], 0
 
-    def out() -> pa.RecordBatch:
-        u, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "c"])
+def keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Numbers that are in order as the pairs are."""
+    if not len(context):
+        return np.zeros(0, np.int64)
+    width, low = int(token.max()) + 1, int(context.min())
+    if (int(context.max()) - low + 1) * width >= 1 << 63:
+        context, low = np.unique(context, return_inverse=True)[1], 0
+    return (context - low) * width + token
+
+
+def grouped(context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the pairs, and where in it each distinct pair begins."""
+    k = keys(context, token)
+    order = np.argsort(k)
+    k = k[order]
+    return order, np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+
+
+class Stream:
+    """Tokens of some texts, one text after another, each after a start mark and before an end."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, model: Model):
+        last = np.cumsum(n + 2) - 1
+        self.first = last - n - 1
+        self.token = np.empty(int((n + 2).sum()), np.int64)
+        word = np.ones(len(self.token), bool)
+        word[last] = word[self.first] = False
+        self.token[word] = ids
+        self.token[last], self.token[self.first] = model.end, model.start
+
+    def climb(self, levels: list[Level]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level, of each token: its context (-1: none), the place of both, and their probability's byte."""
+        at = self.token
+        for level in levels:
+            context = self.contexts(at)
+            at, byte = np.full(len(at), -1, np.int64), np.full(len(at), 255, np.uint8)
+            ask = np.flatnonzero((context >= 0) & (self.token >= 0))
+            order, first = grouped(context[ask], self.token[ask])
+            one = ask[order[first]]
+            found, b = level.find(context[one], self.token[one])
+            size = np.diff(np.append(first, len(order)))
+            at[ask[order]], byte[ask[order]] = np.repeat(found, size), np.repeat(b, size)
+            yield context, at, byte
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.int64)
+        out[1:] = at[:-1]
+        out[self.first] = -1
+        return out
+
+    def pairs(self, levels: list[Level]) -> tuple[np.ndarray, np.ndarray]:
+        """(context, token) of the next level's k-grams; ``levels`` are those before it."""
+        at = self.token
+        for _, at, _ in self.climb(levels):
+            pass
+        context = self.contexts(at)
+        ok = np.flatnonzero((context >= 0) & (self.token >= 0))
+        return context[ok], self.token[ok]
+
+    def scores(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Training count and log10 probability of every token, start marks too."""
+        count = model.counts(self.token)
+        p = 10.0 ** model.shorter(count)
+        for level, (context, _, byte) in zip(model.levels, self.climb(model.levels), strict=True):
+            has = np.flatnonzero(context >= 0)
+            u, back = np.unique(context[has], return_inverse=True)
+            p[has] = p[has] * level.weights(u)[back] + LEVELS[byte[has]]
+        return count, np.log10(p)
+
+
+# Training
+
+
+def _ints(col: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a binary column, and how many each row has."""
+    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _binary(data: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column of rows of n numbers each."""
+    offsets = (np.append(0, np.cumsum(n)) * data.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _id_kind(model: Model) -> str:
+    return "<i4" if model.start < (1 << 31) - 1 else "<i8"
+
 
+def _streams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Stream]]:
+    """(rows, number of words of each, stream) of runs of rows of about FLUSH tokens."""
     for batch in batches:
-        for keys in keys_of(batch):
-            held.append(keys)
-            size += len(keys)
+        ids, n = _ints(batch.column("ids"), _id_kind(model))
+        upto = np.append(0, np.cumsum(n))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + FLUSH, "right")) - 1)
+            yield batch.slice(lo, hi - lo), n[lo:hi], Stream(ids[upto[lo] : upto[hi]].astype(np.int64), n[lo:hi], model)
+            lo = hi
+        give_back()
+
+
+_BLOB = "part bigint, context binary, token binary, n binary"
+
+
+def _blobs(context: np.ndarray, token: np.ndarray, n: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A row per part for entries in order: contexts as steps, tokens, counts."""
+    k = keys(np.append(context, bounds[0]), np.append(token, bounds[1]))
+    cut = np.concatenate([[0], np.searchsorted(k[: len(context)], k[len(context) :]), [len(context)]])
+    size = np.diff(cut)
+    part = np.flatnonzero(size)
+    step = np.diff(context, prepend=0)
+    step[cut[part]] = context[cut[part]]
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(_binary(x, size[part]) for x in (step.astype("<i8"), token.astype("<i8"), n.astype("<i4")))], names=["part", "context", "token", "n"])
+
+
+def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], bounds: tuple[np.ndarray, np.ndarray]):
+    """Counts of all pairs, added up over runs of FLUSH of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            context, token = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = grouped(context, token)
+            return _blobs(context[order[first]], token[order[first]], np.diff(np.append(first, len(order))), bounds)
+
+        for context, token in pairs_of(batches):
+            held.append((context, token))
+            size += len(context)
             if size >= FLUSH:
                 yield out()
                 held, size = [], 0
-    if size:
-        yield out()
+        if size:
+            yield out()
 
+    return run
 
-def _words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for _, _, t in chunks(batch.column("text")):
-        ws, we = t.words()
-        yield t.hashes(ws, we) ^ _TOP  # signed order of the result is unsigned order of the hash
 
+_MERGED = "part bigint, first_context bigint, first_token bigint, last_context bigint, first_size bigint, first_total bigint, last_size bigint, last_total bigint, n bigint, total bigint, context binary, size binary, token binary, count binary"
 
-def _sorted_parts(table: DataFrame, write) -> Parts:
-    """Files of a (k, ...) table in order of k; ``write`` makes a file's path from a task's rows."""
-    folder = new_path(table.sparkSession, "trie")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            rows = pa.Table.from_batches(got)
-            path = write(folder, {c: rows[c].to_numpy() for c in rows.column_names})
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows["k"][0].as_py()], pa.int64()), pa.array([rows.num_rows], pa.int64())], names=["path", "first", "n"])
-
-    parts = max(1, -(-table.count() // PART))
-    made = table.repartitionByRange(parts, "k").sortWithinPartitions("k").mapInArrow(run, "path string, first bigint, n bigint")
-    rows = sorted(made.collect(), key=lambda r: r["first"])  # one row per file
-    return Parts([r["path"] for r in rows], np.array([r["first"] for r in rows], np.int64).view(np.uint64), np.append(0, np.cumsum([r["n"] for r in rows])).astype(np.int64))
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per part, from blobs that stand together by part."""
+    part, held = None, []
 
+    def out() -> pa.RecordBatch:
+        context, token, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = grouped(context, token)
+        count = np.add.reduceat(n[order].astype(np.int64), first)
+        context, token = context[order[first]], token[order[first]]
+        start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        size = np.diff(np.append(start, len(context)))
+        total = np.add.reduceat(count, start)
+        facts = [part, context[0], token[0], context[-1], size[0], total[0], size[-1], total[-1], len(context), count.sum()]
+        many = [_binary(x.astype("<i8"), np.array([len(x)])) for x in (context[start], size, token, count)]
+        return pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in facts), *many], names=[f.split()[0] for f in _MERGED.split(", ")])
 
-def _write_words(folder: str, rows: dict[str, np.ndarray]) -> str:
-    k = rows["k"].view(np.uint64)
-    return _put(folder, "words", ef.encode((k ^ _TOP) - (k[0] ^ _TOP)) + np.minimum(rows["c"], (1 << 32) - 1).astype("<u4").tobytes())
+    for batch in batches:
+        for i, p in enumerate(batch.column("part").to_pylist()):
+            if p != part:
+                if held:
+                    yield out()
+                part, held = p, []
+            step, token, n = (_ints(batch.column(c).slice(i, 1), kind)[0] for c, kind in (("context", "<i8"), ("token", "<i8"), ("n", "<i4")))
+            held.append((np.cumsum(step), token, n))
+    if held:
+        yield out()
+    give_back()
+
+
+def _level(blobs: DataFrame, parts: int, folder: str, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], bytes]) -> tuple[list[str], list]:
+    """Files of a level, and the facts of each, in order."""
+    dealt = blobs.repartition(parts, "part").sortWithinPartitions("part")
+    merged = materialise(dealt.mapInArrow(_merge, _MERGED), "lm-merged")
+    facts = sorted(merged.drop("context", "size", "token", "count").collect())  # one row per file
+    # a context that goes on over several files has one total
+    whole: dict[int, tuple[int, int]] = {}
+    for k, f in enumerate(facts):
+        if k and facts[k - 1].last_context == f.first_context:
+            before = whole.get(f.first_context, (facts[k - 1].last_size, facts[k - 1].last_total))
+            whole[f.first_context] = before[0] + f.first_size, before[1] + f.first_total
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path = _put(folder, "level", encode(*(_ints(batch.column(c).slice(i, 1), "<i8")[0] for c in ("context", "size", "token", "count")), whole))
+                yield pa.RecordBatch.from_arrays([batch.column("part").slice(i, 1), pa.array([path])], names=["part", "path"])
+            give_back()
 
+    paths = dict(merged.select("part", "context", "size", "token", "count").mapInArrow(write, "part bigint, path string").collect())
+    discard(merged)
+    return [paths[f.part] for f in facts], facts
 
-def _write_successors(folder: str, rows: dict[str, np.ndarray]) -> str:
-    k = rows["k"].view(np.uint64)
-    return _put(folder, "successors", ef.encode(k - k[0]) + quantise((rows["c"] - DISCOUNT) / rows["total"]).tobytes())
 
+def _places(facts: list) -> np.ndarray:
+    return np.append(0, np.cumsum([f.n for f in facts])).astype(np.int64)
 
-def _write_contexts(folder: str, rows: dict[str, np.ndarray]) -> str:
-    k = rows["k"].view(np.uint64)
-    weight = quantise(1 - rows["mass"] / rows["total"]).tobytes()
-    pointers = np.append(rows["place"], rows["place"][-1] + rows["size"][-1])
-    return _put(folder, "contexts", ef.encode(k - k[0]) + weight + bytes(-len(k) % 8) + ef.encode(pointers))
 
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for _, _, t in chunks(batch.column("text")):
+            ws, we = t.words()
+            h = t.hashes(ws, we)
+            # a hash as a pair of smaller numbers, in the same order
+            yield (h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
-def _tokens(model: Model):
-    """Each text as the ids of its words and their counts, four bytes each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, t in chunks(batch.column("text")):
-                ws, we = t.words()
-                ids, _ = model.ids(t.hashes(ws, we))
-                offsets = np.append(0, np.cumsum(np.bincount(t.owner(ws), minlength=t.n))) * 4
-                rows = batch.slice(i, j - i)
-                col = pa.Array.from_buffers(pa.binary(), t.n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype("<i4"))])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), col], names=["doc_id", "held_out", "ids"])
+def _write_words(context: np.ndarray, size: np.ndarray, token: np.ndarray, count: np.ndarray, _: dict) -> bytes:
+    return WordFile.encode(np.repeat(context, size).astype(np.uint64) << np.uint64(32) | token.astype(np.uint64), count)
 
-    return run
 
+def _count_words(learnt: DataFrame, folder: str) -> tuple[Words, int, int]:
+    """Level 1, the number of words counted and that of texts."""
+    documents, size = learnt.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-(size or 0) // (6 * PART)))
+    bounds = np.arange(1, parts, dtype=object) * (1 << 32) // parts, np.zeros(parts - 1, np.int64)
+    blobs = learnt.mapInArrow(_counted(_word_pairs, (bounds[0].astype(np.int64), bounds[1])), _BLOB)
+    paths, facts = _level(blobs, parts, folder, _write_words)
+    first = np.array([f.first_context << 32 | f.first_token for f in facts], np.uint64)
+    return Words(paths, first, _places(facts)), sum(f.total for f in facts), documents
 
-def _pairs_of(col: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, context, token) of every token of a column of ids, ends included."""
-    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    ids = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i4") if col.buffers()[2] is not None else np.zeros(0, np.int32)
-    n = (offsets[1:] - offsets[:-1]) // 4
-    m = len(n)
-    token = np.full(len(ids) + m, model.end, np.int64)
-    ends = np.cumsum(n + 1) - 1
-    word = np.ones(len(token), bool)
-    word[ends] = False
-    token[word] = ids
-    context = np.empty(len(token), np.int64)
-    context[1:] = token[:-1]
-    context[ends - n] = model.start
-    return np.repeat(np.arange(m), n + 1), context, token
-
-
-class _Counts:
-    """Training counts by id, looked up in the word files beside the hashes."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __call__(self, ids: np.ndarray) -> np.ndarray:
-        m = self.model
-        out = np.where(ids == m.end, m.documents, 0)
-        known = np.flatnonzero((ids >= 0) & (ids < m.end))
-        part = np.searchsorted(m.words.place, ids[known], "right") - 1
-        for i in np.unique(part):
-            path = m.words.paths[i]
-            raw = _map(path)
-            seq = _sequence(path, raw)
-            here = known[part == i]
-            out[here] = raw[seq.size : seq.size + 4 * seq.n].view(np.uint32)[ids[here] - m.words.place[i]]
-        return out
 
+def _count_grams(learnt: DataFrame, model: Model, folder: str) -> Level:
+    """The level after those that the model has."""
+    before = list(model.levels)
+    parts = max(1, -(-model.tokens // PART))
 
-def _bigrams(model: Model):
-    counts = _Counts(model)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, _, s in _streams(batches, model):
+            yield s.pairs(before)
 
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for lo in range(0, batch.num_rows, 512):
-            _, context, token = _pairs_of(batch.column("ids").slice(lo, 512), model)
-            c = counts(token)
-            # of a pair with a rarer word there can't be MIN_COUNT
-            often = c >= MIN_COUNT
-            often &= (context == model.start) | np.append(False, often[:-1])
-            yield context[often].astype(np.uint64) * np.uint64(model.start + 1) + token[often].astype(np.uint64)
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for context, token in pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(context[::8]), pa.array(token[::8])], names=["context", "token"])
 
-    return lambda batches: _count(batches, keys)
+    bounds = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if parts > 1:
+        sample = learnt.sample(min(1.0, 8.0 * SAMPLE * parts / model.tokens), 1).mapInArrow(some, "context bigint, token bigint").toArrow()
+        context, token = (sample.column(c).to_numpy() for c in ("context", "token"))
+        order = np.argsort(keys(context, token))
+        at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+        bounds = context[at], token[at]
+    paths, facts = _level(learnt.mapInArrow(_counted(pairs, bounds), _BLOB), parts, folder, GramFile.encode)
+    of = lambda name: np.array([f[name] for f in facts], np.int64)
+    return Level(paths, of("first_context"), of("first_token"), of("last_context"), _places(facts))
 
 
-def _with_totals(model: Model):
-    """Adds the training count of each pair's context."""
-    counts = _Counts(model)
+def _tokens(model: Model):
+    """Each text as the ids of its words."""
+    kind = _id_kind(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            context = b.column("k").to_numpy() // (model.start + 1)
-            total = np.where(context == model.start, model.documents, counts(context))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("c"), pa.array(context), pa.array(total.astype(np.int64))], names=["k", "c", "context", "total"])
+        for batch in batches:
+            for i, j, t in chunks(batch.column("text"), 4 << 20):
+                ws, we = t.words()
+                ids = model.words.ids(t.hashes(ws, we)).astype(kind)
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), _binary(ids, np.bincount(t.owner(ws), minlength=t.n))], names=["doc_id", "held_out", "ids"])
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
     """The model of the documents outside the held-out fold, and all documents as ids (doc_id, held_out, ids)."""
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    learnt = narrow.filter(~F.col("held_out")).select("text")
-    words = materialise(learnt.mapInArrow(lambda it: _count(it, _words), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
-    total = words.agg(F.sum("c")).first()[0] or 0
-    documents = learnt.count()
-    parts = _sorted_parts(words, _write_words)
-    parts.first ^= _TOP
-    model = Model(total + documents, int(parts.place[-1]) + (documents > 0), documents, parts, Parts(), Parts())
-    if model.start >= (1 << 31) - 1:
-        raise ValueError("word ids are four bytes; this corpus has more distinct words")
-
+    folder = new_table(docs.sparkSession, "trie")
+    words, total, documents = _count_words(narrow.filter(~F.col("held_out")).select("text"), folder)
+    model = Model(total + documents, int(words.place[-1]) + (documents > 0), documents, words)
     path = new_table(docs.sparkSession, "lm-tokens")
     narrow.mapInArrow(_tokens(model), "doc_id bigint, held_out boolean, ids binary").write.option("compression", "zstd").parquet(path)
     tokens = docs.sparkSession.read.parquet(path)
-    pairs = tokens.filter(~F.col("held_out")).select("ids").mapInArrow(_bigrams(model), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_COUNT)
-    pairs = materialise(pairs.mapInArrow(_with_totals(model), "k bigint, c bigint, context bigint, total bigint"), "lm-pairs")
-    model.successors = _sorted_parts(pairs.select("k", "c", "total"), _write_successors)
-    by_context = pairs.groupBy("context").agg(F.sum(F.col("c") - DISCOUNT).alias("mass"), F.first("total").alias("total"), F.count("*").alias("size"))
-    model.contexts = _sorted_parts(_placed(materialise(by_context.withColumnRenamed("context", "k"), "lm-contexts")), _write_contexts)
+    learnt = tokens.filter(~F.col("held_out")).select("ids")
+    for _ in range(2, order + 1):
+        model.levels.append(_count_grams(learnt, model, folder))
     return model, tokens
 
 
-def _placed(contexts: DataFrame) -> DataFrame:
-    """Adds ``place``, the sum of the sizes of all smaller keys: within a range of keys, and then of whole ranges."""
-    span = (contexts.agg(F.max("k")).first()[0] or 0) // max(1, -(-contexts.count() // 10_000)) + 1
-    ranged = contexts.withColumn("range", F.floor(F.col("k") / span))
-    from pyspark.sql import Window
-
-    ranges = ranged.groupBy("range").agg(F.sum("size").alias("whole"))
-    before = ranges.select("range", (F.sum("whole").over(Window.orderBy("range")) - F.col("whole")).alias("before"))
-    within = F.sum("size").over(Window.partitionBy("range").orderBy("k")) - F.col("size")
-    return materialise(ranged.withColumn("within", within).join(before, "range").withColumn("place", F.col("before") + F.col("within")).select("k", "mass", "total", "size", "place"), "lm-places")
-
-
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def apply(tokens: DataFrame, model: Model) -> DataFrame:
     """Scores of all documents; ``tokens`` as :func:`train` gives it."""
-    counts = _Counts(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512)
-                owner, context, token = _pairs_of(rows.column("ids"), model)
-                c = counts(token)
-                n = rows.num_rows
-                add = lambda x: np.bincount(owner, x, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("held_out"), pa.array(np.bincount(owner, minlength=n)), pa.array(add(c > 0).astype(np.int64)), pa.array(np.full(n, model.tokens)), pa.array(add(model.shorter(c))), pa.array(add(model.score(context, token, c)))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for rows, n, s in _streams(batches, model):
+            count, score = s.scores(model)
+            real = np.ones(len(count), bool)
+            real[s.first] = False
+            owner = np.repeat(np.arange(len(n)), n + 1)
+            add = lambda x: np.bincount(owner, x[real], minlength=len(n))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("held_out"), pa.array(n + 1), pa.array(add(count > 0).astype(np.int64)), pa.array(np.full(len(n), model.tokens)), pa.array(add(model.shorter(count))), pa.array(add(score))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return tokens.mapInArrow(run, SCHEMA)
 
