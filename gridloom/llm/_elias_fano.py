@@ -42,17 +42,21 @@ def encode(values: np.ndarray) -> bytes:
     return head.tobytes() + words.tobytes() + ones.astype(np.uint32).tobytes() + _pad(bytes(low) + bytes(8))
 
 
-def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one of each word."""
-    at = np.zeros(len(words), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        half = words & np.uint64((1 << width) - 1)
-        n = np.bitwise_count(half).astype(np.int64)
-        up = k >= n
-        k = np.where(up, k - n, k)
-        at += up * width
-        words = np.where(up, words >> np.uint64(width), half)
-    return at
+_ONE, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_PAIRS, _FOURS, _BYTES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+_U = np.uint64
+#: Place of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.uint64)
+
+
+def _select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one of each word; all numbers are 64-bit without sign."""
+    x = w - ((w >> _U(1)) & _PAIRS)
+    x = (x & _FOURS) + ((x >> _U(2)) & _FOURS)
+    upto = ((x + (x >> _U(4))) & _BYTES) * _ONE  # each byte: ones in it and in those below
+    shift = np.bitwise_count(((k * _ONE | _HIGH) - upto) & _HIGH).astype(np.uint64) << _U(3)
+    k = k - (((upto << _U(8)) >> shift) & _U(255))
+    return _IN_BYTE[((w >> shift) & _U(255)) << _U(3) | k] + shift
 
 
 class Sequence:
@@ -76,7 +80,7 @@ class Sequence:
         """Bit place of the k-th one or zero."""
         before = self.ones if one else self.zeros
         block = np.searchsorted(before, k.astype(np.uint32), "right") - 1
-        rest = k - before[block]
+        rest = (k - before[block]).astype(np.uint64)
         at = _WORDS * block
         word = self.words[at] if one else ~self.words[at]
         for _ in range(_WORDS - 1):
@@ -87,7 +91,16 @@ class Sequence:
             rest[on] -= n[on]
             at[on] += 1
             word[on] = self.words[at[on]] if one else ~self.words[at[on]]
-        return 64 * at + _select_in_word(word, rest)
+        return 64 * at + _select_in_word(word, rest).astype(np.int64)
+
+    def _run(self, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Number of ones from each bit place p, which comes after the k - 1 first zeros, to the next zero."""
+        w = self.words[p >> 6] >> (p & 63).astype(np.uint64)
+        n = np.bitwise_count((~w & (w + _U(1))) - _U(1)).astype(np.int64)  # ones below the first zero
+        over = np.flatnonzero(n + (p & 63) >= 64)
+        if len(over):
+            n[over] = self._select(k[over], False) - p[over]
+        return n
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -113,21 +126,22 @@ class Sequence:
         y = x[live]
         high = (y >> np.uint64(self.l)).astype(np.int64)
         # places of the elements with this high part
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
-        hi = self._select(high, False) - high
+        p = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        lo = p - high
+        hi = lo + self._run(p, high)
         lo = np.maximum(lo, first[live] if isinstance(first, np.ndarray) else first)
         if last is not None:
             hi = np.minimum(hi, last[live])
         low = y & np.uint64((1 << self.l) - 1)
-        end = hi.copy()
-        open_ = np.flatnonzero(lo < hi)
+        # halved until one place is left, which alone is compared
+        open_ = np.flatnonzero(hi - lo > 1)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
+            mid = (lo[open_] + hi[open_] - 1) >> 1
             less = self._low(mid) < low[open_]
             lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        inside = np.flatnonzero(lo < end)
+            hi[open_[~less]] = mid[~less] + 1
+            open_ = open_[hi[open_] - lo[open_] > 1]
+        inside = np.flatnonzero(lo < hi)
         hit = inside[self._low(lo[inside]) == low[inside]]
         out[live[hit]] = lo[hit]
         return out

@@ -197,13 +197,13 @@ class Words:
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Training count of each id; 0 for -1."""
-        out = np.zeros(len(ids), np.int64)
-        known = np.flatnonzero(ids >= 0)
-        part = np.searchsorted(self.place, ids[known], "right") - 1
-        for i in np.unique(part):
-            here = known[part == i]
-            out[here] = _opened(self.paths[i], WordFile).counts[ids[here] - self.place[i]]
-        return out
+        u, back = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(u), np.int64)
+        cut = np.searchsorted(u, self.place)
+        for i in np.flatnonzero(np.diff(cut)):
+            a, b = cut[i], cut[i + 1]
+            out[a:b] = _opened(self.paths[i], WordFile).counts[u[a:b] - self.place[i]]
+        return out[back]
 
 
 @dataclass
@@ -315,19 +315,27 @@ class Stream:
         self.token[word] = ids
         self.token[last], self.token[self.first] = model.end, model.start
 
-    def climb(self, levels: list[Level]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level, of each token: its context (-1: none), the place of both, and their probability's byte."""
+    def climb(self, levels: list[Level], weigh: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level, of each token: the place of its context and it, which tokens have a context, and of those probability and weight."""
         at = self.token
+        # the start mark is a successor of nothing
+        token = np.where(self.token >= 0, self.token, self.token[0])
         for level in levels:
             context = self.contexts(at)
-            at, byte = np.full(len(at), -1, np.int64), np.full(len(at), 255, np.uint8)
-            ask = np.flatnonzero((context >= 0) & (self.token >= 0))
-            order, first = grouped(context[ask], self.token[ask])
-            one = ask[order[first]]
-            found, b = level.find(context[one], self.token[one])
+            ask = np.flatnonzero(context >= 0)
+            order, first = grouped(context[ask], token[ask])
+            order = ask[order]
+            one = order[first]
             size = np.diff(np.append(first, len(order)))
-            at[ask[order]], byte[ask[order]] = np.repeat(found, size), np.repeat(b, size)
-            yield context, at, byte
+            c = context[one]
+            found, byte = level.find(c, token[one])
+            at = np.full(len(at), -1, np.int64)
+            at[order] = np.repeat(found, size)
+            weight = byte
+            if weigh:
+                new = np.append(True, c[1:] != c[:-1]) if len(c) else np.zeros(0, bool)
+                weight = np.repeat(level.weights(c[new])[np.cumsum(new) - 1], size)
+            yield at, order, np.repeat(byte, size), weight
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.int64)
@@ -338,7 +346,7 @@ class Stream:
     def pairs(self, levels: list[Level]) -> tuple[np.ndarray, np.ndarray]:
         """(context, token) of the next level's k-grams; ``levels`` are those before it."""
         at = self.token
-        for _, at, _ in self.climb(levels):
+        for at, *_ in self.climb(levels):
             pass
         context = self.contexts(at)
         ok = np.flatnonzero((context >= 0) & (self.token >= 0))
@@ -348,10 +356,8 @@ class Stream:
         """Training count and log10 probability of every token, start marks too."""
         count = model.counts(self.token)
         p = 10.0 ** model.shorter(count)
-        for level, (context, _, byte) in zip(model.levels, self.climb(model.levels), strict=True):
-            has = np.flatnonzero(context >= 0)
-            u, back = np.unique(context[has], return_inverse=True)
-            p[has] = p[has] * level.weights(u)[back] + LEVELS[byte[has]]
+        for _, at, byte, weight in self.climb(model.levels, True):
+            p[at] = p[at] * weight + LEVELS[byte]
         return count, np.log10(p)
 
 
@@ -391,7 +397,7 @@ def _streams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[
 _BLOB = "part bigint, context binary, token binary, n binary"
 
 
-def _blobs(context: np.ndarray, token: np.ndarray, n: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+def _blobs(context: np.ndarray, token: np.ndarray, n: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], kind: str) -> pa.RecordBatch:
     """A row per part for entries in order: contexts as steps, tokens, counts."""
     k = keys(np.append(context, bounds[0]), np.append(token, bounds[1]))
     cut = np.concatenate([[0], np.searchsorted(k[: len(context)], k[len(context) :]), [len(context)]])
@@ -399,10 +405,10 @@ def _blobs(context: np.ndarray, token: np.ndarray, n: np.ndarray, bounds: tuple[
     part = np.flatnonzero(size)
     step = np.diff(context, prepend=0)
     step[cut[part]] = context[cut[part]]
-    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(_binary(x, size[part]) for x in (step.astype("<i8"), token.astype("<i8"), n.astype("<i4")))], names=["part", "context", "token", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(_binary(x, size[part]) for x in (step.astype("<i8"), token.astype(kind), n.astype("<i4")))], names=["part", "context", "token", "n"])
 
 
-def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], bounds: tuple[np.ndarray, np.ndarray]):
+def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], bounds: tuple[np.ndarray, np.ndarray], kind: str):
     """Counts of all pairs, added up over runs of FLUSH of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +417,7 @@ def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.nd
         def out() -> pa.RecordBatch:
             context, token = (np.concatenate(x) for x in zip(*held, strict=True))
             order, first = grouped(context, token)
-            return _blobs(context[order[first]], token[order[first]], np.diff(np.append(first, len(order))), bounds)
+            return _blobs(context[order[first]], token[order[first]], np.diff(np.append(first, len(order))), bounds, kind)
 
         for context, token in pairs_of(batches):
             held.append((context, token))
@@ -428,7 +434,7 @@ def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.nd
 _MERGED = "part bigint, first_context bigint, first_token bigint, last_context bigint, first_size bigint, first_total bigint, last_size bigint, last_total bigint, n bigint, total bigint, context binary, size binary, token binary, count binary"
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """One row per part, from blobs that stand together by part."""
     part, held = None, []
 
@@ -450,17 +456,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield out()
                 part, held = p, []
-            step, token, n = (_ints(batch.column(c).slice(i, 1), kind)[0] for c, kind in (("context", "<i8"), ("token", "<i8"), ("n", "<i4")))
-            held.append((np.cumsum(step), token, n))
+            step, token, n = (_ints(batch.column(c).slice(i, 1), kind)[0] for c, kind in (("context", "<i8"), ("token", kind), ("n", "<i4")))
+            held.append((np.cumsum(step), token.astype(np.int64), n))
     if held:
         yield out()
     give_back()
 
 
-def _level(blobs: DataFrame, parts: int, folder: str, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], bytes]) -> tuple[list[str], list]:
+def _level(blobs: DataFrame, parts: int, kind: str, folder: str, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], bytes]) -> tuple[list[str], list]:
     """Files of a level, and the facts of each, in order."""
     dealt = blobs.repartition(parts, "part").sortWithinPartitions("part")
-    merged = materialise(dealt.mapInArrow(_merge, _MERGED), "lm-merged")
+    merged = materialise(dealt.mapInArrow(lambda it: _merge(it, kind), _MERGED), "lm-merged")
     facts = sorted(merged.drop("context", "size", "token", "count").collect())  # one row per file
     # a context that goes on over several files has one total
     whole: dict[int, tuple[int, int]] = {}
@@ -503,15 +509,15 @@ def _count_words(learnt: DataFrame, folder: str) -> tuple[Words, int, int]:
     documents, size = learnt.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(1, -(-(size or 0) // (6 * PART)))
     bounds = np.arange(1, parts, dtype=object) * (1 << 32) // parts, np.zeros(parts - 1, np.int64)
-    blobs = learnt.mapInArrow(_counted(_word_pairs, (bounds[0].astype(np.int64), bounds[1])), _BLOB)
-    paths, facts = _level(blobs, parts, folder, _write_words)
+    blobs = learnt.mapInArrow(_counted(_word_pairs, (bounds[0].astype(np.int64), bounds[1]), "<u4"), _BLOB)
+    paths, facts = _level(blobs, parts, "<u4", folder, _write_words)
     first = np.array([f.first_context << 32 | f.first_token for f in facts], np.uint64)
     return Words(paths, first, _places(facts)), sum(f.total for f in facts), documents
 
 
 def _count_grams(learnt: DataFrame, model: Model, folder: str) -> Level:
     """The level after those that the model has."""
-    before = list(model.levels)
+    before, kind = list(model.levels), _id_kind(model)
     parts = max(1, -(-model.tokens // PART))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -529,7 +535,7 @@ def _count_grams(learnt: DataFrame, model: Model, folder: str) -> Level:
         order = np.argsort(keys(context, token))
         at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
         bounds = context[at], token[at]
-    paths, facts = _level(learnt.mapInArrow(_counted(pairs, bounds), _BLOB), parts, folder, GramFile.encode)
+    paths, facts = _level(learnt.mapInArrow(_counted(pairs, bounds, kind), _BLOB), parts, kind, folder, GramFile.encode)
     of = lambda name: np.array([f[name] for f in facts], np.int64)
     return Level(paths, of("first_context"), of("first_token"), of("last_context"), _places(facts))
 
