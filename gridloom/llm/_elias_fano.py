@@ -12,7 +12,7 @@ import numpy as np
 
 _HEAD = 8  # numbers in the header
 _WORDS = 4  # of 64 bits, in a block
-_MOST_LOW = 56  # a low part must lie within eight bytes from any bit of the first
+_MOST_LOW = 62
 
 
 def _pad(x: bytes) -> bytes:
@@ -39,7 +39,7 @@ def encode(values: np.ndarray) -> bytes:
     ones = np.bitwise_count(words).reshape(-1, _WORDS).sum(axis=1, dtype=np.int64)
     ones = np.append(np.cumsum(ones) - ones, [n] if len(ones) % 2 else [])  # an even number
     head = np.array([n, l, top, len(words), len(low), 0, 0, 0], np.uint64)
-    return head.tobytes() + words.tobytes() + ones.astype(np.uint32).tobytes() + _pad(bytes(low) + bytes(8))
+    return head.tobytes() + words.tobytes() + ones.astype(np.uint32).tobytes() + _pad(bytes(low)) + bytes(16)
 
 
 _ONE, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
@@ -73,8 +73,8 @@ class Sequence:
         self.ones = raw[at : at + 4 * blocks].view(np.uint32)
         self.zeros = (np.arange(blocks) * (64 * _WORDS) - self.ones).astype(np.uint32)
         at += 4 * (blocks + blocks % 2)
-        self.low = raw[at : at + n_low + 8]
-        self.size = at + n_low + 8 + (-(n_low + 8) % 8)
+        self.size = at + n_low + 16 + (-n_low % 8)
+        self.low = raw[at : self.size].view(np.uint64)
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Bit place of the k-th one or zero."""
@@ -106,18 +106,47 @@ class Sequence:
         if not self.l:
             return np.zeros(len(i), np.uint64)
         bit = i * self.l
-        view = np.lib.stride_tricks.as_strided(self.low, (len(self.low) - 7, 8), (1, 1), writeable=False)
-        x = view[bit >> 3].view("<u8").ravel()
-        return (x >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.l) - 1)
+        word, shift = bit >> 6, (bit & 63).view(np.uint64)
+        x = self.low.take(word) >> shift | self.low.take(word + 1) << _U(1) << (_U(63) - shift)
+        return x & _U((1 << self.l) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i."""
-        i = np.asarray(i, np.int64)
-        high = self._select(i, True) - i
-        return (high.astype(np.uint64) << np.uint64(self.l)) | self._low(i)
+        return self.place(np.asarray(i, np.int64))[1]
 
-    def find(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
-        """Place of the first element that equals each number among the places first..last - 1, or -1."""
+    def place(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bit place and value of the elements at the places i."""
+        at = self._select(i, True)
+        return at, ((at - i).astype(np.uint64) << _U(self.l)) | self._low(i)
+
+    def after(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Values at the places i, each after the element whose bit place is ``at``."""
+        p = at + 1
+        w = self.words[p >> 6] >> (p & 63).astype(np.uint64)
+        p += np.bitwise_count((w & (~w + _U(1))) - _U(1)).astype(np.int64)
+        far = np.flatnonzero(w == 0)
+        if len(far):
+            p[far] = self._select(i[far], True)
+        return ((p - i).astype(np.uint64) << _U(self.l)) | self._low(i)
+
+    def _begin(self, high: np.ndarray, near: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Bit place after the first ``high`` zeros; ``near``: a bit place before it, and the zeros before that."""
+        if near is None:
+            return np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        p, skip = near[0].copy(), high - near[1]
+        w = ~self.words[p >> 6] >> (p & 63).astype(np.uint64)
+        here = np.flatnonzero((skip > 0) & (skip <= np.bitwise_count(w)))
+        far = np.flatnonzero(skip > np.bitwise_count(w))
+        p[here] += _select_in_word(w[here], (skip[here] - 1).astype(np.uint64)).astype(np.int64) + 1
+        if len(far):
+            p[far] = self._select(high[far] - 1, False) + 1
+        return p
+
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Place of the first element that equals each number among the places first..last - 1, or -1.
+
+        ``near``: for each number a bit place before those of the elements that equal it, and the zeros before that.
+        """
         x = np.asarray(x, np.uint64)
         out = np.full(len(x), -1, np.int64)
         live = np.flatnonzero(x <= np.uint64(self.top)) if self.n else np.zeros(0, np.int64)
@@ -126,7 +155,7 @@ class Sequence:
         y = x[live]
         high = (y >> np.uint64(self.l)).astype(np.int64)
         # places of the elements with this high part
-        p = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        p = self._begin(high, near and (near[0][live], near[1][live]))
         lo = p - high
         hi = lo + self._run(p, high)
         lo = np.maximum(lo, first[live] if isinstance(first, np.ndarray) else first)

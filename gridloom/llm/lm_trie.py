@@ -95,12 +95,12 @@ def _map(path: str) -> np.ndarray:
     """The bytes of a file as a memory map; what isn't on a mounted path is mapped from an unnamed copy, which ends with the map."""
     fs, p = _file_system(path)
     if fs.type_name == "local":
-        return np.memmap(p, np.uint8, "r")
+        return np.memmap(p, np.uint8, "r").view(np.ndarray)
     with tempfile.TemporaryFile() as copy, fs.open_input_stream(p) as f:
         while data := f.read(1 << 24):
             copy.write(data)
         copy.flush()
-        return np.memmap(copy, np.uint8, "r")
+        return np.memmap(copy, np.uint8, "r").view(np.ndarray)
 
 
 #: Open files of this worker.
@@ -159,21 +159,23 @@ class GramFile:
         probabilities = quantise((count - DISCOUNT) / np.repeat(total, size))
         return ef.encode(np.append(0, np.cumsum(sizes))) + ef.encode(values) + weights.tobytes() + probabilities.tobytes()
 
-    def ranges(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last place of the successors of each context, and the value that they count on from."""
-        both = self.pointers.access(np.concatenate([k, k + 1])).astype(np.int64)
-        lo, hi = both[: len(k)], both[len(k) :]
-        base = np.zeros(len(k), np.uint64)
+    def ranges(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last place of the successors of each context, the value that they count on from, and the bit place after that."""
+        at, lo = self.pointers.place(k)
+        lo, hi = lo.astype(np.int64), self.pointers.after(k + 1, at).astype(np.int64)
+        base, bit = np.zeros(len(k), np.uint64), np.zeros(len(k), np.int64)
         on = np.flatnonzero((lo > 0) & (hi > lo))
-        base[on] = self.successors.access(lo[on] - 1)
-        return lo, hi, base
+        bit[on], base[on] = self.successors.place(lo[on] - 1)
+        bit[on] += 1
+        return lo, hi, base, bit
 
     def find(self, k: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Place of each successor, or -1; contexts ascend."""
         new = np.append(True, k[1:] != k[:-1])
         which = np.cumsum(new) - 1
-        lo, hi, base = self.ranges(k[new])
-        return self.successors.find(base[which] + token.astype(np.uint64), lo[which], hi[which])
+        lo, hi, base, bit = self.ranges(k[new])
+        zeros = np.where(bit > 0, (base >> np.uint64(self.successors.l)).astype(np.int64), 0)
+        return self.successors.find(base[which] + token.astype(np.uint64), lo[which], hi[which], (bit[which], zeros[which]))
 
 
 @dataclass
@@ -377,6 +379,18 @@ def _binary(data: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, none below 0, in one, four or eight bytes each."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("u1" if top < 1 << 8 else "<u4" if top < 1 << 32 else "<i8")
+
+
+def _unpacked(cell: pa.Array, n: int) -> np.ndarray:
+    """The n numbers of a cell as :func:`_packed` gave them."""
+    data = _ints(cell, "u1")[0]
+    return data.view({1: "u1", 4: "<u4", 8: "<i8"}[len(data) // max(n, 1)]).astype(np.int64)
+
+
 def _id_kind(model: Model) -> str:
     return "<i4" if model.start < (1 << 31) - 1 else "<i8"
 
@@ -394,21 +408,21 @@ def _streams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[
         give_back()
 
 
-_BLOB = "part bigint, context binary, token binary, n binary"
+_BLOB = "part bigint, n bigint, first bigint, step binary, token binary, count binary"
 
 
-def _blobs(context: np.ndarray, token: np.ndarray, n: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], kind: str) -> pa.RecordBatch:
-    """A row per part for entries in order: contexts as steps, tokens, counts."""
+def _blobs(context: np.ndarray, token: np.ndarray, count: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A row per part for entries in order: the first context, steps from context to context, tokens, counts."""
     k = keys(np.append(context, bounds[0]), np.append(token, bounds[1]))
     cut = np.concatenate([[0], np.searchsorted(k[: len(context)], k[len(context) :]), [len(context)]])
     size = np.diff(cut)
     part = np.flatnonzero(size)
     step = np.diff(context, prepend=0)
-    step[cut[part]] = context[cut[part]]
-    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *(_binary(x, size[part]) for x in (step.astype("<i8"), token.astype(kind), n.astype("<i4")))], names=["part", "context", "token", "n"])
+    step[cut[part]] = 0
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (part, size[part], context[cut[part]])), *(_binary(_packed(x), size[part]) for x in (step, token, count))], names=[f.split()[0] for f in _BLOB.split(", ")])
 
 
-def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], bounds: tuple[np.ndarray, np.ndarray], kind: str):
+def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], bounds: tuple[np.ndarray, np.ndarray]):
     """Counts of all pairs, added up over runs of FLUSH of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +431,7 @@ def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.nd
         def out() -> pa.RecordBatch:
             context, token = (np.concatenate(x) for x in zip(*held, strict=True))
             order, first = grouped(context, token)
-            return _blobs(context[order[first]], token[order[first]], np.diff(np.append(first, len(order))), bounds, kind)
+            return _blobs(context[order[first]], token[order[first]], np.diff(np.append(first, len(order))), bounds)
 
         for context, token in pairs_of(batches):
             held.append((context, token))
@@ -431,23 +445,23 @@ def _counted(pairs_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.nd
     return run
 
 
-_MERGED = "part bigint, first_context bigint, first_token bigint, last_context bigint, first_size bigint, first_total bigint, last_size bigint, last_total bigint, n bigint, total bigint, context binary, size binary, token binary, count binary"
+_MERGED = "part bigint, first_context bigint, first_token bigint, last_context bigint, first_size bigint, first_total bigint, last_size bigint, last_total bigint, n bigint, n_contexts bigint, total bigint, step binary, size binary, token binary, count binary"
 
 
-def _merge(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per part, from blobs that stand together by part."""
     part, held = None, []
 
     def out() -> pa.RecordBatch:
         context, token, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order, first = grouped(context, token)
-        count = np.add.reduceat(n[order].astype(np.int64), first)
+        count = np.add.reduceat(n[order], first)
         context, token = context[order[first]], token[order[first]]
         start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         size = np.diff(np.append(start, len(context)))
         total = np.add.reduceat(count, start)
-        facts = [part, context[0], token[0], context[-1], size[0], total[0], size[-1], total[-1], len(context), count.sum()]
-        many = [_binary(x.astype("<i8"), np.array([len(x)])) for x in (context[start], size, token, count)]
+        facts = [part, context[0], token[0], context[-1], size[0], total[0], size[-1], total[-1], len(context), len(start), count.sum()]
+        many = [_binary(_packed(x), np.array([len(x)])) for x in (np.append(0, np.diff(context[start])), size, token, count)]
         return pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in facts), *many], names=[f.split()[0] for f in _MERGED.split(", ")])
 
     for batch in batches:
@@ -456,18 +470,18 @@ def _merge(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBa
                 if held:
                     yield out()
                 part, held = p, []
-            step, token, n = (_ints(batch.column(c).slice(i, 1), kind)[0] for c, kind in (("context", "<i8"), ("token", kind), ("n", "<i4")))
-            held.append((np.cumsum(step), token.astype(np.int64), n))
+            step, token, count = (_unpacked(batch.column(c).slice(i, 1), batch.column("n")[i].as_py()) for c in ("step", "token", "count"))
+            held.append((np.cumsum(step) + batch.column("first")[i].as_py(), token, count))
     if held:
         yield out()
     give_back()
 
 
-def _level(blobs: DataFrame, parts: int, kind: str, folder: str, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], bytes]) -> tuple[list[str], list]:
+def _level(blobs: DataFrame, parts: int, folder: str, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], bytes]) -> tuple[list[str], list]:
     """Files of a level, and the facts of each, in order."""
     dealt = blobs.repartition(parts, "part").sortWithinPartitions("part")
-    merged = materialise(dealt.mapInArrow(lambda it: _merge(it, kind), _MERGED), "lm-merged")
-    facts = sorted(merged.drop("context", "size", "token", "count").collect())  # one row per file
+    merged = materialise(dealt.mapInArrow(_merge, _MERGED), "lm-merged")
+    facts = sorted(merged.drop("step", "size", "token", "count").collect())  # one row per file
     # a context that goes on over several files has one total
     whole: dict[int, tuple[int, int]] = {}
     for k, f in enumerate(facts):
@@ -478,11 +492,13 @@ def _level(blobs: DataFrame, parts: int, kind: str, folder: str, encode: Callabl
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path = _put(folder, "level", encode(*(_ints(batch.column(c).slice(i, 1), "<i8")[0] for c in ("context", "size", "token", "count")), whole))
+                first, n, m = (batch.column(c)[i].as_py() for c in ("first_context", "n", "n_contexts"))
+                step, size, token, count = (_unpacked(batch.column(c).slice(i, 1), k) for c, k in (("step", m), ("size", m), ("token", n), ("count", n)))
+                path = _put(folder, "level", encode(np.cumsum(step) + first, size, token, count, whole))
                 yield pa.RecordBatch.from_arrays([batch.column("part").slice(i, 1), pa.array([path])], names=["part", "path"])
             give_back()
 
-    paths = dict(merged.select("part", "context", "size", "token", "count").mapInArrow(write, "part bigint, path string").collect())
+    paths = dict(merged.select("part", "first_context", "n", "n_contexts", "step", "size", "token", "count").mapInArrow(write, "part bigint, path string").collect())
     discard(merged)
     return [paths[f.part] for f in facts], facts
 
@@ -509,15 +525,15 @@ def _count_words(learnt: DataFrame, folder: str) -> tuple[Words, int, int]:
     documents, size = learnt.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(1, -(-(size or 0) // (6 * PART)))
     bounds = np.arange(1, parts, dtype=object) * (1 << 32) // parts, np.zeros(parts - 1, np.int64)
-    blobs = learnt.mapInArrow(_counted(_word_pairs, (bounds[0].astype(np.int64), bounds[1]), "<u4"), _BLOB)
-    paths, facts = _level(blobs, parts, "<u4", folder, _write_words)
+    blobs = learnt.mapInArrow(_counted(_word_pairs, (bounds[0].astype(np.int64), bounds[1])), _BLOB)
+    paths, facts = _level(blobs, parts, folder, _write_words)
     first = np.array([f.first_context << 32 | f.first_token for f in facts], np.uint64)
     return Words(paths, first, _places(facts)), sum(f.total for f in facts), documents
 
 
 def _count_grams(learnt: DataFrame, model: Model, folder: str) -> Level:
     """The level after those that the model has."""
-    before, kind = list(model.levels), _id_kind(model)
+    before = list(model.levels)
     parts = max(1, -(-model.tokens // PART))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -535,7 +551,7 @@ def _count_grams(learnt: DataFrame, model: Model, folder: str) -> Level:
         order = np.argsort(keys(context, token))
         at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
         bounds = context[at], token[at]
-    paths, facts = _level(learnt.mapInArrow(_counted(pairs, bounds, kind), _BLOB), parts, kind, folder, GramFile.encode)
+    paths, facts = _level(learnt.mapInArrow(_counted(pairs, bounds), _BLOB), parts, folder, GramFile.encode)
     of = lambda name: np.array([f[name] for f in facts], np.int64)
     return Level(paths, of("first_context"), of("first_token"), of("last_context"), _places(facts))
 

@@ -24,6 +24,13 @@ def test_elias_fano(values, shift):
     if len(v):
         assert (s.access(np.arange(len(v))) == v).all()
     first = {int(x): i for i, x in reversed(list(enumerate(v.tolist())))}
+    if len(v) > 1:
+        i = np.arange(len(v) - 1)
+        at, x = s.place(i)
+        assert (x == v[:-1]).all() and (s.after(i + 1, at) == v[1:]).all()
+        # from the element before, wherever the next lies
+        zeros = (x >> np.uint64(s.l)).astype(np.int64)
+        assert (s.find(v[1:], i + 1, i + 2, (at + 1, zeros)) == i + 1).all()
     ask = np.unique(np.concatenate([v, v + np.uint64(1), np.array([0, 5, (1 << 64) - 1], np.uint64)]))
     assert s.find(ask).tolist() == [first.get(int(x), -1) for x in ask]
 
@@ -116,11 +123,11 @@ def test_search_is_by_pointers(spark, docs, monkeypatch):
     paths = [model.levels[0].paths[0], model.levels[1].paths[0]]
     f = lm.GramFile(lm._map(paths[0]))
     context = np.repeat(np.arange(f.contexts), [h - lo for lo, h in zip(*(x.tolist() for x in f.ranges(np.arange(f.contexts))[:2]), strict=True)])
-    lo, _, base = f.ranges(context)
+    lo, _, base, _ = f.ranges(context)
     place = np.arange(f.successors.n)
     token = (f.successors.access(place) - base).astype(np.int64)
     assert (f.find(context, token) == place).all() and token.max() <= model.end
-    flat = lambda self, k: (np.zeros(len(k), np.int64), np.full(len(k), self.successors.n), np.zeros(len(k), np.uint64))
+    flat = lambda self, k: (np.zeros(len(k), np.int64), np.full(len(k), self.successors.n), np.zeros(len(k), np.uint64), np.zeros(len(k), np.int64))
     monkeypatch.setattr(lm.GramFile, "ranges", flat)
     assert (f.find(context, token) == place).mean() < 0.2
     assert want
