@@ -479,7 +479,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _level(blobs: DataFrame, parts: int, folder: str, encode: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], bytes]) -> tuple[list[str], list]:
     """Files of a level, and the facts of each, in order."""
-    dealt = blobs.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = blobs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part")
     merged = materialise(dealt.mapInArrow(_merge, _MERGED), "lm-merged")
     facts = sorted(merged.drop("step", "size", "token", "count").collect())  # one row per file
     # a context that goes on over several files has one total

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_rules, mixing
+from . import decontaminate, line_rules, mixing, sharding
 
 _WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
 #: A-Z alone are lower-cased.
@@ -31,6 +31,12 @@ FROM m
 """
 
 _NUMBER = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+#: Which arrival a document comes with; versions follow each other from 1, one to an arrival.
+SHARDING = f"""
+WITH a AS (SELECT *, coalesce({_NUMBER.format(f"'{sharding.SEED}' || CAST(doc_id AS VARCHAR)")} % {sum(sharding.ARRIVALS)}, 0) AS x FROM documents),
+b AS (SELECT *, {" + ".join(["1", *(f"CAST(x >= {sum(sharding.ARRIVALS[:k])} AS BIGINT)" for k in range(1, len(sharding.ARRIVALS)))])} AS n FROM a)
+SELECT doc_id, source, lang, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS arrival, CAST(n AS BIGINT) AS since FROM b
+"""
 MIXING = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),

@@ -64,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op3_sharding": "SELECT doc_id, source, lang, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents",
+    "op3_sharding": oracle.SHARDING,
     "op4_decontaminate": oracle.DECONTAMINATE,
     "op1_mixing": oracle.MIXING,
     "op6_line_rules": oracle.LINE_RULES,
