@@ -1,22 +1,30 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Documents are dealt to shards by a seeded hash of doc_id. Within a shard the
-documents of one source, in seeded order, form a stream of words that is cut
-into blocks of ``block`` words (the last may be shorter). Every block is a seat:
-each shard apportions its seats to its sources by the highest quotients
-v / (2 k + 1), where v is the number of blocks that the source's target calls
-for there. Of a source's n blocks in a shard, a quota q takes every block q // n
-times and q % n of them once more, evenly spaced from a seeded start. So no
-group is larger than a shard, whatever a source's share of the rows.
+Documents are dealt to shards by a seeded hash. Within a shard the documents of
+one source, in seeded order, form a stream of words that is cut into blocks of
+``block`` words (the last may be shorter). Every block is a seat: each shard
+apportions its seats to its sources by the highest quotients v / (2 k + 1),
+where v is the number of blocks that the source's target calls for there. Of a
+source's n blocks in a shard, a quota q takes every block q // n times and q % n
+of them once more, evenly spaced from a seeded start.
+
+A source takes part in as many shards as its target has SEATS seats for, at most
+in all, so that rounding to whole seats weighs little in every shard; a source
+with few rows or a low target is in few. So a stream holds no more than
+``shard_rows`` documents on average, or SEATS seats' worth of a source that is
+thinned out, whatever a source's share of the rows.
 
 Targets share ``share`` of all words by weight; a target stops at ``repeats``
 times its source's size and the excess is shared again by weight.
 
-Null or blank text has size 0 and is never taken; a null source is a source of
-its own, last in order; a null doc_id hashes as the empty string; repeated rows
-stand beside each other in a stream and are taken as two documents; an empty
-table gives an empty result; other columns are ignored by :func:`plan` and kept
-by :func:`mix`.
+Null or blank text has size 0 and is never taken; a very long text is one
+document, of which blocks are taken like of others; a null source is a source of
+its own, last in order. Rows with a null doc_id are dealt by their text and
+number, so that they don't meet in one shard; rows that share a doc_id stand
+beside each other in a stream in order of their text's hash, repeated rows in
+any order, and each is taken as a document of its own. Ties in quotients go to
+the first source. An empty table gives an empty result; other columns are
+ignored by :func:`plan` and kept by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Words in a block; rows in a shard; most times a word is taken.
 BLOCK, SHARD_ROWS, REPEATS = 32, 1024, 3
+#: Seats that a source has in a shard, at least, unless it is in one shard only.
+SEATS = 64
 SEED = "mix-1"
 
 
@@ -107,23 +117,25 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK,
     ``turn`` say which blocks of the stream are taken. ``row`` names a column
     that identifies rows; without it rows are numbered.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = materialise(
-        docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")),
-        "mix-sizes",
-    )
+    text = F.col("text").cast("string")
+    sized = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), number(F.coalesce(text, F.lit(""))).alias("text_key"))
+    sized = materialise(sized, "mix-sizes")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("/", F.col("text_key"), F.col("row")))
     shards = max(1, -(-sized.count() // shard_rows))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     # one row per source; written, so that its true size decides how it is joined
-    by_source = materialise(by_source, "mix-targets")
+    most = F.least(F.floor(F.col("target") / (block * SEATS)).cast("bigint"), F.lit(shards).cast("bigint"))
+    by_source = materialise(by_source.withColumn("spread", F.greatest(most, F.lit(1).cast("bigint"))), "mix-targets")
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    dealt = sized.withColumn("shard", F.pmod(number(F.concat(F.lit(seed), key)), F.lit(shards)))
-    dealt = dealt.join(by_source, same(dealt, by_source)).drop(by_source["source"])
+    dealt = sized.join(by_source, same(sized, by_source)).drop(by_source["source"])
+    # a source's shards follow each other from a seeded first
+    first = number(F.concat_ws("/", F.lit(seed), F.lit("source"), F.col("rank")))
+    dealt = dealt.withColumn("shard", (first % shards + number(F.concat(F.lit(seed), key)) % F.col("spread")) % shards)
     streams = dealt.groupBy("shard", "rank").agg(div(F.sum("size") + (block - 1), block).alias("n"), F.first("target").alias("t"), F.first("source_size").alias("z"))
     streams = streams.filter("n > 0").withColumn("value", F.col("t") / F.col("z") * F.col("n"))
     quotas = materialise(streams.groupBy("shard").applyInPandas(_apportion(repeats), "shard bigint, rank bigint, n bigint, quota bigint"), "mix-quotas")
 
-    stream = Window.partitionBy("shard", "rank").orderBy(number(F.concat(F.lit(seed + "/"), key)), "doc_id", "row")
+    stream = Window.partitionBy("shard", "rank").orderBy(number(F.concat(F.lit(seed + "/"), key)), "doc_id", "text_key", "row")
     placed = dealt.withColumn("start", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(quotas, ["shard", "rank"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("quota", F.coalesce("quota", F.lit(0)))
     placed = placed.withColumn("turn", F.pmod(number(F.concat_ws("/", F.lit(seed), F.col("shard"), F.col("rank"))), F.col("n")))

@@ -38,21 +38,23 @@ b AS (SELECT *, {" + ".join(["1", *(f"CAST(x >= {sum(sharding.ARRIVALS[:k])} AS
 SELECT doc_id, source, lang, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS arrival, CAST(n AS BIGINT) AS since FROM b
 """
 MIXING = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), tk || '/' || r) AS key FROM (SELECT row_number() OVER () AS r, doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, {_NUMBER.format("coalesce(text, '')")} AS tk FROM documents)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),
 s1 AS (SELECT *, 3 * source_size AS cap, [{", ".join(map(str, mixing.WEIGHTS))}][1 + (rk - 1) % {len(mixing.WEIGHTS)}] AS w FROM s),
 s2 AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS op, row_number() OVER (ORDER BY cap / w, rk) AS place
        FROM s1 WINDOW b AS (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT coalesce(min_by(CAST(rest AS DOUBLE) / CAST(op AS DOUBLE), place), 0.0) AS lv FROM s2 WHERE rest * w <= cap * op),
 s3 AS (SELECT source, source_size, rk, least(CAST(cap AS DOUBLE), lv * w) AS target FROM s2, lv),
-g AS (SELECT d.*, s3.source_size, s3.rk, s3.target, {_NUMBER.format(f"'{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')")} % (SELECT greatest(1, CAST(ceil(count(*) / {mixing.SHARD_ROWS}) AS BIGINT)) FROM d) AS shard
-      FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source),
+sn AS (SELECT greatest(1, CAST(ceil(count(*) / {mixing.SHARD_ROWS}) AS BIGINT)) AS n FROM d),
+s4 AS (SELECT s3.*, sn.n AS shards, greatest(1, least(CAST(floor(target / {mixing.BLOCK * mixing.SEATS}) AS BIGINT), sn.n)) AS spread, {_NUMBER.format(f"'{mixing.SEED}/source/' || rk")} % sn.n AS lead FROM s3, sn),
+g AS (SELECT d.*, s4.source_size, s4.rk, s4.target, (lead + {_NUMBER.format(f"'{mixing.SEED}' || key")} % spread) % shards AS shard
+      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
 st AS (SELECT shard, rk, (CAST(sum(size) AS BIGINT) + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS n, any_value(target) / any_value(source_size) AS f FROM g GROUP BY shard, rk HAVING sum(size) > 0),
 tot AS (SELECT shard, CAST(floor(sum(f * n) + 0.5) AS BIGINT) AS seats FROM st GROUP BY shard),
 q AS (SELECT shard, rk, row_number() OVER (PARTITION BY shard ORDER BY v / (2 * k + 1) DESC, rk) AS place FROM (SELECT shard, rk, f * n AS v, unnest(range({mixing.REPEATS} * n)) AS k FROM st)),
 qq AS (SELECT q.shard, q.rk, count(*) AS quota FROM q JOIN tot USING (shard) WHERE place <= seats GROUP BY q.shard, q.rk),
 p AS (SELECT g.*, coalesce(st.n, 1) AS n, coalesce(qq.quota, 0) AS quota, {_NUMBER.format(f"'{mixing.SEED}/' || g.shard || '/' || g.rk")} % coalesce(st.n, 1) AS turn,
-      CAST(sum(size) OVER (PARTITION BY g.shard, g.rk ORDER BY {_NUMBER.format(f"'{mixing.SEED}/' || coalesce(CAST(doc_id AS VARCHAR), '')")}, doc_id, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+      CAST(sum(size) OVER (PARTITION BY g.shard, g.rk ORDER BY {_NUMBER.format(f"'{mixing.SEED}/' || key")}, doc_id, tk, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
       FROM g LEFT JOIN st ON st.shard = g.shard AND st.rk = g.rk LEFT JOIN qq ON qq.shard = g.shard AND qq.rk = g.rk),
 u AS (SELECT doc_id, source, size, source_size, target, n, quota, turn, e - size AS x, e FROM p)
 SELECT doc_id, source, size, source_size, target, CAST(

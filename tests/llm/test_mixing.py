@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from gridloom.llm import mixing
@@ -59,3 +59,49 @@ def test_odd(spark, odd):
     assert all(r.size == 0 and r.taken == 0 for r in got if r.doc_id in (1, 2, 3))
     assert mixing.query(odd.limit(0)).count() == 0 and mixing.mix(odd.limit(0)).count() == 0
     assert mixing.mix(odd).columns == odd.columns
+
+
+def test_many_sources(spark, docs):
+    """Targets of few seats are met too, none short in all shards alike; by the contract alone, from the words of the mix."""
+    rows = [(k, " ".join(words(3 + k % 9, k)), f"s{k % 150:03d}") for k in range(150 * 40)]
+    got = mixing.query(docs(rows)).groupBy("source", "target", "source_size").sum("taken").collect()
+    assert len(got) == 150
+    for w in range(3):
+        some = [r for r in got if int(r.source[1:]) % 3 == w]
+        # half a block of rounding is 8 percent of the least target
+        assert abs(sum(r["sum(taken)"] for r in some) / sum(r.target for r in some) - 1) < 0.05
+    assert all(abs(r["sum(taken)"] - r.target) <= 1.5 * mixing.BLOCK for r in got)
+
+
+def test_rows_without_key(spark, docs):
+    """Null doc_ids are spread over the shards; rows that share one are taken alike however the input lies."""
+    frame = docs([(None, f"a b c {k}", "s") for k in range(4000)])
+    sizes = [r["count"] for r in mixing.plan(frame).groupBy("shard").count().collect()]
+    assert max(sizes) < 1500 and len(sizes) == 4
+    twins = docs([(k // 4, " ".join(words(20 + k % 17, k)), f"s{k % 2}") for k in range(400)])
+    of = lambda f: sorted((r.doc_id, r.size, r.taken) for r in mixing.query(f).collect())
+    assert of(twins) == of(twins.repartition(5).orderBy("n_chars"))
+
+
+def water(sizes, weights, repeats):
+    """Targets by pouring: all words to all sources by weight, again and again until none is above its brim."""
+    target, rest, open_ = dict.fromkeys(sizes, 0.0), float(sum(sizes.values())), set(sizes)
+    while open_ and rest > 1e-9:
+        share = rest / sum(weights[s] for s in open_)
+        rest = 0.0
+        for s in sorted(open_):
+            target[s] += share * weights[s]
+            if target[s] >= repeats * sizes[s]:
+                rest += target[s] - repeats * sizes[s]
+                target[s] = float(repeats * sizes[s])
+                open_.discard(s)
+    return target
+
+
+@settings(deadline=None, max_examples=6, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 2000), min_size=1, max_size=9))
+def test_targets_by_pouring(spark, sizes):
+    by = {f"s{k}": n for k, n in enumerate(sizes)}
+    frame = spark.createDataFrame(list(by.items()), "source string, source_size bigint")
+    want = water(by, {f"s{k}": mixing.WEIGHTS[k % 3] for k in range(len(sizes))}, 3)
+    assert {r.source: r.target for r in mixing.targets(frame).collect()} == pytest.approx(want)
