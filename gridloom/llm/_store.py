@@ -20,9 +20,11 @@ CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only a session without one gets a folder of its own (tests)."""
+    """The session's shared folder; only a local session without one gets a folder of its own (tests)."""
     path = spark.conf.get(CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CONF} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(CONF, path)
@@ -91,14 +93,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-#: Rows of a narrow table (two numbers a row) that may be broadcast: 32 MB at most. Larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a table that may be broadcast. Larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df``, a written table of a few numbers a row, marked for broadcast if its counted rows allow."""
+    """``df``, a written table, marked for broadcast if its counted rows of their types' usual size allow; no arrays."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * (16 + sum(_WIDTH.get(f.dataType.typeName(), 64) for f in df.schema)) <= BROADCAST_BYTES else df
+
+
+#: Bytes of a value; others, such as paths, count as 64.
+_WIDTH = {"long": 8, "integer": 8, "double": 8, "boolean": 8}
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -98,11 +98,16 @@ bw AS (SELECT * FROM w5 WHERE side = 'b' AND len(list_filter(t, lambda x: NOT st
 bn AS (SELECT r, count(DISTINCT i) AS n_windows FROM bw GROUP BY r),
 m AS (SELECT DISTINCT d.r AS dr, d.id AS doc_id, b.r AS br, b.id AS item_id, b.i, list_filter(list_transform(range(1, 6), lambda k: {{'kind': b.t[k], 'a': b.s[k], 'b': d.s[k]}}), lambda p: starts_with(p.kind, '<')) AS pairs
       FROM w5 d JOIN bw b ON d.form = b.form AND d.t = b.t WHERE d.side = 'd'),
+vg AS (SELECT r, id, list_transform(ws, lambda x: lower(x)) AS ws FROM src WHERE side = 'b' AND len(ws) > 0 AND r NOT IN (SELECT r FROM bn)),
+ex AS (SELECT dr, doc_id, br, item_id, 1 AS n_windows, 1 AS n_matched FROM (SELECT d.r AS dr, d.id AS doc_id, vg.r AS br, vg.id AS item_id, list_transform(d.ws, lambda x: lower(x)) AS ds, vg.ws AS v FROM src d, vg WHERE d.side = 'd' AND len(d.ws) >= len(vg.ws))
+       WHERE CASE WHEN len(v) < {decontaminate.ANYWHERE} THEN ds = v ELSE len(list_filter(range(1, len(ds) - len(v) + 2), lambda i: ds[i:i + len(v) - 1] = v)) > 0 END),
 cand AS (SELECT dr, br FROM m JOIN bn ON bn.r = m.br GROUP BY dr, br, n_windows HAVING {decontaminate.PARTS} * count(DISTINCT i) >= {decontaminate.SHARE} * n_windows),
 mc AS (SELECT m.* FROM m JOIN cand USING (dr, br)),
 pr AS (SELECT dr, br, p.kind AS kind, p.a AS a, p.b AS b, count(*) AS c FROM (SELECT dr, br, unnest(pairs) AS p FROM mc) GROUP BY ALL),
 best AS (SELECT dr, br, kind, a, arg_max(b, c || ' ' || b) AS b FROM (SELECT dr, br, kind, a, b, lpad(CAST(c AS VARCHAR), 12, '0') AS c FROM pr) GROUP BY ALL),
 bad AS (SELECT DISTINCT x.dr, x.br, x.i, x.pairs FROM (SELECT dr, br, i, pairs, unnest(pairs) AS p FROM mc) x JOIN best ON best.dr = x.dr AND best.br = x.br AND best.kind = x.p.kind AND best.a = x.p.a WHERE best.b <> x.p.b),
-ok AS (SELECT mc.* FROM mc LEFT JOIN bad ON bad.dr = mc.dr AND bad.br = mc.br AND bad.i = mc.i AND bad.pairs = mc.pairs WHERE bad.dr IS NULL)
-SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(count(DISTINCT i) AS BIGINT) AS n_matched FROM ok JOIN bn ON bn.r = ok.br GROUP BY dr, doc_id, br, item_id, n_windows HAVING {decontaminate.PARTS} * count(DISTINCT i) >= {decontaminate.SHARE} * n_windows
+ok AS (SELECT mc.* FROM mc LEFT JOIN bad ON bad.dr = mc.dr AND bad.br = mc.br AND bad.i = mc.i AND bad.pairs = mc.pairs WHERE bad.dr IS NULL),
+md AS (SELECT dr, doc_id, item_id, n_windows, count(DISTINCT i) AS n_matched FROM ok JOIN bn ON bn.r = ok.br GROUP BY dr, doc_id, br, item_id, n_windows HAVING {decontaminate.PARTS} * count(DISTINCT i) >= {decontaminate.SHARE} * n_windows
+       UNION ALL SELECT dr, doc_id, item_id, n_windows, n_matched FROM ex)
+SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(n_matched AS BIGINT) AS n_matched FROM md
 """

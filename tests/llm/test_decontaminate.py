@@ -58,7 +58,7 @@ def test_clean(spark, docs, odd):
 def test_shuffle_join_agrees(spark, docs, monkeypatch):
     rows = [(1, ITEM, "s"), (2, "x " * 50, "s"), (3, ITEM.replace("Paris", "Rome"), "s")]
     want = found(spark, docs, rows)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert found(spark, docs, rows) == want == [(1, 1), (3, 1)]
 
 
@@ -68,3 +68,23 @@ def test_forms(spark):
     assert said == ["run", "5", "km", "then", "3.5kg", "for", "20", "with", "o'neill's", "dog", "at", "7"]
     assert t1 == ["run", "<num>", "<unit>", "then", "<qty>", "for", "<num>", "with", "o'neill's", "dog", "at", "<num>"]
     assert t2[0] == "<name>" and t2[8] == "<name>"
+
+
+def test_short_and_numeric_items(spark, docs, monkeypatch):
+    """Items too vague for windows are found word by word; one or two words only as a whole text."""
+    items = ["What is 2+2?", "7 8 9 10 11 12 13 is what", "Paris", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    around = " ".join(words(30, 4))
+    texts = ["What is 2+2?", f"{around} what IS (2+2) {around}", f"{around} 7 8 9 10 11 12 13 is what {around}", "7 8 9 10 11 12 14 is what", "what is 2", "paris!", f"{around} Paris {around}", "0 1 2 3 4 5 6 7 8 9 10 11 12", "7 8 9 10 11 12 13 is", "", None, "--"]
+    frame = docs([(i, t, "s") for i, t in enumerate(texts)])
+    want = [(0, 0), (1, 0), (2, 1), (5, 2), (7, 3)]
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+        got = decontaminate.query(frame, b).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == want and all(r.n_windows == r.n_matched == 1 for r in got)
+    import duckdb
+
+    from gridloom.llm import oracle
+
+    documents, benchmark = frame.select("doc_id", "text").toPandas(), b.toPandas()  # noqa: F841
+    assert sorted(duckdb.sql(oracle.DECONTAMINATE).fetchall()) == [(*w, 1, 1) for w in want]
