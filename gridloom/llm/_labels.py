@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Bytes of labelled texts that training may use.
+SAMPLE_BYTES = 64 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -15,13 +17,14 @@ def fold(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[pa.Array, np.ndarray]:
-    """Whole texts and 0/1 labels of at most ``limit`` labelled documents outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, most: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """Whole texts and 0/1 labels of at most ``limit`` labelled documents outside the held-out fold, of ``most`` bytes in all.
 
     The documents are those whose doc_id has the smallest MD5, whatever the
-    table's size or order. Conflicting labels of one doc_id count as their
-    maximum. Only ``limit`` doc_ids are ever broadcast, and ``limit`` texts
-    collected.
+    table's size or order, but for those that would exceed the bytes. Conflicting
+    labels of one doc_id count as their maximum, of different texts the smallest
+    by hash. Only ``limit`` doc_ids are ever broadcast, and their texts collected
+    after their lengths.
     """
     key = F.col("doc_id").cast("bigint")
     chosen = (
@@ -33,9 +36,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[
         .orderBy(F.md5(F.col("label_id").cast("string")), "label_id")
         .limit(limit)
     )
-    ids = chosen.collect()
-    few = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in ids], "label_id bigint, label int")
-    got = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).orderBy("label_id").limit(limit)
+    ids = dict(map(tuple, chosen.collect()))
+    spark = docs.sparkSession
+    narrow = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    few = F.broadcast(spark.createDataFrame(list(ids.items()), "label_id bigint, label int"))
+    facts = narrow.join(few, F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("f"))
+    of = {r[0]: (r[1], r[2] or 0) for r in facts.select("label_id", "f.h", "f.n").collect()}
+    rows, left = [], most
+    for i, y in ids.items():
+        if i in of and of[i][1] <= left:
+            left -= of[i][1]
+            rows.append((i, of[i][0], y))
+    few = F.broadcast(spark.createDataFrame(rows, "label_id bigint, h bigint, label int"))
+    # of rows with one text one is taken
+    got = narrow.join(few, (F.col("doc_id") == F.col("label_id")) & (F.xxhash64("text") == F.col("h"))).dropDuplicates(["label_id"]).orderBy("label_id")
     table = got.select("text", "label").toArrow()
     text = table.column("text").combine_chunks()
     return (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text), table.column("label").to_numpy().astype(np.int8)

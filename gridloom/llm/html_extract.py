@@ -8,10 +8,13 @@ near it are kept too. Menus, page headers and footers, sidebars, notices,
 adverts, forms and reader comments are known by tag, role, class and id, and
 lists of links by their links; they neither score nor appear.
 
-Character references are decoded, white space within a block becomes one space,
+Elements nested deeper than DEPTH lie in the element at that depth. Character
+references are decoded, white space within a block becomes one space,
 and blocks follow each other in page order, one line feed between them. Null
 and empty html give empty text; html without any markup is one block; a page cut
-off in a tag loses that tag only; repeated rows give equal rows; an empty table
+off in a tag loses that tag only; a very long page is parsed whole, in time that
+grows with its length; of containers with equally many points the first counts;
+a null page_id or url is carried along; repeated rows give equal rows; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select noframes xmp".split())
 BLOCK = frozenset("html head body article main section div p pre blockquote ul ol li dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 hr address figure figcaption details summary fieldset form nav header footer aside dialog menu center".split())
 CONTAINER = frozenset("html body article main section div td th dd blockquote details figure center address".split())
 CELL = frozenset("td th dd".split())
@@ -46,6 +49,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Elements that an end tag of something inside them doesn't reach past.
 WALL = frozenset("html body table td th article main section div ul ol nav header footer aside form".split())
+#: Most elements within each other.
+DEPTH = 256
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++(?:[^\s/>=]++)?+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)[^>]*+>""")
@@ -74,7 +79,8 @@ def _marks(tag: str, rest: str, inside_article: bool) -> tuple[bool, bool, int]:
         for m in _ATTRIBUTE.finditer(rest):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                words = _NAME.findall(value)
+                # the header of a post or an article is part of it
+                words = [w for name in value.split() for part in (_NAME.findall(name),) for w in part if not (w == "header" and any(x in GOOD_WORD for x in part))]
                 if not good or "comment" in words or "comments" in words:
                     mark = max([mark, *(1 + (w in REMARKS) for w in words if w in JUNK_WORD and not (inside_article and w == "header"))])
                 good = good or any(w in GOOD_WORD for w in words)
@@ -165,6 +171,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes.append(Node("body", 0, False, False))
                 stack.append(len(nodes) - 1)
             continue
+        if len(stack) > DEPTH:
+            continue
         junk, good, mark = _marks(tag, m[3], articles > 0)
         nodes.append(Node(tag, stack[-1], junk, good, mark))
         if not html.startswith("/>", m.end() - 2) or tag in BLOCK:
@@ -217,11 +225,11 @@ def _score(nodes: list[Node], runs: list[tuple[int, str]]) -> None:
             nodes[x.parent].whole += x.whole
             nodes[x.parent].whole_linked += x.whole_linked
             nodes[x.parent].links += x.links
-    # a list of links is a menu, wherever it stands
+    # a list of links is a menu, wherever it stands, unless it is numbered as references are
     for i, x in enumerate(nodes):
         if i and not x.junk and nodes[x.parent].junk:
             x.junk = True
-        elif x.tag in ("ul", "ol", "dl", "table") and x.links >= 2 and x.whole_linked > 0.8 * x.whole:
+        elif x.tag in ("ul", "dl", "table") and x.links >= 2 and x.whole_linked > 0.8 * x.whole:
             x.junk = True
     for i, x in enumerate(nodes):
         if x.junk or not x.size:

@@ -3,12 +3,16 @@
 A line's identity is its words, A-Z lower-cased, whatever white space stands
 between them. For each host the distinct documents that hold a line are
 counted; exact copies of one text count once. A line held by more than
-``max_docs`` distinct documents of its host is removed from all of them but
-the one with the smallest doc_id, so that something of a large group stays. A
-document that has lost more than ``max_lost`` of its words is rejected, as is
+``max_docs`` distinct documents of its host is removed from all of them, but for
+the one with the smallest doc_id if ``keep_first``, so that something of a large
+group stays. A document that has lost more than ``max_lost`` of its words is rejected, as is
 one that fails the base rules.
 
-Null text counts as empty and fails the base rules; a null host is a host of
+Words, lines and documents are known by 64-bit hashes; of n distinct lines two
+share one with a chance of about n * n / 2**65, and then count as one line. A
+very long text is measured whole, in one task; what it counts for elsewhere is
+one row a line. There are no ties but of the smallest doc_id, whose rows all keep
+their lines. Null text counts as empty and fails the base rules; a null host is a host of
 its own; rows that agree in all columns get one verdict each, the same one; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import chunks, mix, pair
-from ._store import materialise, small_side
+from ._store import BROADCAST_BYTES, materialise, small_side
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -33,9 +37,9 @@ MAX_DOCS, MAX_LOST = 20, 0.8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
-_LINES = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
+_LINES = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("at", pa.int32())]))
 _OUT = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("content", pa.int64()), ("lines", _LINES)])
-SCHEMA = "doc_id bigint, host string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, content bigint, lines array<struct<h:bigint,w:int>>"
+SCHEMA = "doc_id bigint, host string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, content bigint, lines array<struct<h:bigint,w:int,at:int>>"
 
 
 def repeats(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +91,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             per = np.bincount(lo[has], minlength=t.n)
             offsets = np.zeros(t.n + 1, np.int32)
             np.cumsum(per, out=offsets[1:])
-            items = pa.StructArray.from_arrays([pa.array(line_key.view(np.int64)), pa.array(n_in[has].astype(np.int32))], fields=list(_LINES.value_type))
+            items = pa.StructArray.from_arrays([pa.array(line_key.view(np.int64)), pa.array(n_in[has].astype(np.int32)), pa.array((has - np.searchsorted(lo, lo[has])).astype(np.int32))], fields=list(_LINES.value_type))
             rows = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").cast(pa.int64()), rows.column("host").cast(pa.string()), rows.column("text_key"), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, t.count(_SYMBOL[t.raw], t.start, t.end), n_dup, n_repeat)), pa.array(content.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), items)],
@@ -115,14 +119,17 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return narrow.mapInArrow(_measure, SCHEMA)
 
 
-def _judged(docs: DataFrame, host: str, max_docs: int, max_lost: float) -> tuple[DataFrame, DataFrame]:
-    """One row per row of ``docs`` with its figures and verdict, and (row, at, w) for each line that goes; ``at`` counts a row's lines that have a word."""
+def _judged(docs: DataFrame, host: str, max_docs: int, max_lost: float, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs`` with its figures and verdict, and (row, at, w) for each line that goes; ``at`` counts a row's lines from 0."""
     rows = materialise(measure(docs, host).withColumn("row", F.monotonically_increasing_id()), "line-rules")
-    lines = rows.select("row", "doc_id", "host", "content", F.posexplode("lines").alias("at", "line")).select("row", "doc_id", "host", "content", "at", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    lines = rows.select("row", "doc_id", "host", "content", F.explode("lines").alias("line")).select("row", "doc_id", "host", "content", F.col("line.at").alias("at"), F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     counts = lines.groupBy("host", "h", "content").agg(F.min("doc_id").alias("first")).groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
-    # written, so that its true size decides between a broadcast and a shuffle join
+    # the lines above the limit are the hot ones; they are few, and a shuffle of them is only made if they aren't
     above = materialise(counts.filter(F.col("n_docs") > max_docs).select("host", "h", "first"), "lines-above")
-    gone = lines.join(above, ["host", "h"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("row", "at", "w")
+    gone = lines.join(small_side(above), ["host", "h"])
+    if keep_first:
+        gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = gone.select("row", "at", "w")
     lost = gone.groupBy("row").agg(F.sum("w").alias("lost"))
     out = rows.drop("lines").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -130,9 +137,9 @@ def _judged(docs: DataFrame, host: str, max_docs: int, max_lost: float) -> tuple
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("lost", "content"), gone
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST, keep_first: bool = True) -> DataFrame:
     """One row per row of ``docs`` with its figures, the words it loses and the verdict."""
-    return _judged(docs, host, max_docs, max_lost)[0].drop("row", "host")
+    return _judged(docs, host, max_docs, max_lost, keep_first)[0].drop("row", "host")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -147,20 +154,21 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["bad_id"]) & (key == bad["bad_key"]), "left_anti")
 
 
-def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+def remove_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST, keep_first: bool = True) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without the lines that go; n_chars, if there, is counted anew."""
-    judged, gone = _judged(docs, host, max_docs, max_lost)
+    judged, gone = _judged(docs, host, max_docs, max_lost, keep_first)
     # rows that agree in these three have the same lines and verdict
     places = gone.groupBy("row").agg(F.collect_list("at").alias("gone_at"))
     keys = [F.col("doc_id").alias("gone_id"), F.col("host").alias("gone_host"), F.col("text_key").alias("gone_key")]
     marked = judged.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).join(places, "row", "left").select(*keys, "kept", "gone_at")
-    marked = small_side(materialise(marked.dropDuplicates(["gone_id", "gone_host", "gone_key"]), "lines-gone"))
+    marked = materialise(marked.dropDuplicates(["gone_id", "gone_host", "gone_key"]), "lines-gone")
+    size = marked.agg(F.sum(80 + 2 * F.octet_length("gone_host") + 8 * F.coalesce(F.size("gone_at"), F.lit(0)))).first()[0] or 0
+    marked = F.broadcast(marked) if size <= BROADCAST_BYTES else marked
     own_host = F.coalesce(F.concat(F.lit("="), docs[host].cast("string")), F.lit(""))
     same = docs["doc_id"].cast("bigint").eqNullSafe(marked["gone_id"]) & (own_host == marked["gone_host"]) & (F.xxhash64(docs["text"].cast("string")) == marked["gone_key"])
-    lines = F.split(docs["text"], "\n", -1)
-    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
-    out = F.transform(marked["gone_at"], lambda k: F.get(worded, k))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
+    # the lines are a variable, so that the text is split once and not once a line
+    some = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), marked["gone_at"])
+    left = F.get(F.transform(F.array(F.split(docs["text"], "\n", -1)), lambda ls: F.array_join(F.transform(some(ls), lambda i: F.get(ls, i)), "\n")), F.lit(0))
     text = F.when(marked["gone_at"].isNull(), docs["text"]).otherwise(left)
     changed = {"text": text.alias("text")}
     if "n_chars" in docs.columns:

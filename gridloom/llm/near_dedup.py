@@ -15,8 +15,10 @@ joins nearly all of a dense cluster at once; what is still outside the
 cluster's largest component then meets every member of the cluster, chunk by
 chunk. Pairs are never emitted, only the links of a spanning forest.
 
-Texts without a word have an empty set and link with nothing, as has null text.
-A null doc_id takes part; a component's id is its smallest doc_id that isn't
+Shingles are known by 64-bit hashes and sets by two such numbers and their size.
+A very long text is one set, measured whole in one task; a link at exactly the
+limit counts; ties in an order go by class. Texts without a word have an empty
+set and link with nothing, as has null text. A null doc_id takes part; a component's id is its smallest doc_id that isn't
 null. Repeated rows have the same set and so one component. An empty table gives
 an empty result; other columns are ignored by :func:`query` and kept by
 :func:`deduplicate`.

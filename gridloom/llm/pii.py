@@ -2,22 +2,26 @@
 
 Entities are found by pattern: email addresses, IPv4 and MAC addresses, card
 numbers, IBANs, social security numbers, phone numbers, secrets, and personal
-names that follow a title or consist of a known given name and a known surname.
-Each gets a surrogate of its own kind, format and script: digits stay digits,
+names: words with a capital that follow a title, a known given name or words
+with which people are introduced. Other names can't be told from other words
+with capitals and stay. Each gets a surrogate of its own kind, format and script: digits stay digits,
 letters stay letters of their alphabet and case, separators stay where they
 are, valid card numbers stay valid, an address stays an address, a given name
-becomes one of the same gender and script.
+becomes one of the same gender and script, and a Cyrillic surname keeps the
+ending that shows its gender.
 
 A surrogate is made by a keyed permutation of all values of the entity's form:
 the value's number is moved by a keyed Feistel network, shifted by a keyed
 amount other than 0, and moved back. So one entity has one surrogate wherever
 it stands (coreference), two never share one (distinctness), and none is its own.
 What entities have in common for this purpose is their bare value: case and
-separators aside, and a phone number's last ten digits. A check over the whole
-corpus confirms that no two entities of a kind came to one surrogate; a kind
+separators aside, and a phone number's last ten digits. No such value is written
+anywhere: what is kept of it is a keyed digest. A check over the whole corpus confirms that no two entities of a kind came to one surrogate; a kind
 for which it fails is keyed anew.
 
-Null and empty texts stay as they are; text without entities is unchanged to
+Where entities overlap, the kind that comes first in KINDS counts. Null and empty
+texts stay as they are; very long texts are searched whole, in time that grows
+with their length; text without entities is unchanged to
 the byte; a null doc_id is carried along; repeated rows are replaced alike; an
 empty table gives an empty result; other columns are ignored by :func:`query`
 and kept by :func:`redact`.
@@ -39,6 +43,8 @@ from ._store import materialise
 #: The key of the queries; a deployment passes its own secret.
 KEY = b"gridloom-surrogates"
 ROUNDS = 8
+#: Letters of a value that are permuted as one number; of a longer one, each run of so many is.
+RUN = 64
 
 # Alphabets within which a letter is replaced.
 ALPHABETS = (
@@ -59,6 +65,11 @@ SURNAMES = {
     "latin": "Anderson Bauer Becker Bernard Brown Clark Davis Dubois Durand Fernandez Fischer Garcia Gonzalez Green Hall Harris Hoffmann Jackson Johnson Jones Klein Lambert Laurent Lefebvre Lewis Lopez Martin Martinez Meyer Miller Moreau Moreno Müller Perez Petit Robinson Rodriguez Roux Ruiz Sanchez Schmidt Schneider Schulz Smith Taylor Thompson Wagner Walker Weber White Williams Wilson Wright Young".split(),
     "cyrillic": "Иванов Петров Смирнов Кузнецов Попов Васильев Соколов Михайлов Новиков Фёдоров Морозов Волков".split(),
 }
+# Endings of Cyrillic surnames, each with the one of the other gender's name that it belongs to.
+ENDINGS = {"ская": "ск", "ский": "ск", "ова": "ов", "ева": "ев", "ёва": "ёв", "ина": "ин", "ов": "ов", "ев": "ев", "ёв": "ёв", "ин": "ин"}
+# Words after which a name stands, and those after which two words with a capital are one.
+INTRODUCTIONS = "my name is|My name is|I am called|mein Name ist|Mein Name ist|ich heiße|Ich heiße|je m'appelle|Je m'appelle|me llamo|Me llamo|mi nombre es|Mi nombre es|меня зовут|Меня зовут".split("|")
+LABELS = "Name:|name:|Full name:|Contact:|contact:|Author:|author:|Sincerely,|sincerely,|Regards,|regards,|Signed,|signed,|Имя:|Nombre:|Nom:".split("|")
 TITLES = {"f": "Mrs Ms Miss Mme Madame Mlle Frau Señora Sra Srta Doña Г-жа".split(), "m": "Mr Mister Monsieur Herr Señor Sr Don Г-н".split(), "": "Dr Prof".split()}
 
 _CLASS = {c: k for k, letters in enumerate(ALPHABETS) for c in letters}
@@ -110,6 +121,8 @@ def moved(x: int, size: int, key: bytes, tweak: str, ok: Callable[[int], bool] |
 
 def respell(text: str, key: bytes, tweak: str, ok: Callable[[str], bool] | None = None) -> str:
     """Each letter and digit replaced within its alphabet, case kept, everything else left."""
+    if len(text) > RUN:
+        return "".join(respell(text[i : i + RUN], key, f"{tweak}/{i}") for i in range(0, len(text), RUN))
     low = [c if c in _SHARP or len(c.lower()) != 1 else c.lower() for c in text]
     at = [i for i, c in enumerate(low) if c in _CLASS]
     if not at:
@@ -191,7 +204,8 @@ _HEX = re.compile(r"[0-9a-fA-F]+")
 
 def _secret(m: str, key: bytes) -> tuple[str, str]:
     if _HEX.fullmatch(m) and len({c.isupper() for c in m if c.isalpha()}) < 2:
-        n = f"{moved(int(m, 16), 16 ** len(m), key, f'hex/{len(m)}'):0{len(m)}x}"
+        runs = [m[i : i + RUN] for i in range(0, len(m), RUN)]
+        n = "".join(f"{moved(int(x, 16), 16 ** len(x), key, f'hex/{len(m)}/{i}'):0{len(x)}x}" for i, x in enumerate(runs))
         return m.lower(), n.upper() if m.upper() == m else n
     return m, respell(m, key, "secret")
 
@@ -228,18 +242,37 @@ def _from_list(word: str, names: list[str], key: bytes, tweak: str) -> str | Non
     return new.upper() if word.isupper() and len(word) > 1 else new
 
 
+#: All listed names, with surnames as women have them.
+_LISTED = frozenset(n.lower() for g in GIVEN.values() for n in g) | frozenset(n.lower() for s in SURNAMES.values() for n in s) | frozenset(f"{n.lower()}а" for n in SURNAMES["cyrillic"])
+
+
+def _surname(word: str, key: bytes) -> str | None:
+    """A listed surname's surrogate, or that of a Cyrillic one by its ending."""
+    script = _script(word)
+    tweak = f"surname/{script}"
+    if (got := _from_list(word, SURNAMES[script], key, tweak)) is not None or script == "latin":
+        return got
+    if word[-1] in "аА" and (got := _from_list(word[:-1], SURNAMES[script], key, tweak)) is not None:
+        return got + word[-1]
+    low = word.lower()
+    end = next((e for e in ENDINGS if low.endswith(e) and len(low) > len(e) + 1), None)
+    if end is None or low in _LISTED:
+        return None
+    stem = word[: -len(end)]
+    return respell(stem, key, f"name/{ENDINGS[end]}", lambda w: f"{w.lower()}{ENDINGS[end]}" not in _LISTED) + word[-len(end) :]
+
+
 def _name_word(word: str, gender: str, last: bool, key: bytes) -> str:
     """One part of a name; a name that no list has keeps its length and capitals."""
     script = _script(word)
-    every = {n.lower() for g in GIVEN.values() for n in g} | {n.lower() for s in SURNAMES.values() for n in s}
     if not last:
         for g in (gender,) if gender else ("f", "m"):
             if (got := _from_list(word, GIVEN[script, g], key, f"given/{script}/{g}")) is not None:
                 return got
-    if (got := _from_list(word, SURNAMES[script], key, f"surname/{script}")) is not None:
+    if (got := _surname(word, key)) is not None:
         return got
     # never a listed name, so that listed and other names can't meet
-    return respell(word, key, "name", lambda w: w.lower() not in every) if word.lower() not in every else respell(word, key, "listed")
+    return respell(word, key, "name", lambda w: w.lower() not in _LISTED) if word.lower() not in _LISTED else respell(word, key, "listed")
 
 
 def _name(m: str, key: bytes) -> tuple[str, str]:
@@ -259,34 +292,35 @@ GIVEN_ALL = [n for names in GIVEN.values() for n in names]
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)*"
 _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(map(re.escape, GIVEN_ALL))
-_SURNAME = "|".join(re.escape(n) for s in SURNAMES.values() for n in s)
+_INTRODUCED, _LABELLED = "|".join(map(re.escape, INTRODUCTIONS)), "|".join(map(re.escape, LABELS))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: Kinds in order of precedence: what an earlier one takes, a later one doesn't see.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], tuple[str, str]]], ...] = (
     ("email", r"(?<![\w.+%-])[\w.+%-]*\w@(?:[\w-]+\.)+[A-Za-z]{2,}", _email),
-    ("secret", r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)\b\s*[=:]\s*)[\"']?(?P<secret>[A-Za-z0-9_\-+/=.]{6,}(?<!\.))[\"']?|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})|(?<![\w])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,}(?!\w)", _secret),
+    ("secret", r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)\b\s*[=:]\s*)[\"']?(?P<secret>[A-Za-z0-9_\-+/=.]{6,}(?<!\.))[\"']?|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})|(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}|(?<![\w])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,}(?!\w)", _secret),
     ("mac", r"(?<![\w:-])(?:[0-9A-Fa-f]{2}([:-]))(?:[0-9A-Fa-f]{2}\2){4}[0-9A-Fa-f]{2}(?![\w:-])", _mac),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)", _ip),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
     ("card", r"(?<![\d+])(?:\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)", _card),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("phone", r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{4})(?![\d-])", _phone),
-    ("name", rf"(?<!\w)(?:(?:{_TITLE})\.?\s+{_CAPITAL}(?:\s+{_CAPITAL}){{0,2}}|(?:{_GIVEN})\s+(?:{_SURNAME}))(?!\w)", _name),
+    ("name", rf"(?<!\w)(?:(?:{_TITLE})\.?\s+{_CAPITAL}(?:\s+{_CAPITAL}){{0,2}}|(?:{_GIVEN})(?:\s+(?:{_GIVEN}))?\s+{_CAPITAL}|(?:{_INTRODUCED})\s+(?P<introduced>{_CAPITAL}(?:\s+{_CAPITAL}){{0,2}})|(?:{_LABELLED})\s+(?P<labelled>{_CAPITAL}(?:\s+{_CAPITAL}){{1,2}}))(?!\w)", _name),
 )
 _COMPILED = [(kind, re.compile(pattern.replace(r"\2", r"\1") if kind == "mac" else pattern), make) for kind, pattern, make in KINDS]
 _SIGN = re.compile("[0-9@=:]")
 #: Beginnings of secrets, and MAC addresses, that need none of the signs.
 _BARE = re.compile(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|(?:[A-Fa-f]{2}-){5}")
 #: A whole word before a capital, which it leaves to be the next match's.
-_FIRST = re.compile(r"[A-ZА-ЯЁ]\w++(?=\s+[A-ZА-ЯЁ])")
+_FIRST = re.compile(r"(?<!\w)[A-ZА-ЯЁ]\w++(?=\s+[A-ZÀ-ÖØ-ÞА-ЯЁ])")
 _TITLES = [t for ts in TITLES.values() for t in ts]
 _GIVEN_SET = frozenset(GIVEN_ALL)
+_CUES = [*INTRODUCTIONS, *(x for x in LABELS if ":" not in x)]
 
 
 def maybe(text: str) -> bool:
     """False only for text without an entity; much faster than the patterns."""
-    return bool(_SIGN.search(text)) or any(t in text for t in _TITLES) or any(w in _GIVEN_SET for w in _FIRST.findall(text)) or bool(_BARE.search(text))
+    return bool(_SIGN.search(text)) or any(t in text for t in _TITLES) or any(w in _GIVEN_SET for w in _FIRST.findall(text)) or any(c in text for c in _CUES) or bool(_BARE.search(text))
 
 
 @dataclass
@@ -295,6 +329,11 @@ class Found:
     entities: list[tuple[str, str, str]] = field(default_factory=list)  # kind, value, surrogate's value
 
 
+def digest(value: str, key: bytes) -> str:
+    """What is kept of a value: equal for equal values, and no way back without the key."""
+    return hashlib.blake2b(value.encode(), key=hashlib.sha256(key).digest(), digest_size=16).hexdigest()
+
+
 def replace(text: str, keys: dict[str, bytes]) -> Found:
     """The text with its entities replaced, and those entities."""
     if not maybe(text):
@@ -305,7 +344,8 @@ def replace(text: str, keys: dict[str, bytes]) -> Found:
     for kind, pattern, make in _COMPILED:
         first = len(taken)
         for m in pattern.finditer(left):
-            a, b = m.span("secret") if kind == "secret" and m["secret"] else m.span()
+            group = next((g for g in ("secret", "introduced", "labelled") if m.groupdict().get(g)), 0)
+            a, b = m.span(group)
             s = text[a:b]
             if kind == "iban" and not _iban_ok(s):
                 continue
@@ -336,14 +376,17 @@ def _run(keys: dict[str, bytes]):
                 rows = batch.slice(lo, 512)
                 found = [None if (t := x.as_py()) is None else replace(t, keys) for x in rows.column("text")]
                 text = pa.array([None if f is None else f.text for f in found], pa.string())
-                items = pa.array([[] if f is None else [dict(zip(("kind", "value", "surrogate"), e, strict=True)) for e in f.entities] for f in found], pa.list_(_ENTITY))
+                items = pa.array([[] if f is None else [{"kind": k, "value": digest(v, keys[k]), "surrogate": digest(new, keys[k])} for k, v, new in f.entities] for f in found], pa.list_(_ENTITY))
                 yield pa.RecordBatch.from_arrays([rows.column("rest"), text, items], names=["rest", "text", "entities"])
 
     return run
 
 
 def surrogates(docs: DataFrame, key: bytes = KEY, attempts: int = 3) -> DataFrame:
-    """(rest, text, entities): ``rest`` holds the other columns as a struct; the collision check has passed."""
+    """(rest, text, entities): ``rest`` holds the other columns as a struct; the collision check has passed.
+
+    An entity has its kind and the digests of its value and of its surrogate's.
+    """
     keys = {kind: key + kind.encode() for kind, _, _ in KINDS}
     rest = [c for c in docs.columns if c != "text"]
     narrow = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"))

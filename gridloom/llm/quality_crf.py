@@ -6,7 +6,9 @@ of their own. The field is trained on lines that take their document's label;
 a document's quality is the mean of its lines' marginal chances of being good,
 by forward-backward, weighted by their length.
 
-Lines without a word are left out, except that a text without any word counts
+A very long text is one chain, scored whole in one task, and its lines' chances
+are scaled line by line, so that no number of lines underflows; a line whose
+chance is exactly one half counts as good. Lines without a word are left out, except that a text without any word counts
 as one empty line, as does null; such texts are scored like all others. A null
 doc_id is scored; repeated rows are scored alike; an empty table gives an empty
 result; without labels every score is 0.5; other columns are ignored.

@@ -6,7 +6,9 @@ scores p combine by noisy-or, 1 - prod(1 - p). Word weights are trained through
 that combination from document labels alone, and the sentence scores then say
 where the offence lies.
 
-Null, empty and wordless texts have no sentence and score 0; a null doc_id is
+A very long text is one bag, scored whole in one task; a sentence that scores
+exactly THRESHOLD offends; words are known by 64-bit hashes. Null, empty and
+wordless texts have no sentence and score 0; a null doc_id is
 scored like any other; repeated rows are scored alike; an empty table gives an
 empty result; without labels every score is the bare prior; other columns are
 ignored.
@@ -183,4 +185,4 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = apply(docs, fit(docs, labels))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_offending")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_offending", "spans")

@@ -72,3 +72,27 @@ def test_query(spark):
     got = query(df).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, TEXT, len(TEXT)), (1, TEXT, len(TEXT))]
     assert query(df.limit(0)).count() == 0
+
+
+def test_parts_of_the_article():
+    """A post's own header, formulas, objects' text and numbered references are part of the article."""
+    page = f"<body><div class=post><div class=post-header><h1>The title</h1></div><div class=content>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <object>as shown</object>, here.</p><ol><li><a href=a>Ref one</a></li><li><a href=b>Ref two</a></li></ol></div></div></body>"
+    assert extract(page) == f"The title\n{TEXT}\nSo x=2 holds, as shown, here.\nRef one\nRef two"
+    menu = f"<body><div class=content>{BODY}<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div></body>"
+    assert extract(menu) == TEXT
+
+
+@pytest.mark.parametrize("piece", ["<b>x", "<div>x", "</i>", "<td><b>", "<p><a href=x>y", "<ul><li>z", "<!--", "<", "&amp", "<x "])
+def test_time_grows_with_length(piece):
+    def took(n):
+        start = time.perf_counter()
+        extract("<i><table><td>" + piece * n)
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(40_000) < 30 * max(took(4_000), 0.01)
+
+
+def test_deep_nesting_keeps_text():
+    n = 3000
+    assert extract("<div>" * n + BODY + "</div>" * n) == TEXT

@@ -133,3 +133,59 @@ def _patched(run, keys, kinds):
             pii._COMPILED = before
 
     return go
+
+
+def test_nothing_personal_is_written(spark, docs):
+    """No file of the scratch tables has an entity's value."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from gridloom.llm._store import scope
+
+    with scope() as paths:
+        pii.redact(docs([(1, "Write to jane.roe@corp.example or ask Mrs. Anna Kowalska.", "s")])).collect()
+    files = [f for p in paths for f in glob.glob(f"{p.removeprefix('file://')}/**/*.parquet", recursive=True)]
+    held = "".join(str(pq.read_table(f).to_pylist()) for f in files)
+    assert "email" in held and "jane.roe" not in held and "Kowalska" not in held
+
+
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ("We met Sarah Connor there", "Sarah Connor"),
+        ("hello, my name is Priya Sharma.", "Priya Sharma"),
+        ("Sincerely, Kwame Mensah", "Kwame Mensah"),
+        ("Contact: Wei Zhang, office 3", "Wei Zhang"),
+        ("Анна Иванова пришла", "Анна Иванова"),
+        ("Меня зовут Зоя Рублёва", "Зоя Рублёва"),
+        ("then Anna Maria Xyz left", "Anna Maria Xyz"),
+    ],
+)
+def test_names(text, gone):
+    f = one(text)
+    assert not any(w in f.text.split() for w in gone.split()) and [e[0] for e in f.entities] == ["name"] and len(f.entities) == 1
+    assert f.text.split()[0] == text.split()[0] or gone.startswith(text.split()[0])
+
+
+def test_surnames_of_both_genders():
+    he, she = one("Иван Иванов").text.split()[1], one("Анна Иванова").text.split()[1]
+    assert she == he + "а" and he != "Иванов"
+    assert one("Анна Рублёва").text.split()[1] == one("Иван Рублёв").text.split()[1] + "а"
+    assert one("Анна Достоевская").text.endswith("ская")
+    given = {one(f"{n} Смирнова").text.split()[0] for n in pii.GIVEN["cyrillic", "f"]}
+    assert given == set(pii.GIVEN["cyrillic", "f"])
+
+
+@pytest.mark.parametrize("piece", ["A", "Ab ", "Anna ", "eyJabcdefgh-", "a.", "1 ", "sk-", "token =", "AB12 ", "Mr "])
+def test_time_grows_with_length(piece):
+    import time
+
+    def took(n):
+        text = piece * (n // len(piece))
+        start = time.perf_counter()
+        one(text)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(400_000) < 40 * max(took(40_000), 0.005)
