@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and
 returns a frame; all but the last return the columns of ``documents``. A stage's
 result is written and read again before the next.
+
+Every stage takes null, empty and very long texts, null keys, ties, repeated
+rows, empty tables and further columns; what becomes of each is said by the
+operator that the stage calls. Null and empty texts don't pass the first stage.
 """
 
 from __future__ import annotations
@@ -48,8 +52,8 @@ def _stage(f: Stage) -> Stage:
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and are not depleted of lines that their host repeats."""
-    return line_rules.filter_documents(docs)
+    """Rows that pass the base rules and are not depleted of lines that their host repeats, without those lines."""
+    return line_rules.remove_lines(docs)
 
 
 @_stage
