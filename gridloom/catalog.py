@@ -1,8 +1,8 @@
 """Queries that exercise each operator on the driver's tables, with DuckDB SQL beside them.
 
-Series: OD, daily order value by priority, 1995 to 2000, NULL on days without
-orders; EH, hourly event value by type, NULL in hours without events; N5, account
-balance by nation on a 5 x 5 grid.
+Series: OD, daily order value by priority, over all years that have orders, NULL
+on days without; EH, hourly event value by type, over all days that have events,
+NULL in hours without; N5, account balance by nation on a 5 x 5 grid.
 """
 
 from __future__ import annotations
@@ -10,7 +10,12 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import io
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +25,8 @@ from .functions import metadata
 from .functions.columns import DAY
 from .grid import Axis, Grid
 from .operators import blocks, climatology, events, grids, packed, quantile, regrid, resample, weights
-from .plans import report
-from .sources import tables
+from .plans import profiling, report, session
+from .sources import netcdf3, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,24 +49,35 @@ def _ntz(c: str) -> Column:
     return F.col(c).cast("timestamp_ntz")
 
 
-def od_axis() -> Axis:
-    return _axis(dt.datetime(1995, 1, 1), DAY, 2192)
+@functools.lru_cache(maxsize=64)
+def _span(s: SparkSession, path: str, column: str) -> tuple[dt.datetime, dt.datetime]:
+    """First and last time of a table."""
+    return tuple(s.read.parquet(path).agg(F.min(_ntz(column)), F.max(_ntz(column))).first())
+
+
+def od_axis(s: SparkSession, d: str) -> Axis:
+    """Whole years, as climatologies need them."""
+    first, last = _span(s, f"{d}/orders.parquet", "o_orderdate")
+    a = dt.datetime(first.year, 1, 1)
+    return _axis(a, DAY, (dt.datetime(last.year + 1, 1, 1) - a).days)
 
 
 def od(spark: SparkSession, sf: str) -> Grid:
-    orders = spark.read.parquet(f"{sf}/orders.parquet").filter(F.year(_ntz("o_orderdate")).between(1995, 2000))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
     daily = orders.groupBy(F.col("o_orderpriority").alias("cell"), F.date_trunc("day", _ntz("o_orderdate")).cast("timestamp_ntz").alias("time")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return Grid.of(daily, ["time", "cell"], "value", "time").densify(od_axis())
+    return Grid.of(daily, ["time", "cell"], "value", "time").densify(od_axis(spark, sf))
 
 
-def eh_axis() -> Axis:
-    return _axis(dt.datetime(2024, 1, 1), 3600, 720)
+def eh_axis(s: SparkSession, d: str) -> Axis:
+    """Whole days."""
+    first, last = (t.replace(hour=0, minute=0, second=0, microsecond=0) for t in _span(s, f"{d}/events.parquet", "ts"))
+    return _axis(first, 3600, 24 * ((last - first).days + 1))
 
 
 def eh(spark: SparkSession, sf: str) -> Grid:
-    rows = spark.read.parquet(f"{sf}/events.parquet").filter((_ntz("ts") >= F.lit("2024-01-01").cast("timestamp_ntz")) & (_ntz("ts") < F.lit("2024-01-31").cast("timestamp_ntz")))
+    rows = spark.read.parquet(f"{sf}/events.parquet")
     hourly = rows.groupBy(F.col("event_type").alias("cell"), F.date_trunc("hour", _ntz("ts")).cast("timestamp_ntz").alias("time")).agg(F.round(F.sum("value"), 4).alias("value"))
-    return Grid.of(hourly, ["time", "cell"], "value", "time").densify(eh_axis())
+    return Grid.of(hourly, ["time", "cell"], "value", "time").densify(eh_axis(spark, sf))
 
 
 N5_LAT, N5_LON = np.arange(-60.0, 61.0, 30.0), np.arange(0.0, 360.0, 72.0)
@@ -76,12 +92,15 @@ def n5(spark: SparkSession, sf: str) -> DataFrame:
     return nation.join(balance, "k", "left").select(i.alias("i"), j.alias("j"), (i * 30.0 - 60.0).alias("lat"), (j * 72.0).alias("lon"), "value")
 
 
-_OD = """od0 AS (SELECT o_orderpriority AS cell, CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) AS v FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY ALL),
-days AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS DATE) AS d),
-od AS (SELECT c.cell, days.d, od0.v, CAST(date_diff('day', DATE '1995-01-01', days.d) AS BIGINT) AS i FROM (SELECT DISTINCT cell FROM od0) c CROSS JOIN days LEFT JOIN od0 ON od0.cell = c.cell AND od0.d = days.d)"""
-_EH = """eh0 AS (SELECT event_type AS cell, date_trunc('hour', ts) AS h, round(sum(value), 4) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY ALL),
-hours AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS h),
-eh AS (SELECT c.cell, hours.h, eh0.v, CAST(date_diff('hour', TIMESTAMP '2024-01-01', hours.h) AS BIGINT) AS i FROM (SELECT DISTINCT cell FROM eh0) c CROSS JOIN hours LEFT JOIN eh0 ON eh0.cell = c.cell AND eh0.h = hours.h)"""
+_OD = """od0 AS (SELECT o_orderpriority AS cell, CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY ALL),
+ax AS (SELECT CAST(date_trunc('year', min(o_orderdate)) AS DATE) AS a, CAST(date_trunc('year', max(o_orderdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) AS b FROM orders),
+days AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM ax),
+od AS (SELECT c.cell, days.d, od0.v, CAST(date_diff('day', ax.a, days.d) AS BIGINT) AS i FROM (SELECT DISTINCT cell FROM od0) c CROSS JOIN days CROSS JOIN ax LEFT JOIN od0 ON od0.cell = c.cell AND od0.d = days.d)"""
+_YEARS = "(SELECT year(b) - year(a) + 1 FROM ax)"
+_EH = """eh0 AS (SELECT event_type AS cell, date_trunc('hour', ts) AS h, round(sum(value), 4) AS v FROM events GROUP BY ALL),
+ax AS (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS a, CAST(date_trunc('day', max(ts)) + INTERVAL 23 HOUR AS TIMESTAMP) AS b FROM events),
+hours AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS h FROM ax),
+eh AS (SELECT c.cell, hours.h, eh0.v, CAST(date_diff('hour', ax.a, hours.h) AS BIGINT) AS i FROM (SELECT DISTINCT cell FROM eh0) c CROSS JOIN hours CROSS JOIN ax LEFT JOIN eh0 ON eh0.cell = c.cell AND eh0.h = hours.h)"""
 _N5 = """n5 AS (SELECT n_nationkey // 5 AS i, n_nationkey % 5 AS j, -60.0 + 30.0 * (n_nationkey // 5) AS lat, 72.0 * (n_nationkey % 5) AS lon, v AS v, CAST(n_nationkey AS BIGINT) AS src
 FROM nation LEFT JOIN (SELECT c_nationkey, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)"""
 
@@ -103,16 +122,16 @@ for _op, _agg, _full in (("mean", "avg", True), ("min", "min", True), ("max", "m
     _sql = f"CASE WHEN count(v) = 24 THEN {_agg}(v) END" if _full else f"{_agg}(v)"
     _add(
         f"resample_{_op}",
-        lambda s, d, op=_op: _shown(getattr(resample.Resampler(eh(s, d), 24, eh_axis()), op)()),
-        f"WITH {_EH} SELECT cell, {_TIME.format("TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (i // 24)")} AS time, round({_sql}, 6) AS value FROM eh GROUP BY cell, i // 24",
+        lambda s, d, op=_op: _shown(getattr(resample.Resampler(eh(s, d), 24, eh_axis(s, d)), op)()),
+        f"WITH {_EH} SELECT cell, {_TIME.format("(SELECT a FROM ax) + INTERVAL 1 DAY * (i // 24)")} AS time, round({_sql}, 6) AS value FROM eh GROUP BY cell, i // 24",
     )
-_RESAMPLED = f"WITH {_EH} SELECT cell, {_TIME.format("TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * 6 * (i // 6)")} AS time, round(CASE WHEN count(v) = 6 THEN avg(v) END, 6) AS value FROM eh GROUP BY cell, i // 6"
+_RESAMPLED = f"WITH {_EH} SELECT cell, {_TIME.format("(SELECT a FROM ax) + INTERVAL 1 HOUR * 6 * (i // 6)")} AS time, round(CASE WHEN count(v) = 6 THEN avg(v) END, 6) AS value FROM eh GROUP BY cell, i // 6"
 _add("resample_count", lambda s, d: _shown(resample.blocked_resample(eh(s, d), time=6).mean()), _RESAMPLED)
 _add("resample_period", lambda s, d: _shown(resample.blocked_resample(eh(s, d), {"time": "6h"}).mean()), _RESAMPLED)
 _add(
     "resample_reduce",
-    lambda s, d: _shown(resample.Resampler(eh(s, d), 24, eh_axis()).reduce(lambda v: v.max() - v.min() if v.notna().any() else 0.0)),
-    f"WITH {_EH} SELECT cell, {_TIME.format("TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (i // 24)")} AS time, round(coalesce(max(v) - min(v), 0), 6) AS value FROM eh GROUP BY cell, i // 24",
+    lambda s, d: _shown(resample.Resampler(eh(s, d), 24, eh_axis(s, d)).reduce(lambda v: v.max() - v.min() if v.notna().any() else 0.0)),
+    f"WITH {_EH} SELECT cell, {_TIME.format("(SELECT a FROM ax) + INTERVAL 1 DAY * (i // 24)")} AS time, round(coalesce(max(v) - min(v), 0), 6) AS value FROM eh GROUP BY cell, i // 24",
 )
 
 # The same in packed form
@@ -122,12 +141,12 @@ def _unpacked(p: packed.Packed) -> DataFrame:
     return p.unpack().select("cell", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.round("value", 6).alias("value"))
 
 
-_add("packed_resample_mean", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis()).resample(24)), ORACLE["resample_mean"])
-_add("packed_resample_nanmax", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis()).resample(24, "nanmax")), ORACLE["resample_nanmax"])
-_add("packed_resample_min", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis()).resample(24, "min")), ORACLE["resample_min"])
+_add("packed_resample_mean", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis(s, d)).resample(24)), ORACLE["resample_mean"])
+_add("packed_resample_nanmax", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis(s, d)).resample(24, "nanmax")), ORACLE["resample_nanmax"])
+_add("packed_resample_min", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis(s, d)).resample(24, "min")), ORACLE["resample_min"])
 _add(
     "packed_find_events",
-    lambda s, d: packed.pack(eh(s, d), eh_axis()).find_events(lambda v: v > 50, 1),
+    lambda s, d: packed.pack(eh(s, d), eh_axis(s, d)).find_events(lambda v: v > 50, 1),
     "WITH " + _EH + ", hit AS (SELECT cell, i, i - row_number() OVER (PARTITION BY cell ORDER BY i) AS g FROM eh WHERE v > 50) SELECT CAST(min(i) AS BIGINT) AS time, cell, CAST(count(*) AS BIGINT) AS event_duration FROM hit GROUP BY cell, g",
 )
 
@@ -154,7 +173,7 @@ def _slots(c: climatology.Climatology) -> DataFrame:
 
 def _grouped(s: SparkSession, d: str, grouping: str = "dayofyear") -> climatology.BlockedGroupby:
     g = climatology.BlockedGroupby(od(s, d), grouping, validate=False)
-    g.check(od_axis())
+    g.check(od_axis(s, d))
     return g
 
 
@@ -163,11 +182,11 @@ for _g, _short in (("dayofyear", "doy"), ("monthday", "monthday")):
         _add(f"climatology_{_short}_{_op}", lambda s, d, g=_g, op=_op: _slots(getattr(_grouped(s, d, g), op)()), f"WITH {_OD} {_by_slot(_g, _agg, _empty)}")
     _add(
         f"packed_climatology_{_short}",
-        lambda s, d, g=_g: packed.pack(od(s, d), od_axis()).climatology("mean", g).select("cell", F.posexplode("value").alias("slot", "value")).select("cell", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value")),
+        lambda s, d, g=_g: packed.pack(od(s, d), od_axis(s, d)).climatology("mean", g).select("cell", F.posexplode("value").alias("slot", "value")).select("cell", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value")),
         f"WITH {_OD} SELECT cell, CAST(row_number() OVER (PARTITION BY cell ORDER BY {_slot_sql(_g)[1]}) - 1 AS BIGINT) AS slot, value FROM ({_by_slot(_g, 'avg(v)')})",
     )
 _add("climatology_nanpercentile", lambda s, d: _slots(_grouped(s, d).nanpercentile(90)), f"WITH {_OD} {_by_slot('dayofyear', 'quantile_cont(v, 0.9)')}")
-_add("climatology_percentile", lambda s, d: _slots(_grouped(s, d, "monthday").percentile(50)), f"WITH {_OD} {_by_slot('monthday', 'CASE WHEN count(v) = 6 THEN quantile_cont(v, 0.5) END')}")
+_add("climatology_percentile", lambda s, d: _slots(_grouped(s, d, "monthday").percentile(50)), f"WITH {_OD} {_by_slot('monthday', 'CASE WHEN count(v) = ' + _YEARS + ' THEN quantile_cont(v, 0.5) END')}")
 _add("climatology_reduce", lambda s, d: _slots(_grouped(s, d).reduce(lambda v: float(v.notna().sum()))), f"WITH {_OD} {_by_slot('dayofyear', 'CAST(count(v) AS DOUBLE)', '0')}")
 
 _RANK_SQL = {
@@ -194,7 +213,7 @@ for _op, _sign, _f, _unit in (("sub", "-", lambda g, c: g - c, 1.0), ("add", "+"
 _add(
     "block_dataarray",
     lambda s, d: _grouped(s, d).block(),
-    f"WITH {_OD} SELECT CAST(y AS BIGINT) AS year, c.cell, CAST(k AS BIGINT) AS dayofyear, v AS value FROM (SELECT DISTINCT cell FROM od) c CROSS JOIN (SELECT unnest(range(6)) AS y) CROSS JOIN (SELECT unnest(range(1, 367)) AS k) LEFT JOIN od ON od.cell = c.cell AND year(d) = 1995 + y AND dayofyear(d) = k",
+    f"WITH {_OD} SELECT CAST(y AS BIGINT) AS year, c.cell, CAST(k AS BIGINT) AS dayofyear, v AS value FROM (SELECT DISTINCT cell FROM od) c CROSS JOIN (SELECT unnest(range({_YEARS})) AS y) CROSS JOIN (SELECT unnest(range(1, 367)) AS k) LEFT JOIN od ON od.cell = c.cell AND year(d) = (SELECT year(a) FROM ax) + y AND dayofyear(d) = k",
 )
 _add("unblock_dataarray", lambda s, d: _shown((g := _grouped(s, d, "monthday")).unblock(g.block())), f"WITH {_OD} SELECT cell, {_TIME.format('d')} AS time, v AS value FROM od")
 _add("apply_double", lambda s, d: _shown(_grouped(s, d).apply(lambda t: 2 * t)), f"WITH {_OD} SELECT cell, {_TIME.format('d')} AS time, round(2 * v, 6) AS value FROM od")
@@ -220,52 +239,53 @@ _EVOD = f"WITH {_OD}, {_EV.format(view='od', thr=_THR, n=2)}"
 
 def _events(s: SparkSession, d: str, n: int = 2) -> tuple[Grid, DataFrame]:
     g = od(s, d)
-    return g, events.find_events(g, lambda v: v > _THR, n, od_axis())
+    return g, events.find_events(g, lambda v: v > _THR, n, od_axis(s, d))
 
 
-_add("find_events", lambda s, d: events.find_events(eh(s, d), lambda v: v > 50, 1, eh_axis()), f"WITH {_EH}, {_EV.format(view='eh', thr=50, n=1)} SELECT time, cell, event_duration FROM ev")
-_add("find_events_min3", lambda s, d: events.find_events(eh(s, d), F.col("value") > 50, 3, eh_axis()), f"WITH {_EH}, {_EV.format(view='eh', thr=50, n=3)} SELECT time, cell, event_duration FROM ev")
+_add("find_events", lambda s, d: events.find_events(eh(s, d), lambda v: v > 50, 1, eh_axis(s, d)), f"WITH {_EH}, {_EV.format(view='eh', thr=50, n=1)} SELECT time, cell, event_duration FROM ev")
+_add("find_events_min3", lambda s, d: events.find_events(eh(s, d), F.col("value") > 50, 3, eh_axis(s, d)), f"WITH {_EH}, {_EV.format(view='eh', thr=50, n=3)} SELECT time, cell, event_duration FROM ev")
 _CELL = "(SELECT DISTINCT cell, CAST(dense_rank() OVER (ORDER BY cell) - 1 AS BIGINT) AS k FROM od)"
-_add("find_events_indexed", lambda s, d: events.find_events(events.indexed(od(s, d)), lambda v: v > _THR, 2, od_axis()), f"{_EVOD} SELECT time, k AS cell, event_duration FROM ev JOIN {_CELL} c USING (cell)")
+_add("find_events_indexed", lambda s, d: events.find_events(events.indexed(od(s, d)), lambda v: v > _THR, 2, od_axis(s, d)), f"{_EVOD} SELECT time, k AS cell, event_duration FROM ev JOIN {_CELL} c USING (cell)")
 _add("event_ids", lambda s, d: events.with_event_id(_events(s, d)[1]), f"{_EVOD} SELECT time, cell, event_duration, CAST(row_number() OVER (ORDER BY time + event_duration, cell) - 1 AS BIGINT) AS event_id FROM ev")
 _add("extend_events", lambda s, d: events.extend_events(_events(s, d)[1].withColumn("event", F.col("time"))), f"{_EVOD} SELECT CAST(unnest(range(time, time + event_duration)) AS BIGINT) AS time, cell, time AS event FROM ev")
-_add("event_values", lambda s, d: (lambda g, e: events.event_values(g, e.withColumn("event", F.col("time")), od_axis()))(*_events(s, d)), f"{_EVOD} SELECT od.i AS time, ev.cell, ev.time AS event, v AS value FROM ev JOIN od ON od.cell = ev.cell AND i >= time AND i < time + event_duration")
+_add("event_values", lambda s, d: (lambda g, e: events.event_values(g, e.withColumn("event", F.col("time")), od_axis(s, d)))(*_events(s, d)), f"{_EVOD} SELECT od.i AS time, ev.cell, ev.time AS event, v AS value FROM ev JOIN od ON od.cell = ev.cell AND i >= time AND i < time + event_duration")
 _add(
     "event_values_stats",
-    lambda s, d: (lambda g, e: events.event_stats(g, e, od_axis(), total=F.round(F.sum("value"), 2), mean=F.round(F.avg("value"), 4), largest=F.max("value")))(*_events(s, d)),
+    lambda s, d: (lambda g, e: events.event_stats(g, e, od_axis(s, d), total=F.round(F.sum("value"), 2), mean=F.round(F.avg("value"), 4), largest=F.max("value")))(*_events(s, d)),
     f"{_EVOD} SELECT time, cell, event_duration, round(s, 2) AS total, round(m, 4) AS mean, x AS largest FROM ev",
 )
 _add(
     "event_summary",
-    lambda s, d: events.event_summary(od(s, d), lambda v: v > _THR, 2, od_axis(), total=F.round(F.sum("value"), 2), mean=F.round(F.avg("value"), 4), largest=F.max("value")),
+    lambda s, d: events.event_summary(od(s, d), lambda v: v > _THR, 2, od_axis(s, d), total=F.round(F.sum("value"), 2), mean=F.round(F.avg("value"), 4), largest=F.max("value")),
     ORACLE["event_values_stats"],
 )
 _add(
     "map_events",
-    lambda s, d: (lambda g, e: events.map_events(g, e, lambda v: {"first": v.iloc[0], "largest": v.max()}, "first double, largest double", od_axis()))(*_events(s, d)),
+    lambda s, d: (lambda g, e: events.map_events(g, e, lambda v: {"first": v.iloc[0], "largest": v.max()}, "first double, largest double", od_axis(s, d)))(*_events(s, d)),
     f"{_EVOD} SELECT ev.time, ev.cell, event_duration, od.v AS first, x AS largest FROM ev JOIN od ON od.cell = ev.cell AND od.i = ev.time",
 )
 _add(
     "event_coords",
-    lambda s, d: (lambda g, e: events.event_coords(g.with_df(g.df, dims=("time",)), e, od_axis()).withColumns({"time": F.date_format("time", "yyyy-MM-dd"), "event_duration": F.coalesce("event_duration", F.lit(-1).cast("bigint"))}))(*_events(s, d)),
-    f"{_EVOD} SELECT strftime(DATE '1995-01-01' + CAST(time AS INTEGER), '%Y-%m-%d') AS time, cell, CASE WHEN time + event_duration < 2192 THEN event_duration * 86400 ELSE -1 END AS event_duration FROM ev",
+    lambda s, d: (lambda g, e: events.event_coords(g.with_df(g.df, dims=("time",)), e, od_axis(s, d)).withColumns({"time": F.date_format("time", "yyyy-MM-dd"), "event_duration": F.coalesce("event_duration", F.lit(-1).cast("bigint"))}))(*_events(s, d)),
+    f"{_EVOD} SELECT strftime((SELECT a FROM ax) + CAST(time AS INTEGER), '%Y-%m-%d') AS time, cell, CASE WHEN time + event_duration < (SELECT count(*) FROM days) THEN event_duration * 86400 ELSE -1 END AS event_duration FROM ev",
 )
 _add(
     "event_da",
-    lambda s, d: (lambda g, e: _shown(events.event_da(g, e, "event_duration", od_axis())))(*_events(s, d)),
+    lambda s, d: (lambda g, e: _shown(events.event_da(g, e, "event_duration", od_axis(s, d))))(*_events(s, d)),
     f"{_EVOD} SELECT od.cell, {_TIME.format('d')} AS time, CAST(event_duration AS DOUBLE) AS value FROM od LEFT JOIN ev ON ev.cell = od.cell AND ev.time = od.i",
 )
 _add(
     "atleastn",
-    lambda s, d: _shown(events.atleastn(od(s, d), 3, od_axis())),
+    lambda s, d: _shown(events.atleastn(od(s, d), 3, od_axis(s, d))),
     f"WITH {_OD}, r AS (SELECT *, i - row_number() OVER (PARTITION BY cell, v IS NULL ORDER BY i) AS g FROM od) SELECT cell, {_TIME.format('d')} AS time, CASE WHEN count(*) OVER (PARTITION BY cell, v IS NULL, g) >= 3 THEN v END AS value FROM r",
 )
 
 
 def _joined(s: SparkSession, d: str) -> DataFrame:
     g = od(s, d)
-    rows = events.steps(g.with_df(g.df.filter(F.col("value") > _THR)), od_axis())
-    found = [events.find_events_block(rows, ["cell"], a, min(a + 99, 2191), 2) for a in range(0, 2192, 100)]
+    rows = events.steps(g.with_df(g.df.filter(F.col("value") > _THR)), od_axis(s, d))
+    n = od_axis(s, d).n
+    found = [events.find_events_block(rows, ["cell"], a, min(a + 99, n - 1), 2) for a in range(0, n, 100)]
     return events.join_events(found, ["cell"], 2)
 
 
@@ -282,8 +302,7 @@ def heatwave(s: SparkSession, d: str) -> DataFrame:
     """Runs of two days or more above the 90th percentile of their day of the year, with their excess."""
     g = _grouped(s, d)
     excess = g - g.nanpercentile(90)
-    found = events.find_events(excess, lambda v: v > 0, 2, od_axis())
-    return events.event_stats(excess, found, od_axis(), total=F.round(F.sum("value"), 4), largest=F.round(F.max("value"), 4))
+    return events.event_summary(excess, lambda v: v > 0, 2, od_axis(s, d), total=F.round(F.sum("value"), 4), largest=F.round(F.max("value"), 4))
 
 
 _add(
@@ -397,6 +416,186 @@ _add(
 )
 _add(
     "plan_report",
-    lambda s, d: s.createDataFrame([(int(report.exchanges(events.find_events(od(s, d), lambda v: v > _THR, 2, od_axis()))) > 0, report.graph_size(od(s, d).df) > 0)], "shuffles boolean, operators boolean"),
+    lambda s, d: s.createDataFrame([(int(report.exchanges(events.find_events(od(s, d), lambda v: v > _THR, 2, od_axis(s, d)))) > 0, report.graph_size(od(s, d).df) > 0)], "shuffles boolean, operators boolean"),
     "SELECT true AS shuffles, true AS operators",
 )
+
+
+# Checks, weight files, files and reports
+
+
+def _scratch(s: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder; only a local session without one gets a folder of its own."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='gridloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_add("groupby_checked", lambda s, d: _slots(climatology.blocked_groupby(od(s, d), time="dayofyear").mean()), ORACLE["climatology_doy_mean"])
+
+
+def _refused(f: Callable[[], object]) -> bool:
+    try:
+        f()
+    except (ValueError, NotImplementedError):
+        return True
+    return False
+
+
+def _axis_checks(s: SparkSession, d: str) -> DataFrame:
+    g = od(s, d)
+    some = lambda keep: g.with_df(g.df.filter(keep))
+    day = F.date_format(g.time, "MM-dd")
+    cases = {
+        "daily whole years": lambda: climatology.blocked_groupby(g, time="monthday"),
+        "hourly": lambda: climatology.blocked_groupby(eh(s, d), time="dayofyear"),
+        "late start": lambda: climatology.blocked_groupby(some(F.col("time") > F.lit(od_axis(s, d).first)), time="dayofyear"),
+        "early end": lambda: climatology.blocked_groupby(some(F.col("time") < F.lit(od_axis(s, d).last)), time="dayofyear"),
+        "gap": lambda: climatology.blocked_groupby(some(day != "03-05"), time="dayofyear"),
+        "by week": lambda: climatology.blocked_groupby(g, time="week"),
+        "uneven count": lambda: resample.blocked_resample(eh(s, d), time=7 * eh_axis(s, d).n),
+    }
+    return s.createDataFrame([(k, _refused(f)) for k, f in cases.items()], "case string, refused boolean")
+
+
+_add("groupby_checks", _axis_checks, "SELECT * FROM (VALUES ('daily whole years', false), ('hourly', true), ('late start', true), ('early end', true), ('gap', true), ('by week', true), ('uneven count', true)) t(\"case\", refused)")
+
+
+def _from_file(s: SparkSession, d: str, dialect: str) -> DataFrame:
+    """Weights that were written as a weight file's tables and read again."""
+    cells = [(i * 3 + j, float(la), float(lo), 1) for i, la in enumerate(T3_LAT) for j, lo in enumerate(T3_LON)]
+    links, grid = _scratch(s, "links"), _scratch(s, "cells")
+    if dialect == "esmf":
+        s.createDataFrame([(src + 1, dst + 1, w) for src, dst, w in _W], "col int, row int, S double").write.parquet(links)
+        s.createDataFrame(cells, "cell bigint, yc_b double, xc_b double, mask_b int").write.parquet(grid)
+        wt = regrid.Weights.from_esmf(s.read.parquet(links), s.read.parquet(grid), 3)
+    else:
+        s.createDataFrame([(src + 1, dst + 1, [w, 0.0, 0.0]) for src, dst, w in _W], "src_address int, dst_address int, remap_matrix array<double>").write.parquet(links)
+        s.createDataFrame([(k, float(np.radians(a)), float(np.radians(b)), m) for k, a, b, m in cells], "cell bigint, dst_grid_center_lat double, dst_grid_center_lon double, dst_grid_imask int").write.parquet(grid)
+        wt = regrid.Weights.from_scrip(s.read.parquet(links), s.read.parquet(grid), 3)
+    source = n5(s, d).select((F.col("i") * 5 + F.col("j")).alias("src"), "value")
+    return regrid.apply_weights(source, wt, ["value"]).select("dst", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("value", 4).alias("value"))
+
+
+_add("weights_file_esmf", lambda s, d: _from_file(s, d, "esmf"), ORACLE["regrid_apply"])
+_add("weights_file_scrip", lambda s, d: _from_file(s, d, "scrip"), ORACLE["regrid_apply"])
+
+
+def _many(s: SparkSession, d: str) -> DataFrame:
+    """Two variables of several frames through one aggregation."""
+    months = n5(s, d).select("lat", "lon", "value", (F.col("value") / 2).alias("half"), F.explode(F.array(F.lit(1), F.lit(2))).alias("month"))
+    return regrid.Regridder(_n5_grid(), _t3()).regrid(months, ["value", "half"]).select("month", "lat", "lon", F.round("value", 4).alias("value"), F.round("half", 4).alias("half"))
+
+
+_add("regrid_many", _many, f"SELECT CAST(m AS INTEGER) AS month, lat, lon, value, half FROM (VALUES (1), (2)) t(m) CROSS JOIN (WITH {_N5}, {_BIL} SELECT t3.lat, t3.lon, round(CASE WHEN count(n5.v) = count(*) THEN sum(wy * wx * n5.v) END, 4) AS value, round(CASE WHEN count(n5.v) = count(*) THEN sum(wy * wx * n5.v / 2) END, 4) AS half FROM a JOIN t3 USING (dst) JOIN n5 ON n5.src = a.src WHERE wy * wx > 1e-12 GROUP BY t3.lat, t3.lon)")
+_add(
+    "grid_um_header",
+    lambda s, d: grids.um_grid(s, 4, 3, 10.0, 20.0, -30.0, 15.0, np.array([[0, 1, 0, 0], [0, 0, 0, 0], [0, 0, 0, 5]])).cells(s),
+    "SELECT CAST(k AS BIGINT) AS dst, CAST(k // 4 AS BIGINT) AS i, CAST(k % 4 AS BIGINT) AS j, -30.0::DOUBLE + 15 * (k // 4 + 1) AS lat, 10.0::DOUBLE + 20 * (k % 4 + 1) AS lon, CASE WHEN k IN (1, 11) THEN 0 ELSE 1 END AS mask FROM (SELECT unnest(range(12)) AS k)",
+)
+
+
+def _scrip_file(s: SparkSession, d: str) -> DataFrame:
+    path = _scratch(s, "scrip")
+    _t3(_MASK).to_scrip(s).write(path)
+    return grids.identify_grid(s.read.parquet(path)).cells(s).select("dst", "lat", "lon", "mask")
+
+
+_add("grid_scrip_file", _scrip_file, ORACLE["grid_cells"])
+
+
+def _written(s: SparkSession, write: Callable[[str], object]) -> DataFrame:
+    path = _scratch(s, "written")
+    write(path)
+    return s.read.parquet(path)
+
+
+_add("write_throttled", lambda s, d: _written(s, lambda p: tables.write_throttled(s.read.parquet(f"{d}/nation.parquet"), p, 4, 2)).select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation")
+_add("throttled_compute", lambda s, d: blocks.throttled(s.read.parquet(f"{d}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n")), 2, _scratch(s, "throttled")), "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+_add(
+    "write_encoding",
+    lambda s, d: s.createDataFrame(sorted(tables.encoding(n5(s, d).select("i", "value"), 5, {"maxRecordsPerFile": 10, "other": 1}).items()), "name string, setting string"),
+    "SELECT * FROM (VALUES ('compression', 'zstd'), ('parquet.compression.codec.zstd.level', '5'), ('parquet.enable.dictionary#value', 'false'), ('maxRecordsPerFile', '10')) t(name, setting)",
+)
+_YEARLY = f"WITH {_OD} SELECT CAST(year(d) AS BIGINT) AS year, count(*) AS n, round(sum(v), 2) AS total FROM od WHERE v IS NOT NULL GROUP BY 1"
+
+
+def _yearly(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.year("time").cast("bigint").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def _series_files(s: SparkSession, d: str) -> DataFrame:
+    """A file per year by name, each read by itself."""
+    paths = tables.write_series(od(s, d).df.filter(F.col("value").isNotNull()), _scratch(s, "series") + "/{start:%Y%m%d}-{end:%Y%m%d}", "time.year")
+    first, *rest = [_yearly(s.read.parquet(p)) for p in paths]
+    return functools.reduce(DataFrame.union, rest, first)
+
+
+_add("write_series", _series_files, _YEARLY)
+_add("write_partitioned", lambda s, d: _yearly(_written(s, lambda p: tables.write_partitioned(od(s, d).df.filter(F.col("value").isNotNull()), p, "time.year"))), _YEARLY)
+
+
+def _netcdf(s: SparkSession, d: str) -> DataFrame:
+    """Latitude bands written as NetCDF files by the executors and read as one frame; missing values by _FillValue."""
+    folder = _scratch(s, "netcdf").removeprefix("file://")
+    files = netcdf3.write_series(n5(s, d), folder + "/band{group}.nc", ["lat", "lon"], "value", "i")
+    return netcdf3.scan(s, sorted(f.path for f in files), "value")
+
+
+_add("netcdf_files", _netcdf, f"WITH {_N5} SELECT CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, v AS value FROM n5")
+_add("identify_time", lambda s, d: s.createDataFrame([(metadata.identify_time(od(s, d).df), metadata.identify_time(metadata.with_metadata(n5(s, d), {"lat": {"axis": "T"}})))], "by_type string, by_axis string"), "SELECT 'time' AS by_type, 'lat' AS by_axis")
+_add("filter_block", lambda s, d: events.filter_block(events.find_events(events.indexed(od(s, d)), lambda v: v > _THR, 2, od_axis(s, d)), cell=(1, 2), time=(0, 999)), f"{_EVOD} SELECT time, k AS cell, event_duration FROM ev JOIN {_CELL} c USING (cell) WHERE k BETWEEN 1 AND 2 AND time <= 999")
+
+
+def _near(s: SparkSession, d: str, got: DataFrame, tolerance: float) -> DataFrame:
+    """Whether each percentile's rank among its cell's values is within a tolerance of what it should be."""
+    v = eh(s, d).df.filter(F.col("value").isNotNull()).select("cell", F.col("value").alias("x"))
+    ranks = got.join(v, "cell").groupBy("cell", "percentile", "value").agg(F.avg((F.col("x") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("x") <= F.col("value")).cast("double")).alias("upto"), F.count("*").alias("n"))
+    slack = F.lit(tolerance) + 1 / F.col("n")
+    return ranks.select("cell", "percentile", ((F.col("below") <= F.col("percentile") / 100 + slack) & (F.col("upto") >= F.col("percentile") / 100 - slack)).alias("near"))
+
+
+_NEAR = "SELECT cell, CAST(p AS DOUBLE) AS percentile, true AS near FROM (SELECT DISTINCT event_type AS cell FROM events WHERE value IS NOT NULL) CROSS JOIN (VALUES (10), (50), (90)) t(p)"
+_add("percentile_approx_error", lambda s, d: _near(s, d, quantile.approx_percentile(eh(s, d), [10, 50, 90], "time"), 1e-4), _NEAR)
+_add("percentile_sketch_error", lambda s, d: _near(s, d, quantile.from_sketches(quantile.sketch(eh(s, d), ["cell", "time"]), ["cell"], [10, 50, 90]), 0.03), _NEAR)
+_add("weights_con2", lambda s, d: _weights(s, "con2"), _CON)
+# of a smooth field the four-point weights of either axis keep constants and, away from the ends, straight lines
+_add(
+    "weights_bicubic_moments",
+    lambda s, d: weights.generate(s, _n5_grid(), _t3(), "bic").join(_n5_grid().cells(s).select(F.col("dst").alias("src"), "lat"), "src").groupBy("dst").agg(F.round(F.sum("w"), 6).alias("total"), F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("lat")), 6).alias("mean_lat")).filter("dst BETWEEN 3 AND 5").select("dst", "total", "mean_lat"),
+    f"WITH {_T3_SQL} SELECT dst, 1.0::DOUBLE AS total, lat AS mean_lat FROM t3 WHERE dst BETWEEN 3 AND 5",
+)
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    df = events.find_events(od(s, d), lambda v: v > _THR, 2, od_axis(s, d))
+    text = report.report(df)
+    n, size = report.chunk_count(df), report.chunk_size(df)
+    return s.createDataFrame([(n > 0, size > 0, f"partitions {n}, bytes per partition {size}" in text, "Exchange" in report.explain(df) and "sizeInBytes" in report.explain(df, "cost"))], "partitions boolean, size boolean, report boolean, explained boolean")
+
+
+_add("plan_details", _reports, "SELECT true AS partitions, true AS size, true AS report, true AS explained")
+
+
+def _profiled(s: SparkSession, d: str) -> DataFrame:
+    read = lambda x: x.read.parquet(f"{d}/orders.parquet")
+    count = lambda df: df.groupBy("o_orderpriority").count()
+    once = profiling.profile_once(s, read, count)
+    best = profiling.profile(s, read, count, 2)
+    before = s.conf.get("spark.sql.shuffle.partitions")
+    bench = profiling.benchmark(s, read, count, [{"spark.sql.shuffle.partitions": 2}, {"spark.sql.shuffle.partitions": 3}], 1)
+    timer = profiling.Timer()
+    for mark in ("load", "load", "write", "write"):
+        timer.mark(mark)
+    path = os.path.join(tempfile.mkdtemp(prefix="gridloom-"), "times.csv")
+    timer.record(path, run=1)
+    timer.record(path, run=2)
+    lines = Path(path).read_text().splitlines()
+    shutil.rmtree(os.path.dirname(path))
+    ok = lambda t: t["time_total"] >= t["time_load"] > 0 and t["operators_out"] > t["operators_in"] > 0
+    return s.createDataFrame([(ok(once), ok(best) and best["median_time_load"] >= best["time_load"], len(bench) == 2 and s.conf.get("spark.sql.shuffle.partitions") == before, lines[0] == "run,total,load,write" and len(lines) == 3)], "once boolean, least boolean, settings boolean, timer boolean")
+
+
+_add("profile_runs", _profiled, "SELECT true AS once, true AS least, true AS settings, true AS timer")
+_add("session_defaults", lambda s, d: s.createDataFrame([(session.session().sparkContext.applicationId == s.sparkContext.applicationId, s.conf.get("spark.sql.adaptive.enabled"), s.conf.get("spark.sql.session.timeZone"))], "running boolean, adaptive string, zone string"), "SELECT true AS running, 'true' AS adaptive, 'UTC' AS zone")

@@ -6,7 +6,8 @@ number and equal to itself, so :func:`nan_to_null` is applied where data enter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,3 +53,15 @@ def once(x: Column, f: Callable[[Column], Column]) -> Column:
     that makes it; a lambda's variable isn't.
     """
     return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def filled(series: Column, n: int) -> Column:
+    """An array of (i bigint, v) with the steps 0..n - 1 that it lacks, v missing, in order of i."""
+    lacking = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), F.transform(series, lambda x: x["i"]))
+    added = F.transform(lacking, lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("v")))
+    return F.when(F.size(series) < n, F.sort_array(F.concat(series, added))).otherwise(F.sort_array(series))
+
+
+def constants(values: Sequence[float], kind: str = "double") -> Column:
+    """A constant array, folded to one literal, for look-ups by place in a short axis."""
+    return F.from_json(F.lit(json.dumps([float(v) if kind == "double" else int(v) for v in values])), f"array<{kind}>")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import metadata
-from .functions.columns import DAY, div, later, nan_to_null, seconds
+from .functions.columns import DAY, div, filled, later, nan_to_null, seconds
 
 
 @dataclass(frozen=True)
@@ -94,8 +94,16 @@ class Grid:
         return cells.select(*self.cells, F.explode(steps).alias("i")).select(*self.cells, axis.at(F.col("i")).alias(self.time))
 
     def densify(self, axis: Axis | None = None) -> Grid:
-        """The grid with a row for every cell at every time, NULL where there was none."""
-        return self.with_df(self.spine(axis).join(self.df, list(self.dims), "left").select(*self.dims, self.value))
+        """The grid with a row for every cell at every time, NULL where there was none; one shuffle, a row per cell in it."""
+        axis = axis or self.time_axis()
+        i = axis.index(F.col(self.time))
+        on_axis = i.between(0, axis.n - 1) & (axis.at(i) == F.col(self.time))
+        # rows off the axis count for their cell alone
+        at = F.when(on_axis, F.struct(i.alias("i"), F.col(self.value).alias("v")))
+        series = self.df.groupBy(*self.cells).agg(F.collect_list(at).alias("__series"))
+        full = F.explode(filled(F.col("__series"), axis.n)).alias("__step")
+        long = series.select(*self.cells, full).select(*self.cells, axis.at(F.col("__step.i")).alias(self.time), F.col("__step.v").alias(self.value))
+        return self.with_df(long.select(*self.dims, self.value))
 
     def smooth(self, width: int) -> Grid:
         """Centred moving mean over an odd number of rows; NULL where the window isn't full."""

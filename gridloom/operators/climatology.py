@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY, nan_to_null, whole
+from ..functions.columns import DAY, filled, nan_to_null, whole
 from ..grid import Axis, Grid
 
 RANKS = ("average", "min", "max", "dense", "ordinal")
@@ -22,10 +23,13 @@ _LEAP = "2004-01-01"
 
 
 class Climatology:
-    """``df`` has the cells, the slot's columns and the value."""
+    """``df`` has the cells, the slot's columns and the value.
 
-    def __init__(self, df: DataFrame, cells: list[str], slot: list[str], value: str):
-        self.df, self.cells, self.slot, self.value = df, cells, slot, value
+    ``of`` and ``agg`` say which group's aggregate it is, if it is a plain one.
+    """
+
+    def __init__(self, df: DataFrame, cells: list[str], slot: list[str], value: str, of: BlockedGroupby | None = None, agg: Column | None = None):
+        self.df, self.cells, self.slot, self.value, self.of, self.agg = df, cells, slot, value, of, agg
 
 
 class BlockedGroupby:
@@ -87,15 +91,25 @@ class BlockedGroupby:
         days = F.explode(F.sequence(F.lit(0), F.lit(365))).alias("days")
         return self._cells().select(*self.grid.cells, days).select(*self.grid.cells, *self._all_slots(F.col("days")))
 
-    def _reduce(self, agg: Column, empty: Column | None = None, full: bool = True) -> Climatology:
+    def _reduce(self, agg: Column, empty: Column | None = None, full: bool = True, plain: bool = True) -> Climatology:
         g = self.grid
         keys = [*g.cells, *self.slot]
-        out = self.slotted().groupBy(*keys).agg(agg.alias(g.value))
-        if full:
-            out = self._spine().join(out, keys, "left")
-            if empty is not None:
-                out = out.withColumn(g.value, F.coalesce(F.col(g.value), empty))
-        return Climatology(out.select(*keys, g.value), g.cells, self.slot, g.value)
+        if not full:
+            out = self.slotted().groupBy(*keys).agg(agg.alias(g.value))
+            return Climatology(out.select(*keys, g.value), g.cells, self.slot, g.value, self, agg if plain else None)
+        # a cell's slots, 366 at most, are gathered and those that it lacks are added
+        day = self._day(F.col(g.time))
+        slots = g.df.groupBy(*g.cells, day.alias("__slot")).agg(agg.alias("__value"))
+        whole_year = slots.groupBy(*g.cells).agg(F.collect_list(F.struct(F.col("__slot").alias("i"), F.col("__value").alias("v"))).alias("__slots")).select(*g.cells, F.explode(filled(F.col("__slots"), 366)).alias("__slot"))
+        value = F.col("__slot.v") if empty is None else F.coalesce(F.col("__slot.v"), empty)
+        out = whole_year.select(*g.cells, *self._all_slots(F.col("__slot.i")), value.alias(g.value))
+        return Climatology(out.select(*keys, g.value), g.cells, self.slot, g.value, self, agg if plain and empty is None else None)
+
+    def _day(self, t: Column) -> Column:
+        """Number of the slot, from 0."""
+        if self.grouping == "dayofyear":
+            return (F.dayofyear(t) - 1).cast("bigint")
+        return (F.dayofyear(F.make_date(F.lit(2004), F.month(t), F.day(t))) - 1).cast("bigint")
 
     # reductions that skip missing values
 
@@ -119,21 +133,25 @@ class BlockedGroupby:
 
     def percentile(self, q: float) -> Climatology:
         """Exact percentile; missing if the slot lacks a value in any year."""
-        return self._reduce(whole(F.percentile(self.grid.value, F.lit(q / 100)), F.col(self.grid.value), self.n_years))
+        return self._reduce(whole(F.percentile(self.grid.value, F.lit(q / 100)), F.col(self.grid.value), self.n_years), plain=False)
 
     def reduce(self, op: Callable[[pd.Series], float]) -> Climatology:
-        """Any function of a slot's values in order of the years, NaN where there is none; Python code per slot."""
-        g, value = self.grid, self.grid.value
-        keys = [*g.cells, *self.slot]
-        blocks = self.block()
+        """Any function of a slot's values in order of the years, NaN where there is none; Python code per cell, which calls ``op`` per slot."""
+        g, value, slot = self.grid, self.grid.value, list(self.slot)
+        cells, blocks = list(g.cells), self.block()
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            one = rows[keys].iloc[:1].reset_index(drop=True)
-            return one.assign(**{value: float(op(rows.sort_values("year")[value]))})
+            rows = rows.sort_values([*slot, "year"], kind="stable")
+            first = np.flatnonzero(~rows.duplicated(slot).to_numpy())
+            out = rows[[*cells, *slot]].iloc[first].reset_index(drop=True)
+            series = np.split(rows[value].to_numpy(), first[1:])
+            return out.assign(**{value: [float(op(pd.Series(x))) for x in series]})
 
+        keys = [*cells, *slot]
         schema = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys) + f", `{value}` double"
-        out = blocks.groupBy(*keys).applyInPandas(run, schema).withColumn(value, nan_to_null(F.col(value)))
-        return Climatology(out, g.cells, self.slot, value)
+        grouped = blocks.groupBy(*cells) if cells else blocks.groupBy(F.lit(0))
+        out = grouped.applyInPandas(run, schema).withColumn(value, nan_to_null(F.col(value)))
+        return Climatology(out, g.cells, self.slot, g.value)
 
     # blocks of years
 
@@ -180,14 +198,15 @@ class BlockedGroupby:
         g = self.grid
         keys = [*g.cells, *self.slot]
         v = F.col(g.value)
-        w = Window.partitionBy(*keys, v.isNull()).orderBy(v)
-        ties = F.count("*").over(Window.partitionBy(*keys, v))
+        by = Window.partitionBy(*keys)
+        w = by.orderBy(v.asc_nulls_last())
+        last = F.count(v).over(w)  # values no larger, so the greatest rank of equal ones
         of = {
             "min": F.rank().over(w),
-            "max": F.rank().over(w) + ties - 1,
+            "max": last,
             "dense": F.dense_rank().over(w),
-            "ordinal": F.row_number().over(Window.partitionBy(*keys, v.isNull()).orderBy(v, "year")),
-            "average": F.rank().over(w) + (ties - 1) / 2,
+            "ordinal": F.row_number().over(by.orderBy(v.asc_nulls_last(), "year")),
+            "average": (F.rank().over(w) + last) / 2,
         }[method]
         ranked = self.slotted().withColumn("rank", F.when(v.isNotNull(), of.cast("double")))
         return g.with_df(ranked.select(*g.dims, F.col("rank").alias(g.value)))
@@ -201,9 +220,14 @@ class BlockedGroupby:
         if other.slot != self.slot:
             raise KeyError(f"the other operand has no {self.slot}")
         g = self.grid
-        shared = [c for c in g.cells if c in other.cells]
-        norm = other.df.withColumnRenamed(other.value, "normal").select(*shared, *self.slot, "normal")
-        out = self.slotted().join(norm, [*shared, *self.slot], "left")
+        if other.of is self and other.agg is not None:
+            # the series' own climatology is there in the shuffle that brings a slot together
+            normal = other.agg.over(Window.partitionBy(*g.cells, *self.slot))
+            out = self.slotted().withColumn("normal", normal)
+        else:
+            shared = [c for c in g.cells if c in other.cells]
+            norm = other.df.withColumnRenamed(other.value, "normal").select(*shared, *self.slot, "normal")
+            out = self.slotted().join(norm, [*shared, *self.slot], "left")
         return g.with_df(out.select(*g.dims, op(F.col(g.value), F.col("normal")).alias(g.value)))
 
     def __add__(self, other: Climatology) -> Grid:

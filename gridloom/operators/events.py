@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..functions.columns import finite, seconds
 from ..grid import Axis, Grid
 
 DURATION = "event_duration"
+#: Steps within which events begin that a Python function's task takes together.
+TOGETHER = 4096
 _WIDTH = {"time": "bigint", DURATION: "bigint"}
 
 
@@ -116,17 +119,16 @@ def event_values(grid: Grid, events: DataFrame, axis: Axis | None = None) -> Dat
 
 def event_stats(grid: Grid, events: DataFrame, axis: Axis | None = None, **aggs: Column) -> DataFrame:
     """Events with aggregates of their values, e.g. ``total=F.sum("value")``."""
-    key = [c for c in events.columns if c != DURATION]
-    cells = [c for c in key if c not in ("time", "event_id")]
-    extended = extend_events(events.withColumn("event_start", F.col("time")))
-    valued = extended.join(steps(grid, axis), ["time", *grid.cells], "left").drop("time")
-    stats = valued.groupBy(*[c for c in extended.columns if c != "time"]).agg(*(a.alias(n) for n, a in aggs.items()))
-    stats = stats.withColumnRenamed("event_start", "time")
-    return events.join(stats, ["time", *cells, *(["event_id"] if "event_id" in key else [])])
+    keys = [c for c in events.columns if c not in ("time", DURATION)]
+    extended = extend_events(events.withColumn("event_start", F.col("time")).withColumn("event_length", F.col(DURATION)))
+    valued = extended.join(steps(grid, axis), ["time", *grid.cells], "left")
+    stats = valued.groupBy("event_start", *keys, "event_length").agg(*(a.alias(n) for n, a in aggs.items()))
+    named = {"time": "event_start", DURATION: "event_length"}
+    return stats.select(*(F.col(named.get(c, c)).alias(c) for c in events.columns), *aggs)
 
 
 def map_events(grid: Grid, events: DataFrame, func: Callable[[pd.Series], object], schema: str | None = None, axis: Axis | None = None) -> DataFrame:
-    """Events with the result of any function of their values in time order; Python code per event.
+    """Events with the result of any function of their values in time order; Python code per run of events.
 
     ``func`` gives a number, or a dict of numbers named in ``schema``. Without a
     schema it is tried on one event.
@@ -144,13 +146,16 @@ def map_events(grid: Grid, events: DataFrame, func: Callable[[pd.Series], object
     column = grid.value
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        result = func(rows.sort_values("time")[column].reset_index(drop=True))
-        values = result if isinstance(result, dict) else {names[0]: result}
-        one = rows[keys].iloc[:1].reset_index(drop=True)
-        return one.assign(**{n: values[n] for n in names})[[*keys, *names]]
+        rows = rows.sort_values([*keys, "time"], kind="stable")
+        first = np.flatnonzero(~rows.duplicated(keys).to_numpy())
+        out = rows[keys].iloc[first].reset_index(drop=True)
+        results = [func(pd.Series(x)) for x in np.split(rows[column].to_numpy(), first[1:])]
+        return out.assign(**{n: [r[n] if isinstance(r, dict) else r for r in results] for n in names})[[*keys, *names]]
 
     types = {**{c: valued.schema[c].dataType.simpleString() for c in keys}}
-    out = valued.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {t}" for k, t in types.items()) + ", " + schema)
+    # many events to a task's call: those that begin in one run of steps of a cell
+    together = valued.withColumn("events", F.floor(F.col("event_start") / TOGETHER))
+    out = together.groupBy(*grid.cells, "events").applyInPandas(run, ", ".join(f"`{k}` {t}" for k, t in types.items()) + ", " + schema)
     out = out.withColumnsRenamed({"event_start": "time", "event_length": DURATION})
     return out.select("time", *cells, DURATION, *names)
 

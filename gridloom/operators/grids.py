@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import constants, div
 from ..functions.metadata import identify_lat_lon
 
 _CELL = "dst bigint, i bigint, j bigint, lat double, lon double, mask int"
@@ -49,16 +50,20 @@ class LonLatGrid:
         if self.mask is not None and np.shape(self.mask) != (len(self.lats), len(self.lons)):
             raise ValueError("the mask must be latitudes x longitudes")
 
-    def _axes(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    def numbered(self, df: DataFrame, lat: str, lon: str) -> DataFrame:
+        """``df`` with ``src``, the number of the cell that its coordinates name; other rows go. The axes are joined, not the cells."""
         rows = lambda x: [(k, float(v)) for k, v in enumerate(x)]
-        return spark.createDataFrame(rows(self.lats), "i bigint, lat double"), spark.createDataFrame(rows(self.lons), "j bigint, lon double")
+        spark = df.sparkSession
+        i, j = spark.createDataFrame(rows(self.lats), f"lat_index bigint, `{lat}` double"), spark.createDataFrame(rows(self.lons), f"lon_index bigint, `{lon}` double")
+        return df.join(F.broadcast(i), lat).join(F.broadcast(j), lon).withColumn("src", F.col("lat_index") * len(self.lons) + F.col("lon_index")).drop("lat_index", "lon_index")
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        """(dst, i, j, lat, lon, mask), numbered along longitudes first."""
-        lat, lon = self._axes(spark)
-        out = lat.crossJoin(lon).withColumn("dst", F.col("i") * len(self.lons) + F.col("j"))
+        """(dst, i, j, lat, lon, mask), numbered along longitudes first; made in parallel, from the axes as constants."""
+        n = len(self.lons)
+        out = spark.range(len(self.lats) * n).select(F.col("id").alias("dst"), div(F.col("id"), n).alias("i"), (F.col("id") % n).alias("j"))
+        out = out.select("dst", "i", "j", F.get(constants(self.lats), F.col("i").cast("int")).alias("lat"), F.get(constants(self.lons), F.col("j").cast("int")).alias("lon"))
         if self.mask is None:
-            return out.select("dst", "i", "j", "lat", "lon", F.lit(1).alias("mask"))
+            return out.select("*", F.lit(1).alias("mask"))
         closed = [(int(k),) for k in np.flatnonzero(np.asarray(self.mask).ravel() == 0)]
         masked = spark.createDataFrame(closed, "dst bigint").withColumn("closed", F.lit(True))
         return out.join(masked, "dst", "left").select("dst", "i", "j", "lat", "lon", F.when(F.col("closed"), 0).otherwise(1).alias("mask"))
@@ -68,9 +73,8 @@ class LonLatGrid:
         lon = self.lons % 360
         low, high = _edges(self.lats)
         left, right = _sides(lon)
-        bands = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(low, high, strict=True))], "i bigint, low double, high double")
-        strips = spark.createDataFrame([(k, float(v), float(a), float(b)) for k, (v, a, b) in enumerate(zip(lon, left, right, strict=True))], "j bigint, centre double, left double, right double")
-        out = self.cells(spark).join(bands, "i").join(strips, "j")
+        of = lambda x, k: F.get(constants(x), F.col(k).cast("int"))
+        out = self.cells(spark).withColumns({"low": of(low, "i"), "high": of(high, "i"), "centre": of(lon, "j"), "left": of(left, "j"), "right": of(right, "j")})
         return ScripGrid(
             out.select(
                 "dst", "i", "j", "lat", F.col("centre").alias("lon"), "mask", F.array("low", "low", "high", "high").alias("corner_lat"), F.array("left", "right", "right", "left").alias("corner_lon")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import once
+from ..functions.columns import filled, once
 from ..grid import Axis, Grid
 
 OPS = ("mean", "min", "max", "sum", "nanmin", "nanmax")
@@ -97,10 +97,7 @@ class Packed:
 def pack(grid: Grid, axis: Axis | None = None) -> Packed:
     """The grid in packed form: one shuffle by cell; steps without a row become NULL."""
     axis = axis or grid.time_axis()
-    at = F.struct(axis.index(F.col(grid.time)).cast("int").alias("i"), F.col(grid.value).alias("v"))
-    series = grid.df.groupBy(*grid.cells).agg(F.sort_array(F.collect_list(at)).alias("s"))
-    # a dense cell, the usual case, needs no look-up by step
-    full = F.transform("s", lambda x: x["v"])
-    steps = F.sequence(F.lit(0), F.lit(axis.n - 1))
-    spread = once(F.map_from_entries("s"), lambda m: F.transform(steps, lambda i: F.try_element_at(m, i)))
-    return Packed(series.select(*grid.cells, F.when(F.size("s") == axis.n, full).otherwise(spread).alias(grid.value)), tuple(grid.cells), axis, grid.value)
+    i = axis.index(F.col(grid.time))
+    at = F.when(i.between(0, axis.n - 1), F.struct(i.alias("i"), F.col(grid.value).alias("v")))
+    series = grid.df.groupBy(*grid.cells).agg(F.collect_list(at).alias("__series"))
+    return Packed(series.select(*grid.cells, F.transform(filled(F.col("__series"), axis.n), lambda x: x["v"]).alias(grid.value)), tuple(grid.cells), axis, grid.value)

@@ -18,12 +18,16 @@ from .grids import LonLatGrid, identify_grid
 
 #: What reference files put in place of missing values.
 FILL = 1e20
+#: Cells of a grid, 44 bytes each, that may be broadcast.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
 class Weights:
     matrix: DataFrame
     cells: DataFrame
+    #: Whether the cells are known to be few enough to be broadcast.
+    few: bool = False
 
     @classmethod
     def from_esmf(cls, links: DataFrame, cells: DataFrame, nx: int) -> Weights:
@@ -73,13 +77,15 @@ def apply_weights(source: DataFrame, weights: Weights, values: Sequence[str], ke
             agg = F.when(F.count(F.when(x.isNull() & (w != 0), 1)) == 0, F.sum(w * x))
         aggs.append(agg.alias(v))
     summed = joined.groupBy(*keep, "dst").agg(*aggs)
-    frames = source.select(*keep).distinct() if keep else None
-    spine = weights.cells if frames is None else frames.crossJoin(weights.cells)
+    # every frame has every cell, whether it has weights or not
+    spine = source.select(*keep).distinct().join(F.broadcast(weights.cells) if weights.few else weights.cells) if keep else weights.cells
     out = spine.join(summed, [*keep, "dst"], "left")
-    empty = F.lit(0.0) if missing == "fill" else F.lit(None).cast("double")
-    # a joined cell that came out missing is not one without weights
-    out = out.join(weights.matrix.select("dst", F.lit(True).alias("weighed")).distinct(), "dst", "left")
-    shown = [F.when(F.col("mask") != 0, F.when(F.col("weighed").isNull(), empty).otherwise(F.col(v))).alias(v) for v in values]
+    if missing == "fill":
+        # a joined cell that came out missing is not one without weights
+        out = out.join(weights.matrix.select("dst", F.lit(True).alias("weighed")).distinct(), "dst", "left")
+        shown = [F.when(F.col("mask") != 0, F.when(F.col("weighed").isNull(), F.lit(0.0)).otherwise(F.col(v))).alias(v) for v in values]
+    else:
+        shown = [F.when(F.col("mask") != 0, F.col(v)).alias(v) for v in values]
     return out.select(*keep, "dst", "i", "j", "lat", "lon", *shown)
 
 
@@ -98,13 +104,16 @@ class Regridder:
             target = identify_grid(target_grid)
             spark = _session(source_grid, target_grid)
             matrix = generators.generate(spark, self.source, target, method, **options)
-            weights = Weights(matrix, target.cells(spark))
+            weights = Weights(matrix, target.cells(spark), isinstance(target, LonLatGrid) and len(target.lats) * len(target.lons) <= FEW)
         self.weights = weights
 
     def regrid(self, df: DataFrame, values: Sequence[str], lat: str = "lat", lon: str = "lon", missing: str = "null") -> DataFrame:
         keep = [c for c in df.columns if c not in (lat, lon, *values)]
         source = self.source or identify_grid(df, lat, lon)
-        numbered = df.join(source.cells(df.sparkSession).select(F.col("dst").alias("src"), F.col("lat").alias(lat), F.col("lon").alias(lon)), [lat, lon])
+        if isinstance(source, LonLatGrid):
+            numbered = source.numbered(df, lat, lon)
+        else:
+            numbered = df.join(source.cells(df.sparkSession).select(F.col("dst").alias("src"), F.col("lat").alias(lat), F.col("lon").alias(lon)), [lat, lon])
         out = apply_weights(numbered.select(*keep, "src", *values), self.weights, values, keep, missing)
         return out.select(*keep, F.col("lat").alias(lat), F.col("lon").alias(lon), *values)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import div, whole
 from ..grid import Axis, Grid
 
+#: Bins that a Python function's task takes together.
+BINS = 512
 # Seconds of the periods that a bin may be given by.
 PERIODS = {"s": 1, "S": 1, "min": 60, "T": 60, "h": 3600, "H": 3600, "D": 86_400, "W": 604_800}
 
@@ -70,17 +73,20 @@ class Resampler:
         return self._agg(F.max(self.grid.value))
 
     def reduce(self, op: Callable[[pd.Series], float]) -> Grid:
-        """Any function of a bin's values in time order, missing ones as NaN; Python code per bin."""
+        """Any function of a bin's values in time order, missing ones as NaN; Python code per run of bins, which calls ``op`` per bin."""
         g, time, value = self.grid, self.grid.time, self.grid.value
-        keys = [*g.cells, "bin"]
+        cells = list(g.cells)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            one = rows[keys].iloc[:1].reset_index(drop=True)
-            return one.assign(**{value: float(op(rows.sort_values(time)[value]))})
-
-        bins = self._bins()
-        schema = ", ".join(f"`{k}` {bins.schema[k].dataType.simpleString()}" for k in keys) + f", `{value}` double"
-        out = bins.groupBy(*keys).applyInPandas(run, schema)
+            rows = rows.sort_values(["bin", time], kind="stable")
+            first = np.flatnonzero(~rows.duplicated("bin").to_numpy())
+            out = rows[[*cells, "bin"]].iloc[first].reset_index(drop=True)
+            series = np.split(rows[value].to_numpy(), first[1:])
+            return out.assign(**{value: [float(op(pd.Series(x))) for x in series]})
+
+        bins = self._bins().withColumn("bins", div(F.col("bin"), BINS))
+        schema = ", ".join(f"`{k}` {bins.schema[k].dataType.simpleString()}" for k in [*cells, "bin"]) + f", `{value}` double"
+        out = bins.groupBy(*cells, "bins").applyInPandas(run, schema)
         return g.with_df(out.select(*(self.axis.at(F.col("bin") * self.count).alias(time) if d == time else F.col(d) for d in g.dims), value))
 
 

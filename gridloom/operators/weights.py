@@ -2,20 +2,23 @@
 
 On regular grids weights are products: an axis of length n needs a few weights
 per point, so each axis is worked out on the driver and the product of the two
-small tables is taken by Spark. Distance weights don't factor and go over the
-few source cells around each destination cell.
+constant tables is taken by Spark. Distance weights don't factor; they are found
+row by row, from the source rows around each destination row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import constants, div
 from .grids import LonLatGrid, _edges, _sides
 
 METHODS = ("nn", "dis", "bil", "bic", "con", "con2", "ycon", "laf")
-_AXIS = "d bigint, s bigint, w double"
 
 
 def _around(lon: np.ndarray) -> bool:
@@ -89,19 +92,22 @@ def _overlaps(src: tuple[np.ndarray, np.ndarray], dst: tuple[np.ndarray, np.ndar
     return out
 
 
-def _frame(spark: SparkSession, rows: list[tuple[int, int, float]], axis: str) -> DataFrame:
-    """An axis's weights, one row per pair of points."""
+def _summed(rows: list[tuple[int, int, float]]) -> tuple[list[int], list[int], list[float]]:
+    """An axis's weights, each pair of points once."""
     summed: dict[tuple[int, int], float] = {}
     for d, k, w in rows:
         summed[d, k] = summed.get((d, k), 0.0) + float(w)
-    return spark.createDataFrame([(d, k, w) for (d, k), w in summed.items()], _AXIS).toDF(f"d{axis}", f"s{axis}", f"w{axis}")
+    return [d for d, _ in summed], [k for _, k in summed], list(summed.values())
 
 
 def _product(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, lat: list, lon: list) -> DataFrame:
-    """(src, dst, w) of the products of two axes' weights."""
+    """(src, dst, w) of the products of two axes' weights, which are constants; made in parallel."""
     nx, mx = len(source.lons), len(target.lons)
-    pairs = _frame(spark, lat, "i").crossJoin(_frame(spark, lon, "j"))
-    return pairs.select((F.col("si") * nx + F.col("sj")).alias("src"), (F.col("di") * mx + F.col("dj")).alias("dst"), (F.col("wi") * F.col("wj")).alias("w"))
+    (di, si, wi), (dj, sj, wj) = _summed(lat), _summed(lon)
+    n = max(1, len(dj))
+    pairs = spark.range(len(di) * len(dj)).select(div(F.col("id"), n).cast("int").alias("a"), (F.col("id") % n).cast("int").alias("b"))
+    of = lambda x, k, kind="bigint": F.get(constants(x, kind), F.col(k))
+    return pairs.select((of(si, "a") * nx + of(sj, "b")).alias("src"), (of(di, "a") * mx + of(dj, "b")).alias("dst"), (of(wi, "a", "double") * of(wj, "b", "double")).alias("w"))
 
 
 def _open(spark: SparkSession, grid: LonLatGrid, weights: DataFrame, cell: str) -> DataFrame:
@@ -111,41 +117,55 @@ def _open(spark: SparkSession, grid: LonLatGrid, weights: DataFrame, cell: str)
     return weights.join(grid.cells(spark).filter("mask <> 0").select(F.col("dst").alias(cell)), cell, "left_semi").select("src", "dst", "w")
 
 
-def _scaled(weights: DataFrame) -> DataFrame:
-    total = weights.groupBy("dst").agg(F.sum("w").alias("total"))
-    return weights.join(total, "dst").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
+def _arc(lat_a: np.ndarray, lon_a: np.ndarray, lat_b: np.ndarray, lon_b: np.ndarray) -> np.ndarray:
+    """Angle between points in radians, rounded, so that ties are ties."""
+    h = np.sin((lat_a - lat_b) / 2) ** 2 + np.cos(lat_a) * np.cos(lat_b) * np.sin((lon_a - lon_b) / 2) ** 2
+    return np.round(2 * np.arcsin(np.sqrt(np.minimum(h, 1.0))), 12)
+
 
+def _nearest_open(source: LonLatGrid, target: LonLatGrid, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, src) of the k nearest open source cells of each cell of the target's row i, nearest first; of equals the first cell.
 
-def _rows_in_reach(source: LonLatGrid, v: float, k: int) -> np.ndarray:
-    """Source latitudes that may hold one of the k nearest cells: no farther than the k-th in the nearest row."""
-    near = source.lats[np.argmin(np.abs(source.lats - v))]
-    lon = np.sort(source.lons % 360)
-    gap = np.diff(np.append(lon, lon[0] + 360)).max()
-    a, b, turn = np.radians(v), np.radians(near), np.radians(min(180.0, gap * (k + 1) / 2))
-    h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(turn / 2) ** 2
-    return np.flatnonzero(np.abs(source.lats - v) <= np.degrees(2 * np.arcsin(min(1.0, np.sqrt(h)))) + 1e-9)
+    Rows of the source are taken from the nearest on, until none that is left can hold a nearer cell.
+    """
+    lat, lons = np.radians(target.lats[i]), target.lons % 360
+    best, who = np.full((len(lons), k), np.inf), np.full((len(lons), k), -1)
+    rows = np.argsort(np.abs(source.lats - target.lats[i]), kind="stable")
+    for r in rows:
+        if np.radians(abs(source.lats[r] - target.lats[i])) > best.max() + 1e-9:
+            break
+        cols = np.flatnonzero(np.ones(len(source.lons)) if source.mask is None else np.asarray(source.mask)[r])
+        if not len(cols):
+            continue
+        x = source.lons[cols] % 360
+        order = np.argsort(x, kind="stable")
+        cols, x = cols[order], x[order]
+        # the nearest of a row lie next to the point on either side
+        at = (np.searchsorted(x, lons)[:, None] + np.arange(-k - 1, k + 1)) % len(x) if len(x) > 2 * k + 2 else np.tile(np.arange(len(x)), (len(lons), 1))
+        d = np.concatenate([best, _arc(lat, np.radians(lons)[:, None], np.radians(source.lats[r]), np.radians(x[at]))], axis=1)
+        src = np.concatenate([who, r * len(source.lons) + cols[at]], axis=1)
+        pick = np.lexsort((src, d), axis=1)[:, :k]
+        best, who = np.take_along_axis(d, pick, 1), np.take_along_axis(src, pick, 1)
+    return best, who
 
 
 def _distance(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, k: int) -> DataFrame:
-    """(src, dst, w): the k nearest open source cells of each destination cell, weighed by inverse distance.
+    """(src, dst, w): the k nearest open source cells of each destination cell, weighed by inverse distance; a task per run of rows."""
 
-    In a row of cells the nearest are those of the nearest longitudes, so k + 1
-    of each row in reach are candidates; with masked cells, all cells are.
-    """
-    turn = lambda a, b: np.abs((a - b + 180) % 360 - 180)
-    every = source.mask is not None
-    rows = [(d, int(s)) for d, v in enumerate(target.lats) for s in (range(len(source.lats)) if every else _rows_in_reach(source, v, k))]
-    cols = [(d, int(s)) for d, v in enumerate(target.lons) for s in np.argsort(turn(source.lons, v), kind="stable")[: None if every else k + 1]]
-    near = spark.createDataFrame(rows, "i bigint, si bigint").crossJoin(spark.createDataFrame(cols, "j bigint, sj bigint"))
-    src = source.cells(spark).select(F.col("dst").alias("src"), F.col("i").alias("si"), F.col("j").alias("sj"), F.radians("lat").alias("slat"), F.radians("lon").alias("slon"), F.col("mask").alias("smask"))
-    dst = target.cells(spark).select("dst", "i", "j", F.radians("lat").alias("dlat"), F.radians("lon").alias("dlon"))
-    pairs = near.join(src, ["si", "sj"]).filter("smask <> 0").join(dst, ["i", "j"])
-    h = F.pow(F.sin((F.col("slat") - F.col("dlat")) / 2), 2) + F.cos("slat") * F.cos("dlat") * F.pow(F.sin((F.col("slon") - F.col("dlon")) / 2), 2)
-    # rounded, so that ties are ties, and fall to the first cell
-    pairs = pairs.withColumn("distance", F.round(2 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))), 12)).groupBy("dst").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "src"))), 1, k).alias("near"))
-    nearest = F.get("near", F.lit(0))["distance"]
-    one = pairs.select("dst", F.explode(F.when(nearest < 1e-10, F.slice("near", 1, 1)).otherwise(F.col("near"))).alias("p"))
-    return _scaled(one.select("p.src", "dst", (1 / F.greatest(F.col("p.distance"), F.lit(1e-15))).alias("w")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in rows["id"]:
+                d, src = _nearest_open(source, target, int(i), k)
+                ok = np.isfinite(d)
+                exact = d[:, 0] < 1e-10  # a cell at the very place counts alone
+                ok[exact, 1:] = False
+                w = np.where(ok, 1 / np.maximum(d, 1e-15), 0.0)
+                w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+                a, b = np.nonzero(ok)
+                yield pd.DataFrame({"src": src[a, b], "dst": int(i) * len(target.lons) + a, "w": w[a, b]})
+
+    n = len(target.lats)
+    return spark.range(0, n, 1, max(1, min(n, len(target.lons) * n // 20_000))).mapInPandas(run, "src bigint, dst bigint, w double")
 
 
 def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method: str = "bil", extrapolate: bool = True, remap_norm: str = "fracarea", remap_area_min: float = 0.0, extrap_method: str | None = None) -> DataFrame:
@@ -181,9 +201,9 @@ def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method
         area = _open(spark, source, _product(spark, source, target, lat, lon), "src")
         low, high = _edges(target.lats)
         left, right = _sides(target.lons % 360)
-        band = spark.createDataFrame([(k, float(np.sin(np.radians(b)) - np.sin(np.radians(a)))) for k, (a, b) in enumerate(zip(low, high, strict=True))], "i bigint, hi double")
-        strip = spark.createDataFrame([(k, float(np.radians(b - a))) for k, (a, b) in enumerate(zip(left, right, strict=True))], "j bigint, wj double")
-        size = band.crossJoin(strip).select((F.col("i") * len(target.lons) + F.col("j")).alias("dst"), (F.col("hi") * F.col("wj")).alias("size"))
+        band, strip = np.sin(np.radians(high)) - np.sin(np.radians(low)), np.radians(right - left)
+        k = F.col("id")
+        size = spark.range(len(band) * len(strip)).select(k.alias("dst"), (F.get(constants(band), div(k, len(strip)).cast("int")) * F.get(constants(strip), (k % len(strip)).cast("int"))).alias("size"))
         covered = area.groupBy("dst").agg(F.sum("w").alias("covered")).join(size, "dst").filter(F.col("covered") > remap_area_min * F.col("size"))
         if method == "laf":
             best = area.groupBy("dst").agg(F.max(F.struct(F.round("w", 14).alias("w"), (-F.col("src")).alias("s"))).alias("m"))

@@ -12,10 +12,11 @@ import glob
 import math
 import os
 import struct
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -294,3 +295,42 @@ def write(path: str, sizes: Mapping[str, int], variables: Mapping[str, tuple], a
     with open(f"{path}.part", "wb") as f:
         f.write(head + body + b"".join(raws))
     os.replace(f"{path}.part", path)
+
+
+_EPOCH = "seconds since 1970-01-01 00:00:00"
+
+
+def write_series(df, path: str, dims: Sequence[str], value: str, groupby: str, time: str | None = None, fill: float = 1e20) -> list:
+    """One file per group, written by the executors; (group, path, n_values) of each.
+
+    ``groupby`` is a column or a part of a time such as ``time.year``; ``path`` is a
+    template of {start}, {end} (times, if there is one) and {group}, on a folder
+    that executors and driver share. A task holds one group's array. Missing
+    values, and cells without a row, are written as ``fill`` and named so by
+    ``_FillValue``; of several rows in one place the last counts.
+    """
+    from .tables import _group
+
+    _, group = _group(df, groupby)
+    names = list(dims)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        axes = [np.unique(rows[d].to_numpy()) for d in names]
+        data = np.full([len(a) for a in axes], fill)
+        at = tuple(np.searchsorted(a, rows[d].to_numpy()) for a, d in zip(axes, names, strict=True))
+        x = rows[value].to_numpy(float, na_value=np.nan)
+        data[at] = np.where(np.isnan(x), fill, x)
+        variables = {}
+        for d, a in zip(names, axes, strict=True):
+            when = a.dtype.kind == "M"
+            variables[d] = ((d,), a.astype("datetime64[s]").astype(float) if when else a.astype(float), {"units": _EPOCH} if when else {})
+        variables[value] = (tuple(names), data, {"_FillValue": float(fill)})
+        span = {"start": pd.Timestamp(rows[time].min()), "end": pd.Timestamp(rows[time].max())} if time else {}
+        to = path.format(group=key[0], **span)
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        write(to, {d: len(a) for d, a in zip(names, axes, strict=True)}, variables)
+        return pd.DataFrame({"group": [str(key[0])], "path": [to], "n_values": [int(data.size)]})
+
+    kept = list(dict.fromkeys([*names, value, *([time] if time else [])]))
+    rows = df.select(group.alias("__group"), *kept)
+    return rows.groupBy("__group").applyInPandas(run, "group string, path string, n_values bigint").collect()  # one row per file

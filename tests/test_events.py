@@ -24,17 +24,19 @@ def found(df):
 
 
 @pytest.mark.parametrize(
-    "rows, n, expected",
+    "text, n, expected",
     [
-        ([[0, 1, 1, 1, 0]], 1, [(1, 0, 3)]),
-        ([[0, 1, 1, 1, 0], [1, 1, 0, 1, 1]], 1, [(0, 1, 2), (1, 0, 3), (3, 1, 2)]),
-        ([[0, 1, 1, 1, 0], [1, 1, 1, 1, 0]], 1, [(0, 1, 4), (1, 0, 3)]),
-        ([[0, 1, 1, 1, 0], [1, 1, 0, 1, 1]], 3, [(1, 0, 3)]),
-        ([[0, 0, 0]], 1, []),
-        ([[1, None, 1]], 1, [(0, 0, 1), (2, 0, 1)]),
+        ("..##..#", 1, [(2, 0, 2), (6, 0, 1)]),
+        ("#.##### ##.#...", 1, [(0, 0, 1), (0, 1, 2), (2, 0, 5), (3, 1, 1)]),
+        ("####### #######", 1, [(0, 0, 7), (0, 1, 7)]),
+        ("#.##### ##.#...", 2, [(0, 1, 2), (2, 0, 5)]),
+        (".......", 1, []),
+        ("##?###.", 1, [(0, 0, 2), (3, 0, 3)]),
     ],
 )
-def test_find_events(spark, rows, n, expected):
+def test_find_events(spark, text, n, expected):
+    """Series drawn as # (holds), . (doesn't) and ? (missing)."""
+    rows = [[{"#": 2, ".": -1, "?": None}[c] for c in series] for series in text.split()]
     assert found(E.find_events(grid(spark, rows), lambda v: v > 0, n)) == expected
 
 
@@ -62,61 +64,83 @@ def test_one_shuffle(spark, tmp_path):
     assert report.exchanges(E.find_events(g, lambda v: v > 0, 2, g.time_axis())) == 1
 
 
-def test_blocks_and_joins(spark):
-    rows = E.steps(grid(spark, [[0, 1, 1, 1, 0], [1, 1, 1, 1, 0], [0, 0, 0, 0, 0]])).filter("value > 0")
-    assert found(E.find_events_block(rows.filter("x >= 1"), ["x"], 2, 4, 3)) == [(2, 1, 2)]
-    assert found(E.find_events_block(rows.filter("x = 0"), ["x"], 0, 2, 3)) == [(1, 0, 2)]
-    make = lambda *r: spark.createDataFrame(list(r), "time bigint, event_duration bigint")
-    assert found(E.join_events([make((1, 2)), make((3, 3)), make((6, 1))])) == [(1, 6)]
+def drawn(seed, cells=3, n=40):
+    """Random series with gaps, and their runs by :func:`islands`."""
+    import random
+
+    r = random.Random(seed)
+    rows = [[None if r.random() < 0.1 else float(r.randint(-3, 6)) for _ in range(n)] for _ in range(cells)]
+    return rows, [(t, x, k) for x, series in enumerate(rows) for t, k in islands([v is not None and v > 0 for v in series])]
+
+
+@pytest.mark.parametrize("width", [1, 7, 13, 40])
+def test_blocks_and_joins(spark, width):
+    """Events found block by block and joined are those of the whole."""
+    rows, runs = drawn(11)
+    steps = E.steps(grid(spark, rows)).filter("value > 0")
+    blocks = [E.find_events_block(steps, ["x"], a, min(a + width - 1, 39), 3) for a in range(0, 40, width)]
+    assert found(E.join_events(blocks, ["x"], 3)) == sorted(r for r in runs if r[2] >= 3)
+    first = found(blocks[0])
+    assert all(k >= 3 or t == 0 or t + k == width for t, _, k in first)
+
+
+def test_joins_of_tables(spark):
     make = lambda *r: spark.createDataFrame(list(r), "time bigint, x bigint, event_duration bigint")
-    assert found(E.join_events([make((1, 0, 2)), make((3, 0, 1)), make((5, 0, 1))])) == [(1, 0, 3), (5, 0, 1)]
-    parts = [E.offset_events(make(r), time=t, x=x) for r, t, x in (((1, 0, 2), 0, 0), ((0, 0, 1), 3, 0), ((1, 0, 2), 0, 1), ((0, 0, 1), 3, 1))]
-    assert found(E.join_events(parts)) == [(1, 0, 3), (1, 1, 3)]
-    assert found(E.filter_block(make((1, 0, 2), (1, 5, 2)), x=(0, 3))) == [(1, 0, 2)]
+    assert found(E.join_events([make((4, 8, 2)), make((6, 8, 5)), make((12, 8, 1)), make((6, 9, 1))])) == [(4, 8, 7), (6, 9, 1), (12, 8, 1)]
+    moved = [E.offset_events(make((0, 0, 3)), time=10 * k, x=k // 2) for k in range(3)]
+    assert found(E.join_events(moved)) == [(0, 0, 3), (10, 0, 3), (20, 1, 3)]
+    assert found(E.filter_block(make((9, 2, 1), (9, 7, 1), (9, 4, 1)), x=(2, 4))) == [(9, 2, 1), (9, 4, 1)]
 
 
 def test_values(spark):
-    g = grid(spark, [[0, 0, 3, 2, 0], [9, 8, 0, 0, 7]])
+    rows, runs = drawn(5)
+    g = grid(spark, rows)
     ev = E.with_event_id(E.find_events(g, lambda v: v > 0))
-    assert sorted((r.event_id, r.time, r.x, r.event_duration) for r in ev.collect()) == [(0, 0, 1, 2), (1, 2, 0, 2), (2, 4, 1, 1)]
-    values = E.event_values(g, ev)
-    assert sorted((r.time, r.event_id, r.value) for r in values.collect()) == [(0, 0, 9), (1, 0, 8), (2, 1, 3), (3, 1, 2), (4, 2, 7)]
-    assert {r.event_id: r.m for r in values.groupBy("event_id").agg(F.min("value").alias("m")).collect()} == {0: 8, 1: 2, 2: 7}
-    stats = E.event_stats(g, ev, total=F.sum("value"))
-    assert sorted((r.event_id, r.total) for r in stats.collect()) == [(0, 17), (1, 5), (2, 7)]
-
-
-def test_map_events(spark):
-    g = grid(spark, [[28, 31, 34, 32, 30, 35, 39]])
-    ev = E.find_events(g, lambda v: v > 30)
-    assert found(E.map_events(g, ev, lambda v: v.sum())) == [(1, 0, 3, 97), (5, 0, 2, 74)]
-    g = grid(spark, [[0, 1, 1, 1, 0, 1, 1]])
+    order = sorted(runs, key=lambda r: (r[0] + r[2], r[1]))
+    assert sorted((r.event_id, r.time, r.x, r.event_duration) for r in ev.collect()) == [(k, *r) for k, r in enumerate(order)]
+    values = sorted((r.event_id, r.time, r.value) for r in E.event_values(g, ev).collect())
+    assert values == sorted((k, u, rows[x][u]) for k, (t, x, n) in enumerate(order) for u in range(t, t + n))
+    stats = E.event_stats(g, ev, total=F.sum("value"), least=F.min("value"))
+    assert stats.columns == [*ev.columns, "total", "least"]
+    assert sorted((r.event_id, r.total, r.least) for r in stats.collect()) == [(k, sum(rows[x][t : t + n]), min(rows[x][t : t + n])) for k, (t, x, n) in enumerate(order)]
+
+
+def test_map_events(spark, monkeypatch):
+    rows, runs = drawn(23)
+    g = grid(spark, rows)
     ev = E.find_events(g, lambda v: v > 0)
-    got = E.map_events(g, ev, lambda v: {"mean": v.mean(), "std": v.std(ddof=0)}, "mean double, std double")
-    assert found(got) == [(1, 0, 3, 1, 0), (5, 0, 2, 1, 0)]
+    want = sorted((t, x, n, rows[x][t], max(rows[x][t : t + n])) for t, x, n in runs)
+    for together in (E.TOGETHER, 3):
+        monkeypatch.setattr(E, "TOGETHER", together)
+        assert found(E.map_events(g, ev, lambda v: {"first": v.iloc[0], "most": v.max()}, "first double, most double")) == want
+    assert found(E.map_events(g, ev, lambda v: float(len(v)))) == sorted((*r, r[2]) for r in runs)
 
 
 def test_extend_coords_and_da(spark):
-    g = grid(spark, [[0, 1, 1, 1, 0, 1, 1]])
-    ev = E.with_event_id(E.find_events(g, lambda v: v > 0))
-    assert sorted((r.time, r.event_id) for r in E.extend_events(ev).collect()) == [(1, 0), (2, 0), (3, 0), (5, 1), (6, 1)]
-    coords = sorted((r.time, r.event_duration) for r in E.event_coords(g, ev.drop("event_id")).collect())
-    assert coords == [(dt.datetime(2001, 1, 2), 3 * 86400), (dt.datetime(2001, 1, 6), None)]
-    dense = E.event_da(g, ev.drop("event_id").union(ev.drop("event_id").limit(1)), "event_duration")
-    assert [r.value for r in dense.df.orderBy("time").collect()] == [None, 6, None, None, None, 2, None]
-
-
-@pytest.mark.parametrize(
-    "series, expected",
-    [
-        ([None, 1, 1, 1, None, 1, 1, 1, 1], [None, 1, 1, 1, None, 1, 1, 1, 1]),
-        ([1, None, 1, 1, None, None, None, None, 1], [None] * 9),
-        ([None, 1.4, 0.8, 1, None, 2.9, 0.6], [None, 1.4, 0.8, 1, None, None, None]),
-        ([1, 1, float("inf"), 1, 1, 1], [None, None, None, 1, 1, 1]),
-    ],
-)
-def test_atleastn(spark, series, expected):
-    assert [r.value for r in E.atleastn(grid(spark, [series]), 3).df.orderBy("time").collect()] == expected
+    rows, runs = drawn(42, 2, 12)
+    g = grid(spark, rows)
+    ev = E.find_events(g, lambda v: v > 0)
+    assert sorted((r.time, r.x) for r in E.extend_events(ev).collect()) == sorted((u, x) for t, x, n in runs for u in range(t, t + n))
+    got = {(r.time, r.event_duration) for r in E.event_coords(g.with_df(g.df, dims=("time",)), ev).collect()}
+    assert got == {(START + dt.timedelta(days=t), None if t + n == 12 else n * 86_400) for t, _, n in runs}
+    dense = {(r.time, r.x): r.value for r in E.event_da(g, ev.union(ev.limit(1)), "event_duration").df.collect()}
+    twice = tuple(ev.limit(1).first())
+    assert dense == {(START + dt.timedelta(days=u), x): sum(n * (1 + ((t, x, n) == twice)) for t, y, n in runs if (t, y) == (u, x)) or None for u in range(12) for x in range(2)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_atleastn(spark, n):
+    rows, _ = drawn(77, 2, 25)
+    rows[0][4] = float("inf")
+    want = []
+    for series in rows:
+        kept = [None] * len(series)
+        for t, k in islands([v is not None and v != float("inf") for v in series]):
+            if k >= n:
+                kept[t : t + k] = series[t : t + k]
+        want.append(kept)
+    out = E.atleastn(grid(spark, rows), n).df.orderBy("x", "time").collect()
+    assert [r.value for r in out] == want[0] + want[1]
 
 
 def test_indexed(spark):

@@ -112,3 +112,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("runs").collect())) == [(1, 7, 3), (5, 7, 2)]
+
+
+def test_netcdf_series(spark, tmp_path):
+    """A file per year, written by tasks; missing values by _FillValue, both ways."""
+    import datetime as dt
+
+    from gridloom.sources import netcdf3
+
+    rows = [(dt.datetime(2001, 12, 30) + dt.timedelta(days=k), float(y), None if k == 1 and y == 5 else k + y / 10) for k in range(4) for y in (5, 7)]
+    df = spark.createDataFrame(rows[:-1], "time timestamp_ntz, lat double, v double")
+    files = netcdf3.write_series(df, str(tmp_path / "y{group}-{start:%j}-{end:%j}.nc"), ["time", "lat"], "v", "time.year", "time")
+    assert sorted((f.group, f.path.rsplit("/", 1)[1], f.n_values) for f in files) == [("2001", "y2001-364-365.nc", 4), ("2002", "y2002-001-002.nc", 4)]
+    assert netcdf3.header(files[0].path).variables["v"].attrs["_FillValue"] == 1e20
+    back = netcdf3.scan(spark, sorted(f.path for f in files), "v")
+    assert sorted(map(tuple, back.collect())) == sorted([*map(tuple, rows[:-1]), (rows[-1][0], 7.0, None)], key=lambda r: (r[0], r[1]))

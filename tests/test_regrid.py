@@ -146,3 +146,26 @@ def test_metadata(spark):
     assert isinstance(grids.identify_grid(metadata.with_metadata(df, {"y": {"axis": "Y"}, "x": {"axis": "X"}})), grids.LonLatGrid)
     with pytest.raises(NotImplementedError):
         grids.identify_grid([1, 2])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_open_cells(spark, seed):
+    """With masked cells, the nearest open ones by brute force over all pairs."""
+    rng = np.random.default_rng(seed)
+    lat, lon = np.linspace(-80, 80, 9), np.arange(0, 360, 24.0)
+    mask = (rng.random((9, 15)) > 0.7).astype(int)
+    source, target = grids.LonLatGrid(lat, lon, mask), grids.LonLatGrid(np.array([-85.0, -3.0, 40.0]), np.array([-170.0, 1.0, 24.0, 200.0]))
+    sla, slo = np.radians(np.repeat(lat, 15)), np.radians(np.tile(lon, 9))
+    got = {}
+    for r in weights.generate(spark, source, target, "dis").collect():
+        got.setdefault(r.dst, {})[r.src] = r.w
+    for dst, (la, lo) in enumerate((a, b) for a in np.radians(target.lats) for b in np.radians(target.lons)):
+        h = np.sin((sla - la) / 2) ** 2 + np.cos(sla) * np.cos(la) * np.sin((slo - lo) / 2) ** 2
+        d = np.round(2 * np.arcsin(np.sqrt(h)), 12)
+        near = [k for k in np.lexsort((np.arange(135), d)) if mask.ravel()[k]][:4]
+        want = {int(k): 1 / d[k] for k in near} if d[near[0]] > 1e-10 else {int(near[0]): 1.0}
+        total = sum(want.values())
+        assert got[dst] == pytest.approx({k: w / total for k, w in want.items()})
+    assert weights.generate(spark, source, target, "nn").count() == 12
+    closed = grids.LonLatGrid(lat, lon, np.zeros((9, 15)))
+    assert weights.generate(spark, closed, target, "dis").count() == 0
