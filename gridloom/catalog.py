@@ -150,6 +150,9 @@ _add(
     "WITH " + _EH + ", hit AS (SELECT cell, i, i - row_number() OVER (PARTITION BY cell ORDER BY i) AS g FROM eh WHERE v > 50) SELECT CAST(min(i) AS BIGINT) AS time, cell, CAST(count(*) AS BIGINT) AS event_duration FROM hit GROUP BY cell, g",
 )
 
+_add("packed_matrix_resample", lambda s, d: _unpacked(packed.pack(eh(s, d), eh_axis(s, d)).resample_matrix(24)), ORACLE["resample_mean"])
+_add("packed_matrix_events", lambda s, d: packed.pack(eh(s, d), eh_axis(s, d)).events_matrix(lambda x: x > 50, 1), ORACLE["packed_find_events"])
+
 # Climatology
 
 
@@ -185,6 +188,11 @@ for _g, _short in (("dayofyear", "doy"), ("monthday", "monthday")):
         lambda s, d, g=_g: packed.pack(od(s, d), od_axis(s, d)).climatology("mean", g).select("cell", F.posexplode("value").alias("slot", "value")).select("cell", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value")),
         f"WITH {_OD} SELECT cell, CAST(row_number() OVER (PARTITION BY cell ORDER BY {_slot_sql(_g)[1]}) - 1 AS BIGINT) AS slot, value FROM ({_by_slot(_g, 'avg(v)')})",
     )
+    _add(
+        f"packed_matrix_climatology_{_short}",
+        lambda s, d, g=_g: packed.pack(od(s, d), od_axis(s, d)).climatology_matrix("mean", g).select("cell", F.posexplode("value").alias("slot", "value")).select("cell", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value")),
+        ORACLE[f"packed_climatology_{_short}"],
+    )
 _add("climatology_nanpercentile", lambda s, d: _slots(_grouped(s, d).nanpercentile(90)), f"WITH {_OD} {_by_slot('dayofyear', 'quantile_cont(v, 0.9)')}")
 _add("climatology_percentile", lambda s, d: _slots(_grouped(s, d, "monthday").percentile(50)), f"WITH {_OD} {_by_slot('monthday', 'CASE WHEN count(v) = ' + _YEARS + ' THEN quantile_cont(v, 0.5) END')}")
 _add("climatology_reduce", lambda s, d: _slots(_grouped(s, d).reduce(lambda v: float(v.notna().sum()))), f"WITH {_OD} {_by_slot('dayofyear', 'CAST(count(v) AS DOUBLE)', '0')}")

@@ -42,9 +42,8 @@ def test_round_trip(grid, stored):
 def test_resample(grid, stored, op):
     dense = grid.densify()
     want = getattr(R.blocked_resample(dense, time=17), op)().df
-    got = stored.resample(17, op).unpack()
     key = lambda d: sorted(map(str, rows(d.select("time", "x", "value"))))
-    assert key(got) == key(want)
+    assert key(stored.resample(17, op).unpack()) == key(want) == key(stored.resample_matrix(17, op).unpack())
 
 
 @pytest.mark.parametrize("grouping", ["dayofyear", "monthday"])
@@ -53,8 +52,9 @@ def test_climatology(grid, stored, op, grouping):
     slot = ["dayofyear"] if grouping == "dayofyear" else ["month", "day"]
     b = C.BlockedGroupby(grid.densify(), grouping)
     want = getattr(b, op)().df.orderBy("x", *slot).toPandas()["value"].to_numpy()
-    got = np.concatenate([np.array(r.value, float) for r in stored.climatology(op, grouping).orderBy("x").collect()])
-    np.testing.assert_allclose(got, want)
+    for made in (stored.climatology(op, grouping), stored.climatology_matrix(op, grouping)):
+        got = np.concatenate([np.array(r.value, float) for r in made.orderBy("x").collect()])
+        np.testing.assert_allclose(got, want)
 
 
 def test_events_without_shuffle(grid, stored):
@@ -78,3 +78,17 @@ def test_checks(stored):
     with pytest.raises(ValueError):
         stored.climatology("median")
     assert stored.resample(17).axis.last == dt.datetime(2003, 1, 1) + dt.timedelta(days=17 * 42)
+
+
+def test_matrix_of_few_rows_at_a_time(grid, stored, monkeypatch):
+    """Runs of rows, cells without a name and missing values don't matter; nothing is shuffled."""
+    monkeypatch.setattr(P, "ROWS", 1)
+    want = rows(stored.find_events(lambda v: v > 0.4, 2).select("time", "x", "event_duration"))
+    got = stored.events_matrix(lambda x: x > 0.4, 2)
+    assert rows(got.select("time", "x", "event_duration")) == want and report.exchanges(got) == 0
+    bare = P.Packed(stored.df.filter("x = 1").select("value"), (), stored.axis)
+    assert rows(bare.events_matrix(lambda x: x > 0.4, 2)) == sorted((t, n) for t, x, n in want if x == 1)
+    assert report.exchanges(stored.resample_matrix(17).df) == 0 and stored.df.limit(0).count() == 0
+    assert P.Packed(stored.df.limit(0), stored.cells, stored.axis).resample_matrix(17).df.count() == 0
+    with pytest.raises(ValueError):
+        stored.resample_matrix(18)
