@@ -11,7 +11,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +73,21 @@ def scope() -> Iterator[list[str]]:
         _scopes[:] = [x for x in _scopes if x is not paths]
 
 
+def tidied(spark: SparkSession, make: Callable[[], DataFrame], keep: Sequence[str] = ()) -> DataFrame:
+    """``make()``, after which the scratch tables are deleted that its result doesn't read; those named in ``keep`` stay.
+
+    What the result reads is left to whoever owns the shared folder, as the result is only computed later.
+    """
+    with scope() as used:
+        out = make()
+    read = out.inputFiles()
+    for path in used:
+        name = path.rpartition("/")[2]
+        if not any(f"/{name}/" in x for x in read) and name.rpartition("-")[0] not in keep:
+            delete(spark, path)
+    return out
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path object) of a path in any store that Spark can reach."""
     jvm = spark.sparkContext._jvm

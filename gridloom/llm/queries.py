@@ -7,47 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_extract, line_rules, lm_trie, mixing, near_dedup, oracle, pii, quality_crf, sharding, toxicity_mil
-from ._store import documents, table
+from ._store import documents, table, tidied
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.query(documents(spark, sf_dir))
+    return tidied(spark, lambda: mixing.query(documents(spark, sf_dir)))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.query(table(spark, sf_dir, "pages"))
+    return tidied(spark, lambda: html_extract.query(table(spark, sf_dir, "pages")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.query(documents(spark, sf_dir))
+    return tidied(spark, lambda: sharding.query(documents(spark, sf_dir)))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return tidied(spark, lambda: decontaminate.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_crf.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return tidied(spark, lambda: quality_crf.query(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
 
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.query(documents(spark, sf_dir))
+    return tidied(spark, lambda: line_rules.query(documents(spark, sf_dir)))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.query(documents(spark, sf_dir))
+    return tidied(spark, lambda: pii.query(documents(spark, sf_dir)))
 
 
 def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_mil.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return tidied(spark, lambda: toxicity_mil.query(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.query(documents(spark, sf_dir))
+    return tidied(spark, lambda: near_dedup.query(documents(spark, sf_dir)))
 
 
 def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_trie.query(documents(spark, sf_dir))
+    return tidied(spark, lambda: lm_trie.query(documents(spark, sf_dir)), ["trie"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -24,6 +24,17 @@ def test_query(spark, con, name):
         assert len(got) == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
 
 
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_scratch_is_deleted(spark, name):
+    """Of a query's scratch tables only those stay that its result reads."""
+    from gridloom.llm._store import hadoop_path, scope
+
+    with scope() as used:
+        out = queries.QUERIES[name](spark, SF)
+    left = [p for p in used if hadoop_path(spark, p)[0].exists(hadoop_path(spark, p)[1])]
+    assert len(left) <= 4 and out.count() >= 0
+
+
 def test_pipeline(spark, con):
     import corpus_pipeline as p
 
