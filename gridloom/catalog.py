@@ -593,7 +593,7 @@ def _profiled(s: SparkSession, d: str) -> DataFrame:
     best = profiling.profile(s, read, count, 2)
     before = s.conf.get("spark.sql.shuffle.partitions")
     bench = profiling.benchmark(s, read, count, [{"spark.sql.shuffle.partitions": 2}, {"spark.sql.shuffle.partitions": 3}], 1)
-    timer = profiling.Timer()
+    timer, facts = profiling.Timer(s), profiling.cluster(s)
     for mark in ("load", "load", "write", "write"):
         timer.mark(mark)
     path = os.path.join(tempfile.mkdtemp(prefix="gridloom-"), "times.csv")
@@ -602,7 +602,7 @@ def _profiled(s: SparkSession, d: str) -> DataFrame:
     lines = Path(path).read_text().splitlines()
     shutil.rmtree(os.path.dirname(path))
     ok = lambda t: t["time_total"] >= t["time_load"] > 0 and t["operators_out"] > t["operators_in"] > 0
-    return s.createDataFrame([(ok(once), ok(best) and best["median_time_load"] >= best["time_load"], len(bench) == 2 and s.conf.get("spark.sql.shuffle.partitions") == before, lines[0] == "run,total,load,write" and len(lines) == 3)], "once boolean, least boolean, settings boolean, timer boolean")
+    return s.createDataFrame([(ok(once), ok(best) and best["median_time_load"] >= best["time_load"], len(bench) == 2 and s.conf.get("spark.sql.shuffle.partitions") == before, lines[0] == ",".join(["run", *facts, "total", "load", "write"]) and len(lines) == 3 and facts["slots"] == s.sparkContext.defaultParallelism)], "once boolean, least boolean, settings boolean, timer boolean")
 
 
 _add("profile_runs", _profiled, "SELECT true AS once, true AS least, true AS settings, true AS timer")

@@ -42,6 +42,7 @@ class Grid:
     time: str = "time"
     value: str = "value"
     attrs: Mapping[str, object] = field(default_factory=dict)
+    _known: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     @classmethod
     def of(cls, df: DataFrame, dims: Sequence[str], value: str, time: str | None = None, attrs: Mapping[str, object] | None = None) -> Grid:
@@ -72,7 +73,12 @@ class Grid:
         return self.df.select(dim).distinct().withColumn(f"{dim}_index", (F.row_number().over(Window.orderBy(dim)) - 1).cast("bigint"))
 
     def time_axis(self) -> Axis:
-        """The time axis; ValueError if its steps differ."""
+        """The time axis; ValueError if its steps differ. Two jobs over the times, whose result the grid keeps."""
+        if "axis" not in self._known:
+            self._known["axis"] = self._find_axis()
+        return self._known["axis"]
+
+    def _find_axis(self) -> Axis:
         times = self.df.select(self.time).distinct()
         span = times.agg(F.min(self.time).alias("a"), F.max(self.time).alias("b"), F.count("*").alias("n"), seconds(F.max(self.time) - F.min(self.time)).alias("s")).first()
         if not span["n"]:

@@ -26,6 +26,6 @@ def time_blocks(grid: Grid, size: int) -> DataFrame:
 
 
 def throttled(df: DataFrame, tasks: int, path: str) -> DataFrame:
-    """Computes a frame with at most ``tasks`` tasks at a time into a table, and reads it."""
-    df.coalesce(tasks).write.parquet(path)
+    """Writes a frame with at most ``tasks`` tasks at a time into a table, and reads it; what makes its rows stays parallel."""
+    df.repartition(tasks).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,10 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .report import chunk_count, graph_size
 
 
+def cluster(spark: SparkSession) -> dict[str, object]:
+    """What a session runs on: application, master, executors that are up, task slots, memory of an executor."""
+    sc = spark.sparkContext
+    executors = len(sc._jsc.sc().statusTracker().getExecutorInfos())
+    memory = sc.getConf().get("spark.executor.memory", "1g") if executors > 1 else sc.getConf().get("spark.driver.memory", "1g")
+    return {"application": sc.applicationId, "master": sc.master, "executors": max(1, executors - 1), "slots": sc.defaultParallelism, "memory": memory}
+
+
 class Timer:
-    """Named sections of time; a mark starts a section and, given again, ends it."""
+    """Named sections of time; a mark starts a section and, given again, ends it. With a session, records say what it runs on."""
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession | None = None):
+        self._cluster = cluster(spark) if spark is not None else {}
         self._start: dict[str, float] = {}
         self._total: dict[str, float] = {}
         self._excluded: set[str] = set()
@@ -40,7 +49,7 @@ class Timer:
 
     def record(self, path: str, **also: object) -> None:
         """Appends a row to a CSV file, with a header if the file is new."""
-        row = dict(also) | self.times()
+        row = dict(also) | self._cluster | self.times()
         new = not os.path.exists(path)
         with open(path, "a", newline="") as f:
             w = csv.DictWriter(f, row)

@@ -33,9 +33,12 @@ def encoding(df: DataFrame, complevel: int = 4, extra: Mapping[str, object] | No
 
 
 def write_throttled(df: DataFrame, path: str, complevel: int = 4, max_tasks: int | None = None, rows_per_file: int | None = None) -> None:
-    """Write a frame with at most ``max_tasks`` tasks at a time; without a bound, Spark's task slots are the bound."""
+    """Write a frame with at most ``max_tasks`` tasks at a time; without a bound, Spark's task slots are the bound.
+
+    Rows are dealt anew to the writing tasks, so that what makes them stays as parallel as it was.
+    """
     options = encoding(df, complevel, {"maxRecordsPerFile": rows_per_file} if rows_per_file else None)
-    (df.coalesce(max_tasks) if max_tasks else df).write.options(**options).parquet(path)
+    (df.repartition(max_tasks) if max_tasks else df).write.options(**options).parquet(path)
 
 
 def _group(df: DataFrame, groupby: str) -> tuple[str, F.Column]:
