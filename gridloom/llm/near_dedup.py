@@ -9,7 +9,9 @@ is; at full depth all of a region are candidates of each other. In a smaller
 region those whose sketches agree enough are. Candidates are joined to clusters,
 and within a cluster links are confirmed on full sets of shingles.
 
-Nothing is capped. A cluster of more than CHUNK classes is dealt to chunks that
+Sorted orders are dealt to tasks by ranges, and a region that lies across a
+border is looked at in two parts; its pairs across the border are left to the
+other orders, whose borders are elsewhere. Nothing is capped. A cluster of more than CHUNK classes is dealt to chunks that
 are confirmed side by side, each together with the cluster's few pivots, which
 joins nearly all of a dense cluster at once; what is still outside the
 cluster's largest component then meets every member of the cluster, chunk by

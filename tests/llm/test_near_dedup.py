@@ -89,3 +89,18 @@ def test_shared_and_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     roots = dict(map(tuple, components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()))
     assert roots == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_many_small_sets(spark, docs, k):
+    """Sets of 1 to 12 shingles, many pairs of them at exactly 80 percent; no link lost or made up."""
+    rng = random.Random(k)
+    rows = []
+    for n in range(1, 13):
+        for g in range(6):
+            ws = words(n + k - 1, 1000 * n + g, 10**6)
+            for variant in (ws, [*ws, "tail"], ["head", *ws], [*ws, "tail", "more"], ws[: max(1, len(ws) - 1)], ws[::-1]):
+                rows.append((len(rows), " ".join(variant), "s"))
+    rng.shuffle(rows)
+    got = near_dedup.resolve(docs(rows), k).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, k)
