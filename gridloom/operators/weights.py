@@ -149,26 +149,114 @@ def _nearest_open(source: LonLatGrid, target: LonLatGrid, i: int, k: int) -> tup
     return best, who
 
 
-def _distance(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, k: int) -> DataFrame:
+def _inverse(d: np.ndarray, exponent: float) -> np.ndarray:
+    """Weights by inverse distance of each row's nearest points, nearest first; one at the very place counts alone, none is infinite."""
+    ok = np.isfinite(d)
+    ok[d[:, 0] < 1e-10, 1:] = False
+    w = np.where(ok, 1 / np.maximum(np.where(ok, d, 1.0), 1e-15) ** exponent, 0.0)
+    return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+
+
+def _distance(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, k: int, exponent: float = 1.0) -> DataFrame:
     """(src, dst, w): the k nearest open source cells of each destination cell, weighed by inverse distance; a task per run of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for i in rows["id"]:
                 d, src = _nearest_open(source, target, int(i), k)
-                ok = np.isfinite(d)
-                exact = d[:, 0] < 1e-10  # a cell at the very place counts alone
-                ok[exact, 1:] = False
-                w = np.where(ok, 1 / np.maximum(d, 1e-15), 0.0)
-                w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-                a, b = np.nonzero(ok)
+                w = _inverse(d, exponent)
+                a, b = np.nonzero(w)
                 yield pd.DataFrame({"src": src[a, b], "dst": int(i) * len(target.lons) + a, "w": w[a, b]})
 
     n = len(target.lats)
     return spark.range(0, n, 1, max(1, min(n, len(target.lons) * n // 20_000))).mapInPandas(run, "src bigint, dst bigint, w double")
 
 
-def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method: str = "bil", extrapolate: bool = True, remap_norm: str = "fracarea", remap_area_min: float = 0.0, extrap_method: str | None = None) -> DataFrame:
+#: Points of a grid without axes that weights can be made from; they are sent to every task, 24 bytes each.
+POINTS = 2_000_000
+
+
+def _scattered(spark: SparkSession, source: DataFrame, target: DataFrame, k: int, exponent: float) -> DataFrame:
+    """(src, dst, w): the k nearest open points of ``source`` of each open cell of ``target``, both (dst, lat, lon, mask) in any order."""
+    points = source.filter("mask <> 0").select(F.col("dst").cast("bigint").alias("src"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    n = points.count()
+    if n > POINTS:
+        raise ValueError(f"{n} source cells without axes; at most {POINTS} are sent to every task")
+    p = points.orderBy("lat", "src").toPandas()
+    ids, deg, lat, lon = p["src"].to_numpy(), p["lat"].to_numpy(), np.radians(p["lat"].to_numpy()), np.radians(p["lon"].to_numpy())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in batches:
+            for lo in range(0, len(cells) if n else 0, 64):
+                some = cells.iloc[lo : lo + 64]
+                at, width = some["lat"].to_numpy(), 2.0
+                while True:  # a band of latitudes that is wide enough to hold all that are nearer than the k-th
+                    a, b = np.searchsorted(deg, [at.min() - width, at.max() + width + 1e-9])
+                    d = _arc(np.radians(at)[:, None], np.radians(some["lon"].to_numpy())[:, None], lat[None, a:b], lon[None, a:b])
+                    src = np.broadcast_to(ids[a:b], d.shape)
+                    pick = np.lexsort((src, d), axis=1)[:, :k]
+                    d, src = np.take_along_axis(d, pick, 1), np.take_along_axis(src, pick, 1)
+                    if b - a == n or (b - a >= k and d[:, -1].max() <= np.radians(width)):
+                        break
+                    width *= 2
+                w = _inverse(d, exponent)
+                i, j = np.nonzero(w)
+                yield pd.DataFrame({"src": src[i, j], "dst": some["dst"].to_numpy()[i], "w": w[i, j]})
+
+    return target.filter("mask <> 0").select("dst", "lat", "lon").mapInPandas(run, "src bigint, dst bigint, w double")
+
+
+def _poles(source: LonLatGrid, target: LonLatGrid, lat: list) -> tuple[list, list]:
+    """``lat`` without what lies beyond the last latitudes, and (d, s, w) of that: w is the share of the pole, whose value is the mean of the last row."""
+    low, high = int(np.argmin(source.lats)), int(np.argmax(source.lats))
+    inner, beyond = [], []
+    for d, s, w in lat:
+        v = target.lats[d]
+        if v > source.lats[high] or v < source.lats[low]:
+            edge = high if v > source.lats[high] else low
+            t = abs(v - source.lats[edge]) / (90 - abs(source.lats[edge]))
+            inner.append((d, s, w * (1 - t)))
+            beyond.append((d, edge, t))
+        else:
+            inner.append((d, s, w))
+    return inner, beyond
+
+
+# Names of methods and of ways to extrapolate in the other dialect.
+OTHER = {"bilinear": "bil", "neareststod": "nn", "conserve": "con", "conserve2nd": "con2"}
+
+
+def generate_esmf(spark: SparkSession, source, target, method: str = "bilinear", extrap_method: str | None = "nearestidavg", norm_type: str = "dstarea", line_type: str | None = None, pole: str | None = None, ignore_unmapped: bool = False) -> DataFrame:
+    """(src, dst, w) by the other dialect's names and defaults.
+
+    ``pole``: ``none`` leaves what lies beyond the last latitude unmapped, ``all``
+    (the default of bilinear) puts the mean of the last row at the pole.
+    ``extrap_method``: None or ``none``, ``neareststod``, or ``nearestidavg`` (eight
+    points by the inverse square of their distance). Destination cells that stay
+    without weights are an error unless ``ignore_unmapped``.
+    """
+    if method not in OTHER:
+        raise NotImplementedError(f"method {method!r}")
+    if norm_type not in ("dstarea", "fracarea"):
+        raise ValueError(f"norm_type {norm_type!r}")
+    if line_type not in (None, "cartesian"):
+        raise NotImplementedError(f"line_type {line_type!r}: cells' sides follow latitudes and longitudes")
+    if pole not in (None, "none", "all"):
+        raise NotImplementedError(f"pole {pole!r}")
+    if extrap_method not in (None, "none", "neareststod", "nearestidavg"):
+        raise NotImplementedError(f"extrap_method {extrap_method!r}")
+    pole = pole or "all"
+    options = {"extrapolate": pole == "all", "pole": pole == "all"} if method == "bilinear" else {}
+    extrap = None if extrap_method in (None, "none") else "nearestidavg"
+    out = generate(spark, source, target, OTHER[method], remap_norm="destarea" if norm_type == "dstarea" else "fracarea", extrap_method=extrap, extrap_points=1 if extrap_method == "neareststod" else 8, extrap_exponent=2.0, **options)
+    if not ignore_unmapped:
+        lacking = target.cells(spark).filter("mask <> 0").join(out.select("dst").distinct(), "dst", "left_anti").count()
+        if lacking:
+            raise ValueError(f"{lacking} destination cells have no weights")
+    return out
+
+
+def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method: str = "bil", extrapolate: bool = True, remap_norm: str = "fracarea", remap_area_min: float = 0.0, extrap_method: str | None = None, extrap_points: int = 4, extrap_exponent: float = 1.0, pole: bool = False) -> DataFrame:
     """(src, dst, w) by nearest cell (nn), distance to the four nearest (dis), bilinear (bil), bicubic (bic),
     conservative area (con, ycon; con2 the same to first order) or largest area fraction (laf).
 
@@ -176,12 +264,19 @@ def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method
     ``remap_norm``: divide areas by the covered part of a cell (fracarea) or by
     the whole of it (destarea); ``remap_area_min``: least covered part.
     ``extrap_method="nearestidavg"`` gives destination cells without weights
-    those of their nearest cells.
+    those of their ``extrap_points`` nearest cells, by inverse distance to the
+    power of ``extrap_exponent``. ``pole``: beyond the last latitude, bilinear
+    weights go on to the pole, which has the mean of the last row. Grids given by
+    their cells (:class:`ScripGrid`) have nn and dis weights, to and from any grid.
     """
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {METHODS}")
     if remap_norm not in ("fracarea", "destarea"):
         raise ValueError(f"remap_norm {remap_norm!r}")
+    if not (isinstance(source, LonLatGrid) and isinstance(target, LonLatGrid)):
+        if method not in ("nn", "dis"):
+            raise NotImplementedError(f"method {method!r} of grids without axes; nn and dis there are")
+        return _scattered(spark, source.cells(spark), target.cells(spark), 1 if method == "nn" else 4, 1.0)
     wrap = _around(source.lons)
     if method in ("nn", "dis"):
         out = _distance(spark, source, target, 1 if method == "nn" else 4)
@@ -189,7 +284,13 @@ def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method
         axis = _brackets if method == "bil" else _cubic
         turned = wrap or bool(np.any(source.lons < 0) != np.any(target.lons < 0))
         lon_s, lon_d = (source.lons % 360, target.lons % 360) if turned else (source.lons, target.lons)
-        full = _product(spark, source, target, axis(source.lats, target.lats, False, extrapolate), axis(lon_s, lon_d, wrap, extrapolate))
+        lat, lon = axis(source.lats, target.lats, False, extrapolate), axis(lon_s, lon_d, wrap, extrapolate)
+        inner, beyond = _poles(source, target, lat) if pole and method == "bil" else (lat, [])
+        full = _product(spark, source, target, inner, lon)
+        if beyond:
+            n = len(source.lons)
+            around = [(d, k, 1 / n) for d in range(len(target.lons)) for k in range(n)]
+            full = full.union(_product(spark, source, target, beyond, around)).groupBy("src", "dst").agg(F.sum("w").alias("w"))
         out = _open(spark, source, full, "src")
         # a cell with a masked neighbour has no bilinear weights
         if source.mask is not None:
@@ -213,7 +314,7 @@ def generate(spark: SparkSession, source: LonLatGrid, target: LonLatGrid, method
     out = _open(spark, target, out, "dst")
     if extrap_method == "nearestidavg":
         lacking = target.cells(spark).filter("mask <> 0").select("dst").join(out.select("dst").distinct(), "dst", "left_anti")
-        out = out.unionByName(_distance(spark, source, target, 4).join(lacking, "dst", "left_semi").select("src", "dst", "w"))
+        out = out.unionByName(_distance(spark, source, target, extrap_points, extrap_exponent).join(lacking, "dst", "left_semi").select("src", "dst", "w"))
     elif extrap_method is not None:
         raise NotImplementedError(f"extrap_method {extrap_method!r}")
     return out.select("src", "dst", "w")

@@ -169,3 +169,54 @@ def test_nearest_open_cells(spark, seed):
     assert weights.generate(spark, source, target, "nn").count() == 12
     closed = grids.LonLatGrid(lat, lon, np.zeros((9, 15)))
     assert weights.generate(spark, closed, target, "dis").count() == 0
+
+
+def brute_nearest(sla, slo, la, lo, k):
+    h = np.sin((sla - la) / 2) ** 2 + np.cos(sla) * np.cos(la) * np.sin((slo - lo) / 2) ** 2
+    d = np.round(2 * np.arcsin(np.sqrt(h)), 12)
+    return [(int(i), d[i]) for i in np.lexsort((np.arange(len(d)), d))[:k]]
+
+
+def test_grids_without_axes(spark):
+    """Nearest points of a curvilinear grid to a regular one and back, by brute force."""
+    rng = np.random.default_rng(8)
+    la, lo = np.degrees(np.arcsin(rng.uniform(-1, 1, 300))), rng.uniform(0, 360, 300)
+    rows = [(k, k, 0, float(a), float(b), int(k % 7 != 0), [0.0], [0.0]) for k, (a, b) in enumerate(zip(la, lo, strict=True))]
+    curved = grids.ScripGrid(spark.createDataFrame(rows, "dst bigint, i bigint, j bigint, lat double, lon double, mask int, corner_lat array<double>, corner_lon array<double>"))
+    regular = grids.LonLatGrid(np.array([-80.0, 0.0, 30.0]), np.arange(0, 360, 60.0))
+    open_ = np.flatnonzero(np.arange(300) % 7)
+    got = {}
+    for r in weights.generate(spark, curved, regular, "dis").collect():
+        got.setdefault(r.dst, {})[r.src] = r.w
+    for dst, (a, b) in enumerate((a, b) for a in np.radians(regular.lats) for b in np.radians(regular.lons)):
+        near = brute_nearest(np.radians(la)[open_], np.radians(lo)[open_], a, b, 4)
+        total = sum(1 / d for _, d in near)
+        assert got[dst] == pytest.approx({int(open_[i]): 1 / d / total for i, d in near})
+    back = {r.dst: r.src for r in weights.generate(spark, regular, curved, "nn").collect()}
+    rla, rlo = np.radians(np.repeat(regular.lats, 6)), np.radians(np.tile(regular.lons, 3))
+    assert back == {int(k): brute_nearest(rla, rlo, np.radians(la[k]), np.radians(lo[k]), 1)[0][0] for k in open_}
+    values = regrid.Regridder(curved, regular, method="nn").regrid(spark.createDataFrame([(float(a), float(b), float(k)) for k, (a, b) in enumerate(zip(la, lo, strict=True))], "lat double, lon double, v double"), ["v"])
+    assert values.count() == 18 and values.filter("v IS NULL").count() == 0
+    with pytest.raises(NotImplementedError):
+        weights.generate(spark, curved, regular, "con")
+
+
+def test_other_dialect(spark):
+    source = grids.LonLatGrid(np.array([-60.0, 0.0, 60.0]), np.arange(0, 360, 90.0))
+    target = grids.LonLatGrid(np.array([-75.0, 10.0, 90.0]), np.array([0.0, 45.0]))
+    w = {}
+    for r in weights.generate_esmf(spark, source, target, extrap_method=None).collect():
+        w.setdefault(r.dst, {})[r.src] = r.w
+    assert all(sum(x.values()) == pytest.approx(1) for x in w.values()) and len(w) == 6
+    assert w[4] == pytest.approx(dict.fromkeys(range(8, 12), 0.25))  # the pole is the mean of the last row
+    assert w[0] == pytest.approx({0: 0.5 + 0.125, 1: 0.125, 2: 0.125, 3: 0.125})
+    with pytest.raises(ValueError, match="no weights"):
+        weights.generate_esmf(spark, source, target, pole="none", extrap_method="none")
+    some = weights.generate_esmf(spark, source, target, pole="none", extrap_method="none", ignore_unmapped=True)
+    assert {r.dst for r in some.collect()} == {2, 3}
+    for how, n in (("neareststod", 1), ("nearestidavg", 8)):
+        one = [r for r in weights.generate_esmf(spark, source, target, pole="none", extrap_method=how).collect() if r.dst == 1]
+        assert len(one) == n and sum(r.w for r in one) == pytest.approx(1)
+    for wrong in ({"method": "patch"}, {"line_type": "greatcircle"}, {"pole": "teeth"}, {"extrap_method": "creep"}):
+        with pytest.raises(NotImplementedError):
+            weights.generate_esmf(spark, source, target, **wrong)
