@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import fresh, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -161,7 +161,8 @@ def mix(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     A document taken whole comes with its text as it is; one taken in part comes
     with the words of its taken blocks, one space between them.
     """
-    row = next(x for x in ("mix_row", *(f"mix_row{i}" for i in range(len(docs.columns)))) if x not in docs.columns)
+    row = fresh(docs, "mix_row")
+    taken_text = fresh(docs, f"{row}_text")
     held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
     take = plan(held, block=block, row=row, **options).filter("taken > 0").select(F.struct("size", "start", "n", "quota", "turn", div(F.col("quota"), F.col("n")).alias("times")).alias("p"), F.col("row").alias("r"))
     j = held.join(take, held[row] == take["r"])
@@ -176,7 +177,7 @@ def mix(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     some = F.get(F.transform(F.array(words), lambda ws: F.flatten(F.transform(blocks, lambda k: cut(ws, k)))), F.lit(0))
     part = F.when(F.size(blocks) == last - first + 1, held["text"].cast("string")).when(F.size(blocks) > 0, F.array_join(some, " "))
     copies = F.concat(F.array_repeat(held["text"].cast("string"), p["times"].cast("int")), F.array_compact(F.array(part)))
-    out = j.select(*(held[c] for c in docs.columns), F.explode(copies).alias(f"{row}_text"))
-    text = F.col(f"{row}_text")
+    out = j.select(*(held[f"`{c}`"] for c in docs.columns), F.explode(copies).alias(taken_text))
+    text = F.col(taken_text)
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    return out.withColumns(new).select(*(f"`{c}`" for c in docs.columns))

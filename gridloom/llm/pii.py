@@ -37,6 +37,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._store import materialise
 
@@ -366,7 +367,7 @@ def replace(text: str, keys: dict[str, bytes]) -> Found:
 
 
 _ENTITY = pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())])
-_ENTITIES = "array<struct<kind:string,value:string,surrogate:string>>"
+_ENTITIES = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "value", "surrogate")]))
 
 
 def _run(keys: dict[str, bytes]):
@@ -390,7 +391,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, attempts: int = 3) -> DataFram
     keys = {kind: key + kind.encode() for kind, _, _ in KINDS}
     rest = [c for c in docs.columns if c != "text"]
     narrow = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string").alias("text"))
-    schema = f"rest {narrow.schema['rest'].dataType.simpleString()}, text string, entities {_ENTITIES}"
+    schema = T.StructType([narrow.schema["rest"], T.StructField("text", T.StringType()), T.StructField("entities", _ENTITIES)])
     for n in range(attempts):
         done = materialise(narrow.mapInArrow(_run(keys), schema), "surrogates")
         pairs = done.select(F.explode("entities").alias("e")).select("e.kind", "e.value", "e.surrogate").distinct()

@@ -2,7 +2,7 @@ import pytest
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names an operator might use itself.
-CLASH = ["row", "n", "size", "key", "label", "score", "host", "cluster", "shard", "taken", "p", "r", "a", "b", "item", "gone_row"]
+CLASH = ["row", "n", "size", "key", "label", "score", "host", "cluster", "shard", "taken", "p", "r", "a", "b", "item", "gone_row", "mix_row_text", "a.b", "two words", "ключ"]
 
 
 @pytest.fixture
@@ -11,7 +11,7 @@ def docs(spark):
 
     def make(rows):
         full = [(i, t, "en", s, None if t is None else len(t), *["x"] * len(CLASH)) for i, t, s in rows]
-        return spark.createDataFrame(full, COLUMNS + "".join(f", {c} string" for c in CLASH)).repartition(3)
+        return spark.createDataFrame(full, COLUMNS + "".join(f", `{c}` string" for c in CLASH)).repartition(3)
 
     return make
 

@@ -101,7 +101,7 @@ def test_query(spark, docs, odd):
     assert out.columns == frame.columns
     for r in out.collect():
         assert r.text is None or not re.search("7209|a.b@c|8[.]8[.]8[.]8", r.text)
-    assert sorted(map(str, pii.redact(odd).select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert sorted(map(str, pii.redact(odd).collect())) == sorted(map(str, odd.collect()))
     assert pii.query(odd.limit(0)).count() == 0
 
 
